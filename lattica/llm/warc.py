@@ -107,7 +107,7 @@ def write_archives(pages: DataFrame, folder: str, block_bytes: int = 4 << 20) ->
                 if out is None:
                     fs.create_dir(base, recursive=True)
                     name = f"part-{uuid.uuid4().hex}.warc.gz"
-                    out = fs.open_output_stream(f"{base}/{name}", buffer_size=block_bytes)
+                    out = fs.open_output_stream(f"{base}/{name}", compression=None, buffer_size=block_bytes)
                 payload = (html if isinstance(html, str) else "").encode("utf-8", "surrogatepass")
                 page = None if pd.isna(page_id) else int(page_id)
                 same = bool(again_) and len(payload) >= LEAST_REVISIT
