@@ -31,7 +31,9 @@ from lattica.llm.text import hashes, mix, space_words, windows
 #: An id list up to this many rows is broadcast to pick documents out of the scan; above it the scan is joined by shuffle.
 BROADCAST_ROWS = 1_000_000
 #: Pivots a region takes at once, and members up to which all pairs of a region that are left are compared at once.
-PIVOTS, SMALL = 16, 24
+PIVOTS, SMALL = 64, 64
+#: Parts in which linked sets coincide at the least: so many regions that share both; large regions are divided by them.
+AGREE = 4
 #: Keys over which the rows of one group of equal sets are dealt.
 SALTS = 16
 
@@ -72,7 +74,7 @@ def region_keys(h: np.ndarray, percent: int, limits: list[int]) -> np.ndarray:
         top = limits[level + 1] - 1
         if level > c and limits[level] * percent > n * 100:
             break
-        parts = most_apart(2 * top, percent) + 1
+        parts = most_apart(2 * top, percent) + AGREE
         parts += 2 + parts // 50
         of = (high * np.uint64(parts)) >> np.uint64(32)  # follows the order of h: a part is a slice
         first = np.flatnonzero(np.concatenate([[True], of[1:] != of[:-1]]))
@@ -82,7 +84,7 @@ def region_keys(h: np.ndarray, percent: int, limits: list[int]) -> np.ndarray:
         # Coinciding empty parts prove nothing; a set with too few others counts its empty parts as well, as does any
         # such partner, while a partner with enough of them needs none.
         partner = min(top, n * 100 // percent)
-        if len(first) <= most_apart(n + partner, percent):
+        if len(first) < most_apart(n + partner, percent) + AGREE:
             empty = np.setdiff1d(np.arange(parts, dtype=np.uint64), of[first])
             out.append(mix(mix(empty ^ np.uint64(0x5851F42D4C957F2D)) ^ seed))
     return np.unique(np.concatenate(out))
@@ -118,7 +120,7 @@ def regions(docs: DataFrame, k: int, percent: int) -> DataFrame:
 
 
 def shared_regions(rows: DataFrame) -> DataFrame:
-    """(region, key, n) of the regions with two sets or more, one of each group of regions with the same members.
+    """(region, key, n, times) of the regions with two sets or more; those with the same members are one, found ``times`` times.
 
     One shuffle by region; a window of its own rows, which Spark spills, holds no group in memory.
     """
@@ -126,7 +128,7 @@ def shared_regions(rows: DataFrame) -> DataFrame:
     w = Window.partitionBy("region")
     same = F.xxhash64(F.sum(F.xxhash64("key").cast("decimal(20,0)")).over(w).cast("string"), F.min("key").over(w), F.max("key").over(w), F.count("*").over(w))
     held = rows.select("key", "n", same.alias("members"), (F.min("key").over(w) != F.max("key").over(w)).alias("shared")).where("shared")
-    return held.groupBy(F.col("members").alias("region"), "key").agg(F.min("n").alias("n"))
+    return held.groupBy(F.col("members").alias("region"), "key").agg(F.min("n").alias("n"), F.count("*").alias("times"))
 
 
 def payloads(docs: DataFrame, wanted: DataFrame, k: int) -> DataFrame:
@@ -176,12 +178,48 @@ def distances(pairs: DataFrame, blobs: DataFrame, k: int) -> DataFrame:
     return save(rows.mapInArrow(run, "p long, x long, rp long, rx long, both long, either long"), "distances")
 
 
+def open_regions(rows: DataFrame) -> DataFrame:
+    """The regions whose members carry more than one label, with ``of``, the number of members."""
+    w = Window.partitionBy("region")
+    sized = rows.withColumn("of", F.count("*").over(w)).withColumn("least", F.min("label").over(w)).withColumn("most", F.max("label").over(w))
+    return sized.where("least <> most").drop("least", "most")
+
+
+def intersections(left: DataFrame) -> DataFrame:
+    """Large regions give way to their intersections with one another, again and again while they are large.
+
+    Linked sets share regions found ``AGREE`` times together. If one of these is small, all its pairs are compared; else
+    the pair lies in the intersection of the first ones in the order of their ids. Texts that share a passage meet by
+    chance in one region but hardly in several.
+    """
+    ready = left.where(F.col("of") <= SMALL)
+    large = left.where(F.col("of") > SMALL).withColumn("last", F.col("region"))
+    others = large.select(F.col("region").alias("other"), "key", F.col("times").alias("more"))
+    for _ in range(AGREE - 1):
+        ready = ready.unionByName(large.where(F.col("times") >= AGREE).drop("last"))
+        both = large.where(F.col("times") < AGREE).join(others, "key").where("other > last")
+        both = both.select(F.xxhash64("region", "other").alias("region"), "key", "n", "d", "label", (F.col("times") + F.col("more")).alias("times"), F.col("other").alias("last"))
+        found = save(open_regions(both), "intersections")
+        ready = ready.unionByName(found.where(F.col("of") <= SMALL).drop("last"))
+        large = found.where(F.col("of") > SMALL)
+        if large.isEmpty():
+            break
+    return save(ready.unionByName(large.drop("last")), "left")
+
+
+def ranked_members(left: DataFrame) -> DataFrame:
+    """``left`` with ``rank``: members of the region's smaller components come first, so
+    that the last component left, once the others' members were pivots, needs no pairs within itself."""
+    w = Window.partitionBy("region")
+    sized = left.withColumn("own", F.count("*").over(Window.partitionBy("region", "label")))
+    return sized.withColumn("rank", F.row_number().over(w.orderBy("own", "label", "key")))
+
+
 def candidates(left: DataFrame, percent: int) -> DataFrame:
     """(region, p, x) to be measured: the pivots of each region against its other members. A region of up to ``SMALL``
-    members takes all of them as pivots, a larger one the first ``PIVOTS``. Left out are pairs that a chain of links joins,
+    members takes all of them as pivots, a larger one ``PIVOTS`` of those whose components have fewest members there. Left out are pairs that a chain of links joins,
     pairs whose sizes forbid a link and pairs outside the window of the pivot of the round before."""
-    w = Window.partitionBy("region")
-    ranked = left.withColumn("rank", F.row_number().over(w.orderBy("key"))).withColumn("of", F.count("*").over(w))
+    ranked = ranked_members(left)
     ranked = ranked.withColumn("pivot", F.when(F.col("of") <= SMALL, F.lit(True)).otherwise(F.col("rank") <= PIVOTS))
     p = ranked.where("pivot").select("region", F.col("key").alias("p"), F.col("n").alias("np"), F.col("label").alias("lp"), F.col("d").alias("dp"), F.col("rank").alias("kp"))
     x = ranked.select("region", F.col("key").alias("x"), F.col("n").alias("nx"), F.col("label").alias("lx"), F.col("d").alias("dx"), F.col("rank").alias("kx"))
@@ -208,14 +246,15 @@ def jaccard_edges(docs: DataFrame, reps: DataFrame, k: int, percent: int) -> tup
     edges = measured.where(linked).select(F.col("rp").alias("a"), F.col("rx").alias("b"))
     labels = components(edges)
     rep_of = blobs.select("key", "rep").distinct()
-    left = pivoted.where("key <> p").select("region", "key", "n", "p")
+    left = pivoted.where("key <> p").select("region", "key", "n", "p", "times")
     near = measured.select("p", F.col("x").alias("key"), (1 - F.col("both") / F.col("either")).alias("d"))
-    left = left.join(near, ["p", "key"], "left").select("region", "key", "n", "d")
+    left = left.join(near, ["p", "key"], "left").select("region", "key", "n", "d", "times")
+    first_round = True
     while True:
         named = left.join(rep_of, "key").join(labels.select(F.col("node").alias("rep"), "label"), "rep", "left")
-        named = named.withColumn("label", F.coalesce("label", "rep"))
-        w = Window.partitionBy("region")
-        left = save(named.withColumn("least", F.min("label").over(w)).withColumn("most", F.max("label").over(w)).where("least <> most").select("region", "key", "n", "d", "label"), "left")
+        left = save(open_regions(named.withColumn("label", F.coalesce("label", "rep")).drop("rep")), "left")
+        if first_round:
+            left, first_round = intersections(left), False
         if left.isEmpty():
             return edges, labels
         tests = save(candidates(left, percent), "tests")
@@ -230,7 +269,7 @@ def divided(left: DataFrame, measured: DataFrame, percent: int) -> DataFrame:
     the Voronoi region of their nearest pivot and, as the triangle inequality asks, to that of every pivot not more than
     two radii farther (or not measured); if that would copy members more than twice on the average, the region stays whole."""
     w = Window.partitionBy("region")
-    ranked = left.withColumn("rank", F.row_number().over(w.orderBy("key"))).withColumn("of", F.count("*").over(w)).where(F.col("of") > SMALL)
+    ranked = ranked_members(left).where(F.col("of") > SMALL)
     pivots = ranked.where(F.col("rank") <= PIVOTS).select("region", F.col("key").alias("p"))
     rest = ranked.where(F.col("rank") > PIVOTS).select("region", "key", "n")
     near = measured.select("p", F.col("x").alias("key"), (1 - F.col("both") / F.col("either")).alias("d"))
@@ -242,7 +281,7 @@ def divided(left: DataFrame, measured: DataFrame, percent: int) -> DataFrame:
     cells = cells.join(counts, "region")
     split = cells.where("copies <= 2 * members").select(F.xxhash64("region", "p").alias("region"), "key", "n", "d")
     whole = cells.where("copies > 2 * members").select("region", "key", "n", F.lit(None).cast("double").alias("d")).distinct()
-    return split.unionByName(whole)
+    return split.unionByName(whole).withColumn("times", F.lit(AGREE))
 
 
 def link_documents(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
