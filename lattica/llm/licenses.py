@@ -29,8 +29,8 @@ BANDS = 16
 STRIDES = (16, 64, 256)
 
 
-def shingles(text: Column) -> Column:
-    """Hashes of the 3-word shingles by position, lower-case words of letters and digits; null and short texts: none."""
+def shingles(text: Column) -> tuple[Column, Column]:
+    """Words, and hashes of the 3-word shingles of ``_words`` by position: lower-case words of letters and digits; null and short texts: none."""
     words = F.split(F.trim(F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), "[^\\p{L}\\p{N}]+", " ")), " ")
     last = F.size(words) - SHINGLE
     hashed = lambda i: F.xxhash64(*[F.get(F.col("_words"), i + k) for k in range(SHINGLE)])
@@ -57,7 +57,11 @@ def templates(spark, texts: dict[str, str]) -> DataFrame:
 
 def bands(column: str) -> Column:
     """MinHash of a set, a value a band."""
-    return F.array(*[F.array_min(F.transform(F.col(column), lambda h, b=b: F.xxhash64(h, F.lit(b)))) for b in range(BANDS)])
+
+    def hashed(b: int):
+        return lambda h: F.xxhash64(h, F.lit(b))  # one parameter: a second would be the index
+
+    return F.array(*[F.array_min(F.transform(F.col(column), hashed(b))) for b in range(BANDS)])
 
 
 def scan_licenses(docs: DataFrame, texts: dict[str, str] | None = None, containment: float = 0.8) -> DataFrame:
