@@ -30,10 +30,8 @@ from lattica.llm.text import hashes, mix, space_words, windows
 
 #: An id list up to this many rows is broadcast to pick documents out of the scan; above it the scan is joined by shuffle.
 BROADCAST_ROWS = 1_000_000
-#: Pivots a region takes at once, and members up to which all pairs of a region that are left are compared at once.
-PIVOTS, SMALL = 64, 64
-#: Parts in which linked sets coincide at the least: so many regions that share both; large regions are divided by them.
-AGREE = 4
+#: Members of a region that are held together, in the order of their distance from its pivot.
+SLAB = 256
 #: Keys over which the rows of one group of equal sets are dealt.
 SALTS = 16
 
@@ -74,7 +72,7 @@ def region_keys(h: np.ndarray, percent: int, limits: list[int]) -> np.ndarray:
         top = limits[level + 1] - 1
         if level > c and limits[level] * percent > n * 100:
             break
-        parts = most_apart(2 * top, percent) + AGREE
+        parts = most_apart(2 * top, percent) + 1
         parts += 2 + parts // 50
         of = (high * np.uint64(parts)) >> np.uint64(32)  # follows the order of h: a part is a slice
         first = np.flatnonzero(np.concatenate([[True], of[1:] != of[:-1]]))
@@ -84,7 +82,7 @@ def region_keys(h: np.ndarray, percent: int, limits: list[int]) -> np.ndarray:
         # Coinciding empty parts prove nothing; a set with too few others counts its empty parts as well, as does any
         # such partner, while a partner with enough of them needs none.
         partner = min(top, n * 100 // percent)
-        if len(first) < most_apart(n + partner, percent) + AGREE:
+        if len(first) <= most_apart(n + partner, percent):
             empty = np.setdiff1d(np.arange(parts, dtype=np.uint64), of[first])
             out.append(mix(mix(empty ^ np.uint64(0x5851F42D4C957F2D)) ^ seed))
     return np.unique(np.concatenate(out))
@@ -120,7 +118,7 @@ def regions(docs: DataFrame, k: int, percent: int) -> DataFrame:
 
 
 def shared_regions(rows: DataFrame) -> DataFrame:
-    """(region, key, n, times) of the regions with two sets or more; those with the same members are one, found ``times`` times.
+    """(region, key, n) of the regions with two sets or more, one of each group of regions with the same members.
 
     One shuffle by region; a window of its own rows, which Spark spills, holds no group in memory.
     """
@@ -128,7 +126,7 @@ def shared_regions(rows: DataFrame) -> DataFrame:
     w = Window.partitionBy("region")
     same = F.xxhash64(F.sum(F.xxhash64("key").cast("decimal(20,0)")).over(w).cast("string"), F.min("key").over(w), F.max("key").over(w), F.count("*").over(w))
     held = rows.select("key", "n", same.alias("members"), (F.min("key").over(w) != F.max("key").over(w)).alias("shared")).where("shared")
-    return held.groupBy(F.col("members").alias("region"), "key").agg(F.min("n").alias("n"), F.count("*").alias("times"))
+    return held.groupBy(F.col("members").alias("region"), "key").agg(F.min("n").alias("n"))
 
 
 def payloads(docs: DataFrame, wanted: DataFrame, k: int) -> DataFrame:
@@ -178,110 +176,102 @@ def distances(pairs: DataFrame, blobs: DataFrame, k: int) -> DataFrame:
     return save(rows.mapInArrow(run, "p long, x long, rp long, rx long, both long, either long"), "distances")
 
 
+def jaccard_labels(docs: DataFrame, reps: DataFrame, k: int, percent: int) -> DataFrame:
+    """(node, label) of the representatives that link with another: the smallest one reachable."""
+    held = save(shared_regions(regions(docs, k, percent)), "regions")
+    pivoted = held.withColumn("p", F.min("key").over(Window.partitionBy("region"))).where("key <> p")
+    pairs = save(pivoted.select("p", F.col("key").alias("x")).distinct(), "pairs")
+    blobs = payloads(docs, reps.join(held.select("key").distinct(), "key"), k)
+    measured = distances(pairs, blobs, k)
+    edges = measured.where(F.col("both") * 100 >= F.col("either") * percent).select(F.col("rp").alias("a"), F.col("rx").alias("b"))
+    labels = components(edges)
+    near = measured.select("p", F.col("x").alias("key"), F.col("rx").alias("rep"), (1 - F.col("both") / F.col("either")).alias("d"))
+    left = pivoted.join(near, ["p", "key"]).join(labels.select(F.col("node").alias("rep"), "label"), "rep", "left")
+    left = open_regions(left.select("region", "key", "d", F.coalesce("label", "rep").alias("label")))
+    more = save(slab_links(slabs(left, percent), blobs, k, percent), "links")
+    return components(edges.unionByName(more))
+
+
 def open_regions(rows: DataFrame) -> DataFrame:
-    """The regions whose members carry more than one label, with ``of``, the number of members."""
+    """The regions whose members carry more than one label."""
     w = Window.partitionBy("region")
-    sized = rows.withColumn("of", F.count("*").over(w)).withColumn("least", F.min("label").over(w)).withColumn("most", F.max("label").over(w))
+    sized = rows.withColumn("least", F.min("label").over(w)).withColumn("most", F.max("label").over(w))
     return sized.where("least <> most").drop("least", "most")
 
 
-def intersections(left: DataFrame) -> DataFrame:
-    """Large regions give way to their intersections with one another, again and again while they are large.
+def slabs(left: DataFrame, percent: int) -> DataFrame:
+    """(region, slab, guest, key, label): each member in its own slab, and as a guest in the later slabs of its window."""
+    rank = F.row_number().over(Window.partitionBy("region").orderBy("d", "key"))
+    placed = save(left.withColumn("slab", F.floor((rank - 1) / SLAB)), "slabs")
+    starts = placed.groupBy("region", F.col("slab").alias("to")).agg(F.min("d").alias("start")).where("to > 0")
+    radius = (100 - percent) / 100 + 1e-9
+    guests = placed.join(starts, "region").where((F.col("to") > F.col("slab")) & (F.col("start") <= F.col("d") + radius))
+    home = placed.select("region", "slab", F.lit(False).alias("guest"), "key", "label")
+    return home.unionByName(guests.select("region", F.col("to").alias("slab"), F.lit(True).alias("guest"), "key", "label"))
+
+
+def links_between(home: list, other: list | None, percent: int) -> list[tuple[int, int]]:
+    """(rep, rep) links of members (label, rep, set) of ``home`` with ``other`` (None: among themselves) whose labels
+    differ: for each of ``other`` and each label of ``home`` one."""
+    a, b = home, home if other is None else other
+    na, nb = np.array([len(x[2]) for x in a]), np.array([len(x[2]) for x in b])
+    la, lb = np.array([x[0] for x in a]), np.array([x[0] for x in b])
+    fa, fb = np.concatenate([x[2] for x in a]), np.concatenate([x[2] for x in b])
+    ua, ca = np.unique(fa, return_counts=True)
+    shared = ua[ca > 1] if other is None else np.intersect1d(ua, fb)
+    both = np.zeros((len(a), len(b)), np.float32)
+    for at in range(0, len(shared), 4096):
+        part, m = shared[at : at + 4096], []
+        for flat, n in ((fa, na),) if other is None else ((fa, na), (fb, nb)):
+            x = np.zeros((len(n), len(part)), np.float32)
+            col = np.minimum(np.searchsorted(part, flat), len(part) - 1)
+            some = part[col] == flat
+            x[np.repeat(np.arange(len(n)), n)[some], col[some]] = 1
+            m.append(x)
+        both += m[0] @ m[-1].T
+    linked = (both.astype(np.int64) * 100 >= (na[:, None] + nb[None, :] - both.astype(np.int64)) * percent) & (la[:, None] != lb[None, :])
+    out: dict = {}
+    for i, j in np.argwhere(linked).tolist():
+        if other is not None or i < j:
+            out.setdefault((b[j][1], a[i][0]), a[i][1])
+    return [(rep, to) for (rep, _), to in out.items()]
+
+
+def slab_links(placed: DataFrame, blobs: DataFrame, k: int, percent: int) -> DataFrame:
+    """Links (a, b) inside each slab, and between its members and its guests, of different labels. A task holds the sets of
+    one slab and of a block of guests at a time."""
+    rows = placed.join(blobs, "key").select("region", "slab", "guest", "key", "label", "rep", "blob")
+    rows = rows.repartition("region", "slab").sortWithinPartitions("region", "slab", "guest", "key")
 
-    Linked sets share regions found ``AGREE`` times together. If one of these is small, all its pairs are compared; else
-    the pair lies in the intersection of the first ones in the order of their ids. Texts that share a passage meet by
-    chance in one region but hardly in several.
-    """
-    ready = left.where(F.col("of") <= SMALL)
-    large = left.where(F.col("of") > SMALL).withColumn("last", F.col("region"))
-    others = large.select(F.col("region").alias("other"), "key", F.col("times").alias("more"))
-    for _ in range(AGREE - 1):
-        ready = ready.unionByName(large.where(F.col("times") >= AGREE).drop("last"))
-        both = large.where(F.col("times") < AGREE).join(others, "key").where("other > last")
-        both = both.select(F.xxhash64("region", "other").alias("region"), "key", "n", "d", "label", (F.col("times") + F.col("more")).alias("times"), F.col("other").alias("last"))
-        found = save(open_regions(both), "intersections")
-        ready = ready.unionByName(found.where(F.col("of") <= SMALL).drop("last"))
-        large = found.where(F.col("of") > SMALL)
-        if large.isEmpty():
-            break
-    return save(ready.unionByName(large.drop("last")), "left")
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        group, home, guests, found = None, [], [], []
 
+        def settle(whole: bool) -> None:
+            """Joins the block of guests; with ``whole`` also the slab itself, once."""
+            if home and guests:
+                found.extend(links_between(home, guests, percent))
+            guests.clear()
+            if whole and len(home) > 1:
+                found.extend(links_between(home, None, percent))
 
-def ranked_members(left: DataFrame) -> DataFrame:
-    """``left`` with ``rank``: members of the region's smaller components come first, so
-    that the last component left, once the others' members were pivots, needs no pairs within itself."""
-    w = Window.partitionBy("region")
-    sized = left.withColumn("own", F.count("*").over(Window.partitionBy("region", "label")))
-    return sized.withColumn("rank", F.row_number().over(w.orderBy("own", "label", "key")))
-
-
-def candidates(left: DataFrame, percent: int) -> DataFrame:
-    """(region, p, x) to be measured: the pivots of each region against its other members. A region of up to ``SMALL``
-    members takes all of them as pivots, a larger one ``PIVOTS`` of those whose components have fewest members there. Left out are pairs that a chain of links joins,
-    pairs whose sizes forbid a link and pairs outside the window of the pivot of the round before."""
-    ranked = ranked_members(left)
-    ranked = ranked.withColumn("pivot", F.when(F.col("of") <= SMALL, F.lit(True)).otherwise(F.col("rank") <= PIVOTS))
-    p = ranked.where("pivot").select("region", F.col("key").alias("p"), F.col("n").alias("np"), F.col("label").alias("lp"), F.col("d").alias("dp"), F.col("rank").alias("kp"))
-    x = ranked.select("region", F.col("key").alias("x"), F.col("n").alias("nx"), F.col("label").alias("lx"), F.col("d").alias("dx"), F.col("rank").alias("kx"))
-    radius = (100 - percent) / 100 + 1e-9
-    return p.join(x, "region").where(
-        (F.col("kp") < F.col("kx")) & ~F.col("lp").eqNullSafe(F.col("lx"))
-        & (F.least("np", "nx") * 100 >= F.greatest("np", "nx") * percent)
-        & (F.col("dp").isNull() | F.col("dx").isNull() | (F.abs(F.col("dp") - F.col("dx")) <= radius))
-    ).select("region", "p", "x")
+        def out() -> pa.RecordBatch:
+            made = pa.RecordBatch.from_arrays([pa.array([x[i] for x in found], pa.int64()) for i in (0, 1)], names=["a", "b"])
+            found.clear()
+            return made
 
+        for batch in batches:
+            for region, slab, guest, label, rep, blob in zip(*(batch.column(c).to_pylist() for c in ("region", "slab", "guest", "label", "rep", "blob")), strict=True):
+                if (region, slab) != group:
+                    settle(True)
+                    group, home = (region, slab), []
+                elif len(guests) == SLAB:
+                    settle(False)
+                (guests if guest else home).append((label, rep, np.unique(windows(hashes(zlib.decompress(blob).split()), k))))
+            yield out()
+        settle(True)
+        yield out()
 
-def jaccard_edges(docs: DataFrame, reps: DataFrame, k: int, percent: int) -> tuple[DataFrame | None, DataFrame | None]:
-    """Links (a, b) of representatives, enough to connect all that link, and the labels that they give (None: no links)."""
-    held = save(shared_regions(regions(docs, k, percent)), "regions")
-    first = Window.partitionBy("region")
-    pivoted = held.withColumn("p", F.min("key").over(first)).withColumn("np", F.min(F.struct("key", "n")).over(first)["n"])
-    pairs = pivoted.where((F.col("key") != F.col("p")) & (F.least("n", "np") * 100 >= F.greatest("n", "np") * percent)).select("p", F.col("key").alias("x")).distinct()
-    pairs = save(pairs, "pairs")
-    if pairs.isEmpty() and held.isEmpty():
-        return None, None
-    blobs = payloads(docs, reps.join(held.select("key").distinct(), "key"), k)
-    measured = distances(pairs, blobs, k)
-    linked = F.col("both") * 100 >= F.col("either") * percent
-    edges = measured.where(linked).select(F.col("rp").alias("a"), F.col("rx").alias("b"))
-    labels = components(edges)
-    rep_of = blobs.select("key", "rep").distinct()
-    left = pivoted.where("key <> p").select("region", "key", "n", "p", "times")
-    near = measured.select("p", F.col("x").alias("key"), (1 - F.col("both") / F.col("either")).alias("d"))
-    left = left.join(near, ["p", "key"], "left").select("region", "key", "n", "d", "times")
-    first_round = True
-    while True:
-        named = left.join(rep_of, "key").join(labels.select(F.col("node").alias("rep"), "label"), "rep", "left")
-        left = save(open_regions(named.withColumn("label", F.coalesce("label", "rep")).drop("rep")), "left")
-        if first_round:
-            left, first_round = intersections(left), False
-        if left.isEmpty():
-            return edges, labels
-        tests = save(candidates(left, percent), "tests")
-        measured = distances(tests.select("p", "x").distinct(), blobs, k)
-        edges = save(edges.unionByName(measured.where(linked).select(F.col("rp").alias("a"), F.col("rx").alias("b"))).distinct(), "links")
-        labels = components(edges)
-        left = save(divided(left, measured, percent), "left")
-
-
-def divided(left: DataFrame, measured: DataFrame, percent: int) -> DataFrame:
-    """The regions of the next round. Small regions are done. Of a large one the pivots are done; its other members go to
-    the Voronoi region of their nearest pivot and, as the triangle inequality asks, to that of every pivot not more than
-    two radii farther (or not measured); if that would copy members more than twice on the average, the region stays whole."""
-    w = Window.partitionBy("region")
-    ranked = ranked_members(left).where(F.col("of") > SMALL)
-    pivots = ranked.where(F.col("rank") <= PIVOTS).select("region", F.col("key").alias("p"))
-    rest = ranked.where(F.col("rank") > PIVOTS).select("region", "key", "n")
-    near = measured.select("p", F.col("x").alias("key"), (1 - F.col("both") / F.col("either")).alias("d"))
-    member = Window.partitionBy("region", "key")
-    cells = rest.join(pivots, "region").join(near, ["p", "key"], "left").withColumn("home", F.min("d").over(member))
-    cells = cells.where(F.col("home").isNull() | F.col("d").isNull() | (F.col("d") <= F.col("home") + 2 * (100 - percent) / 100 + 1e-9))
-    cells = cells.withColumn("copies", F.count("*").over(w))
-    counts = rest.groupBy("region").agg(F.count("*").alias("members"))
-    cells = cells.join(counts, "region")
-    split = cells.where("copies <= 2 * members").select(F.xxhash64("region", "p").alias("region"), "key", "n", "d")
-    whole = cells.where("copies > 2 * members").select("region", "key", "n", F.lit(None).cast("double").alias("d")).distinct()
-    return split.unionByName(whole).withColumn("times", F.lit(AGREE))
+    return rows.mapInArrow(run, "a long, b long")
 
 
 def link_documents(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
@@ -303,11 +293,8 @@ def link_documents(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     sets = save(annotate(own, fn, fields, ("doc_id",)), "sets")
     groups = sets.where("n > 0").groupBy("key", "key2").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"))
     groups = save(groups, "groups")
-    edges, labels = jaccard_edges(own, groups.where("rep is not null"), k, percent)
-    if labels is not None:
-        groups = groups.join(labels.select(F.col("node").alias("rep"), "label"), "rep", "left").withColumn("label", F.coalesce("label", "rep"))
-    else:
-        groups = groups.withColumn("label", F.col("rep"))
+    labels = jaccard_labels(own, groups.where("rep is not null"), k, percent)
+    groups = groups.join(labels.select(F.col("node").alias("rep"), "label"), "rep", "left").withColumn("label", F.coalesce("label", "rep"))
     # Copies meet their group over SALTS keys; a group of one has its only member's salt.
     salt = F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int")
     spread = F.when(F.col("copies") > 1, F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.pmod(F.xxhash64("rep"), F.lit(SALTS)).cast("int")))
