@@ -33,7 +33,7 @@ def deduplicate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold windows of fewer than two benchmark items."""
+    """Documents that hold no whole benchmark window of eight words."""
     return decontam.drop_contaminated(docs, table(spark, sf_dir, "benchmark"))
 
 

@@ -275,12 +275,11 @@ def contract(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     )
 
 
-def drop_contaminated(docs: DataFrame, benchmark: DataFrame, least_items: int = 2) -> DataFrame:
-    """``docs`` without the rows that hold windows of ``least_items`` items or more; all columns stay.
-
-    Rows are told apart by a digest of id and text, so a null id is handled, and equal rows share one decision.
+def drop_contaminated(docs: DataFrame, benchmark: DataFrame, window: int = 8, least_items: int = 2) -> DataFrame:
+    """``docs`` without the rows of which a whole ``window`` of words lies in benchmark text, or which hold (shorter) items
+    of ``least_items`` ids or more; all columns stay. Rows that repeat an id share the decision; null ids are one id.
     """
-    bad = match_phrases(docs, benchmark).where(F.col("n_items") >= least_items).select(F.col("doc_id").alias("bad_id")).distinct()
+    bad = match_phrases(docs, benchmark, window).where((F.col("n_hit") >= window) | (F.col("n_items") >= least_items)).select(F.col("doc_id").alias("bad_id")).distinct()
     return docs.join(bad, docs["doc_id"].cast("long").eqNullSafe(bad["bad_id"]), "left_anti")
 
 
