@@ -1,0 +1,138 @@
+"""Edge rows and analytic facts of the operators."""
+
+import struct
+
+import pytest
+from pyspark.sql import functions as F
+
+from lattica.functions import forecast, temporal, vector
+from lattica.operators import aggregates, decide, graphs, recurrence, relational, search, stats
+from lattica.plans.search_plan import plan
+from lattica.sources import vectors
+from lattica.streaming import ingest
+
+
+def test_predicates(spark):
+    df = spark.createDataFrame([(1, 1.0, "ab"), (2, None, None), (3, float("nan"), "b")], "k long, x double, s string")
+    keys = lambda *p: sorted(r.k for r in relational.where_all(df, list(p)).collect())
+    assert keys(("x", "ne", 1)) == [2, 3]
+    assert keys(("x", "ne", "text")) == [1, 2, 3]
+    assert keys(("none", "ne", 1)) == []
+    assert keys(("s", "contains", "a")) == [1]
+    assert keys(("s", "gt", "ab")) == [3]
+    with pytest.raises(ValueError):
+        relational.where_all(df, [("x", "like", 1)])
+
+
+def test_olap_fixture(spark):
+    df = spark.createDataFrame([(10.0, 0.0), (20.0, 0.0), (30.0, 1.0), (-5.0, 1.0), (15.0, 1.0), (1.0, -0.0)], "v double, g float")
+    total = aggregates.olap(df.where("v <> 1"), "v").first()
+    assert tuple(total) == (5, 70.0, -5.0, 30.0, 14.0)
+    groups = {(r.key, r.minus_zero): r["sum"] for r in aggregates.olap_by(df, "v", "g").collect()}
+    assert groups[(1.0, False)] == 40.0
+    with pytest.raises(Exception, match="non-finite"):
+        aggregates.olap(spark.createDataFrame([(float("nan"),)], "v double"), "v").collect()
+    with pytest.raises(Exception, match="too many groups"):
+        aggregates.olap_by(df, "v", "g", 1).collect()
+
+
+def test_mode_ties_and_single(spark):
+    df = spark.createDataFrame([("a", 1), ("a", 1), ("a", 2), ("b", 1), ("b", 2), ("c", 1)], "k string, v int")
+    got = {r.k: (r["mode"], round(r.confidence, 3)) for r in aggregates.mode_with_confidence(df, "k", F.col("v")).collect()}
+    assert got == {"a": (1, 0.667), "b": (None, 0.5), "c": (None, 0.0)}
+
+
+def test_periodic_and_decay(spark):
+    row = spark.range(1).select(
+        temporal.periodic_score(F.lit(1_704_204_000), 14, 1).alias("p"), temporal.recency(F.lit(-5)).alias("future"), temporal.recency(F.lit(3600)).alias("half"), temporal.boosted(F.lit(0.0), F.lit(1.0), F.lit(1.0)).alias("zero")
+    ).first()
+    assert row.p == 1.0 and row.future == 1.0 and abs(row.half - 0.5) < 1e-3 and row.zero == 0.0
+
+
+def test_vectors(spark):
+    df = spark.createDataFrame([([3.0, 4.0], [0.0, 0.0], [[1.0, 0.0]], [[1.0, 0.0], [0.0, 1.0]])], "a array<double>, z array<double>, q array<array<double>>, d array<array<double>>")
+    r = df.select(vector.cosine(F.col("a"), F.col("z")).alias("c"), vector.cosine(F.col("a"), F.col("z"), None).alias("n"), vector.norm(F.col("a")).alias("norm"), vector.max_sim(F.col("q"), F.col("d")).alias("m"), vector.quantize_int8(F.col("z")).alias("i")).first()
+    assert (r.c, r.n, r.norm, r.m, r.i) == (0.0, None, 5.0, 1.0, [0, 0])
+
+
+def test_band_join_is_strict(spark):
+    a = spark.createDataFrame([("s", 100), ("s", 200)], "k string, t long")
+    b = spark.createDataFrame([("s", 110), ("s", 109), ("s", 90)], "k string, t long")
+    assert sorted((r.ta, r.tb) for r in relational.band_join(a, b, ["k"], "t", "t", 10).collect()) == [(100, 109)]
+
+
+def test_document_paths(spark):
+    df = spark.createDataFrame([(1, '{"p":{"state":"active","n":null}}'), (2, '{"p":{}}'), (3, "no json")], "k int, j string")
+    assert [r.k for r in df.where(relational.path_equals(F.col("j"), ["p", "state"], "active")).collect()] == [1]
+    assert [r.k for r in df.where(relational.path_equals(F.col("j"), ["p", "n"], exists_only=True)).collect()] == [1]
+
+
+def test_change_point_and_novelty(spark):
+    times = [i * 10 for i in range(15)] + [140 + 60 * i for i in range(1, 10)]
+    df = spark.createDataFrame([("a", t) for t in times] + [("b", 5)], "k string, t long")
+    got = {r.key: r.alarm for r in recurrence.change_points(df, "k", "t").collect()}
+    assert got["a"] is not None and got["a"] >= 14 and got["b"] is None
+    assert {r.k: r.state for r in recurrence.novelty(df, "k", "t", 10_000).collect()} == {"a": "overdue", "b": "non_recurring"}
+
+
+def test_ledger_break(spark):
+    df = spark.createDataFrame([("l", i, f"x{i}") for i in range(6)], "l string, seq long, p string")
+    good = decide.chain(df, "l", "seq", ["p"])
+    bad = good.withColumn("p", F.when(F.col("seq") == 3, "forged").otherwise(F.col("p")))
+    assert decide.verify_chain(good, "l", "seq", ["p"]).first().first_break is None
+    assert decide.verify_chain(bad, "l", "seq", ["p"]).first().first_break == 3
+
+
+def test_graph_steps(spark):
+    e = spark.createDataFrame([(1, 2, 0.5), (2, 3, 0.5), (1, 3, 0.2)], "src long, dst long, weight double")
+    got = {r.node: (r.hop, round(r.score, 4)) for r in graphs.reach_scored(e, 1, 3).collect()}
+    assert got == {2: (1, 0.45), 3: (2, 0.2025)}
+    seeds = spark.createDataFrame([(1, 1.0)], "node long, value double")
+    assert all(v.value > 0.9 for v in graphs.label_propagation(e, seeds, 1e-4).collect())
+
+
+def test_granger_and_correlation(spark):
+    rows = [("g", i, float((i * 7919) % 13), float(((i - 1) * 7919) % 13) + 0.01 * ((i * 31) % 7)) for i in range(1, 60)]
+    df = spark.createDataFrame(rows, "g string, i int, x double, y double")
+    assert stats.granger_lag1(df, "i", "x", "y", ["g"]).first().f > 100
+    r = {x.lag: x.r for x in stats.lagged(df, ["g"], "i", "x", "y", [0, 1]).collect()}
+    assert r[1] > 0.99 > abs(r[0])
+
+
+def test_guard_and_forecast(spark):
+    s = spark.createDataFrame([(1, "a", 0.9), (1, "b", 0.1), (2, "a", None), (2, "b", 0.9)], "k int, slot string, cos double")
+    assert {r.k: r.passed for r in decide.guard(s, "k", {"a": 0.7, "b": 0.7}).collect()} == {1: 1, 2: 1}
+    with pytest.raises(ValueError):
+        decide.guard(s, "k", {})
+    r = spark.range(1).select(forecast.confidence_ceiling(F.lit(0.9), F.lit(0.8), F.lit(0.5), F.lit(1.0), F.lit(1.0)).alias("c"), forecast.sigmoid(forecast.logit(F.lit(0.3))).alias("p")).first()
+    assert r.c.binding == "validity" and abs(r.p - 0.3) < 1e-9
+
+
+def test_bm25_and_plan(spark):
+    d = spark.createDataFrame([(1, "Apple pie"), (2, "apple"), (3, None)], "k int, t string")
+    got = {r.k: r.score for r in search.bm25(d, "k", "t", ["apple"]).collect()}
+    assert got[2] > got[1] and 3 not in got
+    assert plan("why did it fail", 2).intent == "causal" and plan("x", 1).fusion == "single"
+    with pytest.raises(ValueError):
+        plan("x", 1, rows=10**9, indexed=False)
+
+
+def test_vector_files_and_metrics(spark, tmp_path):
+    (tmp_path / "a.fbin").write_bytes(struct.pack("<2I4f", 2, 2, 1.0, 2.0, 3.0, 4.0))
+    got = vectors.read_vectors(spark, str(tmp_path / "a.fbin")).orderBy("row").collect()
+    assert [list(r.embedding) for r in got] == [[1.0, 2.0], [3.0, 4.0]]
+    (tmp_path / "m.txt").write_text("# HELP x\nup{a=\"b\"} 1\nreq_total 3.5\n")
+    assert {(r.name, r.value) for r in vectors.read_metrics(spark, str(tmp_path / "m.txt")).collect()} == {("up", 1.0), ("req_total", 3.5)}
+
+
+def test_streaming(spark, tmp_path):
+    src = tmp_path / "in"
+    spark.createDataFrame([("a", "2024-01-01 00:10:00", 1.0), ("a", "2024-01-01 00:20:00", 2.0), ("a", "2024-01-01 05:00:00", 3.0)], "k string, ts string, v double").withColumn("ts", F.col("ts").cast("timestamp")).write.parquet(str(src))
+    stream = spark.readStream.schema("k string, ts timestamp, v double").parquet(str(src))
+    q = ingest.rollup_stream(stream, "ts", "k", "v").writeStream.format("memory").queryName("rolled").outputMode("complete").start()
+    q.processAllAvailable()
+    q.stop()
+    assert sorted(r["sum"] for r in spark.sql("select * from rolled").collect()) == [3.0, 3.0]
+    before = spark.createDataFrame([("a", 2)], "k string, frequency long")
+    batch = spark.createDataFrame([("a",), ("b",)], "k string")
+    assert [r.k for r in ingest.recurs(batch, before, "k", 3).collect()] == ["a"]
