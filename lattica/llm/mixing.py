@@ -20,7 +20,7 @@ def tokens(text: Column) -> Column:
 
 
 def train(labelled: DataFrame, domain: str) -> tuple[list[str], DataFrame]:
-    """Domains in order and (bucket, w): log-likelihood of a hashed word in each domain, from all of ``labelled``.
+    """Domains in order and (bucket, w): log-likelihood of a hashed word in each domain, from all rows of ``labelled``.
 
     Rows with a null domain are ignored. The table has ``BUCKETS`` rows at any size of the corpus.
     """
@@ -103,9 +103,12 @@ def mix(docs: DataFrame, labelled: DataFrame, domain: str, targets: dict[str, fl
     return save(rated.withColumn("copies", copies), "mixed"), names, report
 
 
-def labelled_rows(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """Documents that the labelled table names; its ids alone are shuffled or broadcast, as their number decides."""
-    return docs.join(labels.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("_labelled")).distinct(), docs["doc_id"].cast("long") == F.col("_labelled"), "left_semi")
+def labelled_rows(docs: DataFrame, labels: DataFrame, bound: int = 20_000) -> DataFrame:
+    """At most ``bound`` documents that the labelled table names, in the order of a hash of the id. Only the bounded id
+    list is broadcast; texts are not shuffled at any size."""
+    ids = labels.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("_labelled")).distinct()
+    chosen = ids.orderBy(F.xxhash64("_labelled"), "_labelled").limit(bound)
+    return docs.join(F.broadcast(chosen), docs["doc_id"].cast("long") == F.col("_labelled"), "left_semi")
 
 
 def contract(docs: DataFrame, labels: DataFrame) -> DataFrame:
