@@ -314,7 +314,7 @@ def keep_one(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     """
     linked = link_documents(docs, k, percent)
     gone = linked.where("doc_id <> component_id").select(F.col("doc_id").alias("gone")).distinct()
-    kept = docs.join(gone, docs["doc_id"].cast("long") == gone["gone"], "left_anti")
+    kept = docs.join(gone.hint("merge"), docs["doc_id"].cast("long") == gone["gone"], "left_anti")
     again = linked.where("doc_id is not null").groupBy(F.col("doc_id").alias("again")).count().where("count > 1").select("again")
     again = save(again, "again")
     if again.isEmpty():
