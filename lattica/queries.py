@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lattica.functions import forecast, temporal, vector
-from lattica.operators import aggregates, decide, graphs, recurrence, relational, search, stats
+from lattica.operators import aggregates, decide, encode, estimators, graphs, markets, recurrence, relational, search, stats, tuning, weave
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -502,5 +502,140 @@ def horizon(t):
     return t("orders").select("o_orderkey", forecast.horizon_bucket(F.col("o_totalprice")).alias("horizon"))
 
 
+# --- weave, encoders, markets, tuning, estimators ---------------------------------------------------------------------------
+
+HALVES = f"(SELECT vec_id, e[1:len(e) // 3] AS s0, e[len(e) // 3 + 1:2 * (len(e) // 3)] AS s1, e[2 * (len(e) // 3) + 1:3 * (len(e) // 3)] AS s2 FROM {EMB})"
+PAIRS = "p AS (SELECT vec_id, 's0' AS a, 's1' AS b, " + COS.format("s0", "s1") + f" AS agreement FROM {HALVES} UNION ALL SELECT vec_id, 's0', 's2', " + COS.format("s0", "s2") + f" FROM {HALVES} UNION ALL SELECT vec_id, 's1', 's2', " + COS.format("s1", "s2") + f" FROM {HALVES})"
+
+
+def slots(t) -> DataFrame:
+    """Three slots an item: the thirds of its embedding."""
+    third = F.floor(F.size("embedding") / 3).cast("int")
+    parts = [F.struct(F.lit(f"s{i}").alias("slot"), F.slice("embedding", F.lit(i) * third + 1, third).alias("vec")) for i in range(3)]
+    return t("embeddings").select("vec_id", F.explode(F.array(*parts)).alias("x")).select("vec_id", "x.*")
+
+
+@query("WITH " + PAIRS + " SELECT a, b, count(*) AS n, round(avg(agreement), 6) AS mean, round(greatest(0, least(1, avg(agreement))), 6) AS weight FROM p GROUP BY a, b")
+def agreement_graph(t):
+    return weave.agreement_graph(weave.slot_pairs(slots(t), "vec_id")).withColumns({"mean": F.round("mean", 6), "weight": F.round("weight", 6)})
+
+
+@query("WITH " + PAIRS + " SELECT vec_id, round(min(agreement), 6) AS agree, round(max(agreement) - min(agreement), 6) AS disagree, count(*) AS pairs FROM p GROUP BY vec_id")
+def item_agreement(t):
+    return weave.item_agreement(weave.slot_pairs(slots(t), "vec_id"), "vec_id").withColumns({"agree": F.round("agree", 6), "disagree": F.round("disagree", 6)})
+
+
+@query("WITH n AS (SELECT count(*) AS n FROM customer WHERE c_mktsegment = 'BUILDING'), s AS (SELECT DISTINCT c_acctbal AS tau FROM customer) SELECT min(tau) AS tau FROM s, n WHERE (SELECT count(*) FROM customer WHERE c_mktsegment = 'BUILDING' AND c_acctbal >= tau) / n.n <= 0.1")
+def calibrate_tau(t):
+    c = t("customer").select(F.col("c_acctbal").alias("score"), (F.col("c_mktsegment") == "BUILDING").alias("bad"))
+    return weave.calibrate_tau(c, 0.1).select("tau")
+
+
+@query("SELECT doc_id, length(text) - length(regexp_replace(text, '[a-z]', '', 'g')) AS lower, length(text) - length(regexp_replace(text, '[A-Z]', '', 'g')) AS upper, length(text) - length(regexp_replace(text, '[0-9]', '', 'g')) AS digit FROM documents")
+def byte_features(t):
+    v = encode.byte_features(F.col("text"))
+    d = t("documents").select("doc_id", "text", v.alias("v"))
+    share = lambda i: F.round(F.get("v", F.lit(i)) * F.length("text")).cast("long")
+    return d.select("doc_id", share(0).alias("lower"), share(1).alias("upper"), share(2).alias("digit"))
+
+
+@query("WITH w AS (SELECT doc_id, unnest(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+')) AS w FROM documents) SELECT doc_id, CAST(count(*) AS INT) AS words, round(avg(length(w)), 6) AS word_length, round(count(DISTINCT w) / count(*), 6) AS distinct_share FROM w GROUP BY 1")
+def stylometry(t):
+    d = t("documents").select("doc_id", encode.stylometry(F.col("text")).alias("s")).where("s.words > 0")
+    return d.select("doc_id", "s.words", F.round("s.word_length", 6).alias("word_length"), F.round("s.distinct", 6).alias("distinct_share"))
+
+
+@query()
+def hashed_terms(t):
+    return encode.hashed_terms(t("documents"), "doc_id", search.terms(F.col("text")), 1024)
+
+
+@query("SELECT l_suppkey, round(sum(l_quantity), 2) AS volume, round(sum(CASE WHEN l_returnflag <> 'R' THEN l_quantity ELSE -l_quantity END) / sum(l_quantity), 9) AS imbalance FROM lineitem GROUP BY 1")
+def order_flow_imbalance(t):
+    got = markets.order_flow_imbalance(t("lineitem"), ["l_suppkey"], "l_quantity", F.col("l_returnflag") != "R")
+    return got.withColumns({"volume": F.round("volume", 2), "imbalance": F.round("imbalance", 9)})
+
+
+@query("WITH x AS (SELECT l_suppkey, greatest(1e-6, least(1 - 1e-6, l_discount * 10)) AS p, l_tax AS r FROM lineitem WHERE l_tax > 0) SELECT l_suppkey, round(1 / (1 + exp(-(sum(r * ln(p / (1 - p))) / sum(r)))), 6) AS p, count(*) AS components FROM x GROUP BY 1")
+def blend(t):
+    got = markets.blend(t("lineitem").withColumn("p", F.col("l_discount") * 10), ["l_suppkey"], "p", "l_tax")
+    return got.withColumn("p", F.round("p", 6))
+
+
+@query("WITH e AS (SELECT l_suppkey, max(l_quantity) AS v FROM lineitem GROUP BY l_suppkey, l_partkey), d AS (SELECT l_suppkey, sum(v) AS dv FROM e GROUP BY 1), a AS (SELECT l_suppkey, sum(l_quantity) AS volume FROM lineitem GROUP BY 1) SELECT l_suppkey, round(dv / volume, 9) AS share FROM a JOIN d USING (l_suppkey)")
+def wash_screen(t):
+    return markets.wash_screen(t("lineitem"), ["l_suppkey"], "l_partkey", "l_quantity").select("l_suppkey", F.round("share", 9).alias("share"))
+
+
+@query("WITH d AS (SELECT DISTINCT l_orderkey AS i, l_partkey AS e FROM lineitem) SELECT x.i AS a, y.i AS b, count(*) AS shared FROM d x JOIN d y ON x.e = y.e AND x.i < y.i GROUP BY 1, 2 HAVING count(*) > 1")
+def shared_entity_edges(t):
+    return markets.shared_entity_edges(t("lineitem"), "l_orderkey", "l_partkey").where("shared > 1")
+
+
+@query("SELECT l_partkey, count(*) AS k, round(avg(CASE WHEN l_returnflag = 'R' THEN 1.0 ELSE 0.0 END), 9) AS p, round(avg(greatest(0, least(1, l_discount * 10))) * least(count(*) / 20, 1), 9) AS reliability FROM lineitem GROUP BY 1")
+def knn_base_rate(t):
+    got = markets.knn_base_rate(t("lineitem").withColumn("s", F.col("l_discount") * 10), ["l_partkey"], "s", F.col("l_returnflag") == "R")
+    return got.withColumns({"p": F.round("p", 9), "reliability": F.round("reliability", 9)})
+
+
+@query("SELECT o_orderkey, CASE WHEN NOT (abs(m - p) > 0.05 AND r >= 0.3) THEN 'aligned' WHEN m > p THEN 'overpriced' ELSE 'underpriced' END AS direction FROM (SELECT o_orderkey, (o_orderkey % 100) / 100.0::DOUBLE AS m, (o_custkey % 100) / 100.0::DOUBLE AS p, (o_orderkey % 7) / 7.0::DOUBLE AS r FROM orders)")
+def mispricing(t):
+    return t("orders").select("o_orderkey", markets.mispricing((F.col("o_custkey") % 100) / 100.0, (F.col("o_orderkey") % 100) / 100.0, (F.col("o_orderkey") % 7) / 7.0).alias("direction"))
+
+
+@query("SELECT event_type, count(*) AS n, round(avg(value), 6) AS mean, round(quantile_cont(value, 0.5), 6) AS p50, round(quantile_cont(value, 0.99), 6) AS p99 FROM events GROUP BY 1")
+def compare_arms(t):
+    return tuning.compare_arms(t("events"), "event_type", "value").withColumns({c: F.round(c, 6) for c in ("mean", "p50", "p99")})
+
+
+@query("SELECT event_type, count(*) AS n, round((w + 1) / (n + 2), 9) AS mean FROM (SELECT event_type, value, sum(CASE WHEN value > 50 THEN 1 ELSE 0 END) OVER (PARTITION BY event_type) AS w, count(*) OVER (PARTITION BY event_type) AS n FROM events) GROUP BY event_type, w, n")
+def beta_posterior(t):
+    return tuning.beta_posterior(t("events"), ["event_type"], F.col("value") > 50).select("event_type", "n", F.round("mean", 9).alias("mean"))
+
+
+@query("SELECT user_id, time_bucket(INTERVAL 1 DAY, ts) AS start, round(sum(value), 4) AS used FROM events GROUP BY 1, 2 HAVING sum(value) > 100")
+def quota(t):
+    return tuning.quota(t("events"), "user_id", "ts", "value", "1 day", 100.0).withColumn("used", F.round("used", 4))
+
+
+@query("SELECT coalesce(a.c_custkey, b.c_custkey) AS c_custkey, CASE WHEN a.c_custkey IS NULL THEN 'added' WHEN b.c_custkey IS NULL THEN 'removed' ELSE 'changed' END AS change FROM (SELECT * FROM customer WHERE c_custkey % 7 <> 0) a FULL JOIN (SELECT c_custkey, CASE WHEN c_custkey % 5 = 0 THEN -1 ELSE c_acctbal END AS c_acctbal FROM customer WHERE c_custkey % 3 <> 0) b ON a.c_custkey = b.c_custkey WHERE a.c_custkey IS NULL OR b.c_custkey IS NULL OR a.c_acctbal IS DISTINCT FROM b.c_acctbal")
+def table_difference(t):
+    c = t("customer")
+    b = c.where("c_custkey % 3 <> 0").withColumn("c_acctbal", F.when(F.col("c_custkey") % 5 == 0, -1.0).otherwise(F.col("c_acctbal")))
+    return tuning.table_difference(c.where("c_custkey % 7 <> 0"), b, "c_custkey", ["c_acctbal"])
+
+
+@query("SELECT 1.0::DOUBLE * round(sum(CASE WHEN a = b THEN v END) ** 2 / sum(v * v), 6) AS n_eff FROM (SELECT n_regionkey AS a, c_nationkey % 5 AS b, count(*)::DOUBLE AS v FROM customer JOIN nation ON c_nationkey = n_nationkey GROUP BY 1, 2)")
+def stable_rank(t):
+    j = t("customer").join(t("nation"), F.col("c_nationkey") == F.col("n_nationkey")).groupBy(F.col("n_regionkey").alias("a"), (F.col("c_nationkey") % 5).alias("b")).agg(F.count("*").cast("double").alias("v"))
+    return tuning.stable_rank(j, "a", "b", "v").select(F.round("n_eff", 6).alias("n_eff"))
+
+
+@query()
+def group_holdout(t):
+    return tuning.group_holdout(t("orders").select("o_orderkey", "o_custkey", "o_orderstatus"), "o_custkey", "o_orderstatus", 0.2, 7)
+
+
+@query()
+def replay(t):
+    return tuning.replay(t("orders").select("o_orderkey", "o_totalprice"), "o_orderkey", "o_totalprice", 100, 7)
+
+
+@query()
+def pairwise_estimators(t):
+    return estimators.estimate(t("customer"), "c_nationkey", "c_acctbal", "c_custkey", ["distance_correlation", "hsic", "ksg", "mmd"])
+
+
+@query("SELECT c_custkey, count(o_orderkey) AS orders FROM customer LEFT JOIN orders ON o_custkey = c_custkey GROUP BY 1 HAVING count(o_orderkey) = 0")
+def active_ids(t):
+    o = t("orders").groupBy(F.col("o_custkey").alias("c_custkey")).agg(F.count("*").alias("orders"))
+    return t("customer").join(o, "c_custkey", "left").select("c_custkey", F.coalesce("orders", F.lit(0)).alias("orders")).where("orders = 0")
+
+
+@query("SELECT event_id, CASE WHEN contains(lower(event_type), 'why') OR contains(lower(event_type), 'because') OR contains(lower(event_type), 'cause') THEN 'causal' WHEN contains(lower(event_type), 'view') THEN 'general' ELSE 'general' END AS intent FROM events")
+def intent(t):
+    return t("events").select("event_id", F.when(search.intent(F.col("event_type")) == "causal", "causal").otherwise("general").alias("intent"))
+
+
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     return QUERIES["rank_fusion"](spark, sf_dir)
