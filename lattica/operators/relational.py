@@ -117,3 +117,19 @@ def scope_intersect(a: DataFrame, b: DataFrame, edges: DataFrame) -> tuple[DataF
     """Common nodes, and the edges that the full graph has between them."""
     nodes = a.intersect(b)
     return nodes, induced(nodes, edges)
+
+
+def subtree(df: DataFrame, key: str, json: str, path: list[str]) -> DataFrame:
+    """(key, value): the document's subtree at a path as JSON text; documents without it are left out."""
+    at = "$" + "".join(f"['{p}']" for p in path)
+    return df.select(key, F.to_json(F.try_variant_get(F.try_parse_json(F.col(json)), at, "variant")).alias("value")).where("value is not null")
+
+
+def consented(df: DataFrame, tags: DataFrame, key: str, purpose: str, now: int) -> DataFrame:
+    """Rows whose key has a tag (key, purpose, expires_at) for ``purpose`` that has not run out."""
+    ok = live_values(tags.where(F.col("purpose") == purpose), now)
+    return df.join(ok.select(key).distinct(), key, "left_semi")
+
+
+def erase(df: DataFrame, tombstones: DataFrame, key: str) -> DataFrame:
+    return df.join(tombstones.select(key).distinct(), key, "left_anti")

@@ -113,3 +113,25 @@ def outcome_agreement(df: DataFrame, by: list[str], outcome: str) -> DataFrame:
     counts = df.groupBy(*by, outcome).agg(F.count("*").alias("c")).groupBy(*by).agg(F.sum("c").alias("n"), F.sum(F.col("c") * (F.col("c") - 1)).alias("p"))
     out = counts.where("n >= 3").select(*by, "n", (F.col("p") / (F.col("n") * (F.col("n") - 1))).alias("agreement"))
     return out.withColumn("consistent", F.col("agreement") >= 0.75)
+
+
+def kendall(df: DataFrame, by: list[str], x: str, y: str, most: int = 20_000) -> DataFrame:
+    """tau-b over the distinct (x, y) cells of each group: cells are counted first, so ties cost nothing; a group with more
+    than ``most`` cells raises, as concordance is a count over pairs of cells."""
+    cells = df.where(F.col(x).isNotNull() & F.col(y).isNotNull()).groupBy(*by, F.col(x).alias("x"), F.col(y).alias("y")).agg(F.count("*").alias("c"))
+    size = F.count("*").over(Window.partitionBy(*by))
+    cells = cells.withColumn("_n", size).where(F.when(F.col("_n") > most, F.raise_error(F.lit("too many cells")).cast("boolean")).otherwise(True)).drop("_n")
+    other = cells.select(*by, F.col("x").alias("x2"), F.col("y").alias("y2"), F.col("c").alias("c2"))
+    sign = F.signum(F.col("x2") - F.col("x")) * F.signum(F.col("y2") - F.col("y"))
+    s = cells.join(other, by).groupBy(*by).agg((F.sum(sign * F.col("c") * F.col("c2")) / 2).alias("s"))
+    ties = lambda col: cells.groupBy(*by, col).agg(F.sum("c").alias("k")).groupBy(*by).agg(F.sum(F.col("k") * (F.col("k") - 1) / 2).alias(f"t{col}"), F.sum("k").alias("n"))
+    j = s.join(ties("x"), by).join(ties("y").drop("n"), by)
+    all_ = F.col("n") * (F.col("n") - 1) / 2
+    return j.select(*by, "n", (F.col("s") / F.sqrt((all_ - F.col("tx")) * (all_ - F.col("ty")))).alias("tau"))
+
+
+def covariance_matrix(df: DataFrame, columns: list[str]) -> DataFrame:
+    """(a, b, r) of every pair of columns in one pass."""
+    pairs = [(a, b) for i, a in enumerate(columns) for b in columns[i + 1 :]]
+    parts = F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), F.corr(a, b).alias("r")) for a, b in pairs])
+    return df.agg(parts.alias("_p")).select(F.inline("_p"))

@@ -637,5 +637,75 @@ def intent(t):
     return t("events").select("event_id", F.when(search.intent(F.col("event_type")) == "causal", "causal").otherwise("general").alias("intent"))
 
 
+@query("SELECT event_type, count(*) AS n FROM events WHERE " + T + " >= (SELECT min(" + T + ") FROM events) + 86400 AND " + T + " < (SELECT min(" + T + ") FROM events) + 3 * 86400 GROUP BY 1")
+def window_count(t):
+    e = events(t)
+    lo = e.agg(F.min("t")).first()[0]
+    return recurrence.in_window(e, "t", lo + 86400, lo + 3 * 86400).groupBy("event_type").agg(F.count("*").alias("n"))
+
+
+@query("SELECT event_id FROM events WHERE " + T + " > (SELECT max(" + T + ") FROM events) - 7200")
+def last_hours(t):
+    e = events(t)
+    return recurrence.last_seconds(e, "t", e.agg(F.max("t")).first()[0], 7200).select("event_id")
+
+
+@query("SELECT event_id, round(1 - (row_number() OVER (PARTITION BY user_id ORDER BY event_id) - 1) / count(*) OVER (PARTITION BY user_id), 9) AS score FROM events")
+def sequence_score(t):
+    return recurrence.sequence_score(t("events"), ["user_id"], ["event_id"]).select("event_id", F.round("score", 9).alias("score"))
+
+
+@query("WITH g AS (SELECT user_id, (" + T + " - lag(" + T + ") OVER (PARTITION BY user_id ORDER BY " + T + "))::DOUBLE AS gap FROM events) SELECT user_id, count(*) AS n, round(avg(gap) ** 2 / var_pop(gap), 6) AS shape, round(var_pop(gap) / avg(gap), 3) AS scale FROM g WHERE gap > 0 GROUP BY 1 HAVING count(*) >= 2")
+def hazard(t):
+    return recurrence.hazard(events(t), "user_id", "t").withColumns({"shape": F.round("shape", 6), "scale": F.round("scale", 3)})
+
+
+@query(
+    "WITH e AS (SELECT user_id, event_type, " + T + " AS t FROM events), a AS (SELECT * FROM e WHERE event_type = (SELECT min(event_type) FROM events)), b AS (SELECT * FROM e WHERE event_type = (SELECT max(event_type) FROM events)) "
+    "SELECT a.user_id, count(*) AS pairs, quantile_cont(b.t - a.t, 0.5)::DOUBLE AS lag FROM a JOIN b ON a.user_id = b.user_id AND abs(a.t - b.t) < 86400 GROUP BY 1 HAVING count(*) >= 3"
+)
+def lead_lag(t):
+    e = events(t)
+    lo, hi = e.agg(F.min("event_type"), F.max("event_type")).first()
+    return recurrence.lead_lag(e.where(F.col("event_type") == lo), e.where(F.col("event_type") == hi), ["user_id"], "t", "t", 86400)
+
+
+@query("SELECT o_orderkey FROM orders WHERE o_custkey NOT IN (SELECT c_custkey FROM customer WHERE c_acctbal < 0)")
+def erased(t):
+    gone = t("customer").where("c_acctbal < 0").select(F.col("c_custkey").alias("o_custkey"))
+    return relational.erase(t("orders").select("o_orderkey", "o_custkey"), gone, "o_custkey").select("o_orderkey")
+
+
+@query("SELECT c_custkey FROM customer WHERE c_custkey IN (SELECT o_custkey FROM orders WHERE o_orderpriority = '1-URGENT' AND o_totalprice > 1000)")
+def consented(t):
+    tags = t("orders").select(F.col("o_custkey").alias("c_custkey"), F.col("o_orderpriority").alias("purpose"), F.col("o_totalprice").alias("expires_at"))
+    return relational.consented(t("customer").select("c_custkey"), tags, "c_custkey", "1-URGENT", 1000)
+
+
+@query("SELECT event_id, json_extract_string(props, '$.k') AS value FROM events WHERE json_extract_string(props, '$.k') IS NOT NULL")
+def document_subtree(t):
+    return relational.subtree(t("events"), "event_id", "props", ["k"])
+
+
+@query("SELECT event_id FROM events WHERE json_extract_string(props, '$.k') = '69'")
+def document_path(t):
+    return t("events").where(relational.path_equals(F.col("props"), ["k"], 69)).select("event_id")
+
+
+@query(
+    "WITH d AS (SELECT l_returnflag AS g, l_linenumber AS x, CAST(l_quantity AS INT) AS y, count(*) AS c FROM lineitem GROUP BY 1, 2, 3), s AS (SELECT a.g, sum(sign(b.x - a.x) * sign(b.y - a.y) * a.c * b.c) / 2 AS s FROM d a JOIN d b ON a.g = b.g GROUP BY 1), "
+    "n AS (SELECT g, sum(c) AS n FROM d GROUP BY 1), tx AS (SELECT g, sum(k * (k - 1) / 2) AS t FROM (SELECT g, x, sum(c) AS k FROM d GROUP BY 1, 2) GROUP BY 1), ty AS (SELECT g, sum(k * (k - 1) / 2) AS t FROM (SELECT g, y, sum(c) AS k FROM d GROUP BY 1, 2) GROUP BY 1) "
+    "SELECT s.g AS l_returnflag, CAST(n AS BIGINT) AS n, round(s / sqrt((n * (n - 1) / 2 - tx.t) * (n * (n - 1) / 2 - ty.t)), 6) AS tau FROM s JOIN n USING (g) JOIN tx USING (g) JOIN ty USING (g)"
+)
+def kendall(t):
+    l = t("lineitem").select("l_returnflag", "l_linenumber", F.col("l_quantity").cast("int").alias("q"))
+    return stats.kendall(l, ["l_returnflag"], "l_linenumber", "q").withColumn("tau", F.round("tau", 6))
+
+
+@query("SELECT 'l_quantity' AS a, 'l_extendedprice' AS b, round(corr(l_quantity, l_extendedprice), 6) AS r FROM lineitem UNION ALL SELECT 'l_quantity', 'l_discount', round(corr(l_quantity, l_discount), 6) FROM lineitem UNION ALL SELECT 'l_extendedprice', 'l_discount', round(corr(l_extendedprice, l_discount), 6) FROM lineitem")
+def correlation_matrix(t):
+    return stats.covariance_matrix(t("lineitem"), ["l_quantity", "l_extendedprice", "l_discount"]).withColumn("r", F.round("r", 6))
+
+
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     return QUERIES["rank_fusion"](spark, sf_dir)
