@@ -525,9 +525,9 @@ def item_agreement(t):
     return weave.item_agreement(weave.slot_pairs(slots(t), "vec_id"), "vec_id").withColumns({"agree": F.round("agree", 6), "disagree": F.round("disagree", 6)})
 
 
-@query("WITH n AS (SELECT count(*) AS n FROM customer WHERE c_mktsegment = 'BUILDING'), s AS (SELECT DISTINCT c_acctbal AS tau FROM customer) SELECT min(tau) AS tau FROM s, n WHERE (SELECT count(*) FROM customer WHERE c_mktsegment = 'BUILDING' AND c_acctbal >= tau) / n.n <= 0.1")
+@query("WITH n AS (SELECT count(*) AS n FROM customer WHERE c_mktsegment <> 'BUILDING'), s AS (SELECT DISTINCT c_acctbal AS tau FROM customer) SELECT min(tau) AS tau FROM s, n WHERE (SELECT count(*) FROM customer WHERE c_mktsegment <> 'BUILDING' AND c_acctbal >= tau) / n.n <= 0.1")
 def calibrate_tau(t):
-    c = t("customer").select(F.col("c_acctbal").alias("score"), (F.col("c_mktsegment") == "BUILDING").alias("bad"))
+    c = t("customer").select(F.col("c_acctbal").alias("score"), (F.col("c_mktsegment") != "BUILDING").alias("bad"))
     return weave.calibrate_tau(c, 0.1).select("tau")
 
 
