@@ -32,6 +32,8 @@ from lattica.llm.text import hashes, mix, space_words, windows
 BROADCAST_ROWS = 1_000_000
 #: Members of a region that are held together, in the order of their distance from its pivot.
 SLAB = 256
+#: Cells of a set's sketch: counts of its shingles by hash.
+CELLS = 64
 #: Keys over which the rows of one group of equal sets are dealt.
 SALTS = 16
 
@@ -62,6 +64,12 @@ def set_key(h: np.ndarray) -> tuple[int, int]:
     return int(a.astype(np.int64)), int(b.astype(np.int64))
 
 
+def sketch(h: np.ndarray) -> bytes:
+    """How many shingles of the set fall into each of ``CELLS`` hash cells. The cells' differences of two sets add up to at
+    most their symmetric difference, another triangle inequality."""
+    return np.bincount((h >> np.uint64(20)).astype(np.int64) % CELLS, minlength=CELLS).astype(np.int32).tobytes()
+
+
 def region_keys(h: np.ndarray, percent: int, limits: list[int]) -> np.ndarray:
     """The regions of a sorted set: for its own size class as the larger or equal partner, for the next one as the smaller."""
     n = len(h)
@@ -130,15 +138,16 @@ def shared_regions(rows: DataFrame) -> DataFrame:
 
 
 def payloads(docs: DataFrame, wanted: DataFrame, k: int) -> DataFrame:
-    """(key, rep, blob): the compressed words of one document for each key of ``wanted`` (key, rep)."""
+    """(key, rep, blob, sketch): the compressed words of one document for each key of ``wanted`` (key, rep), and its sketch."""
     small = wanted.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
     chosen = wanted.select("key", "rep")
     mine = docs.select(F.col("doc_id").cast("long").alias("rep"), "text").join(F.broadcast(chosen) if small else chosen, "rep")
 
     def fn(texts):
-        return [[zlib.compress(b" ".join(space_words(t)), 1) for t in texts], [set_key(shingle_set(t, k))[0] for t in texts]]
+        sets = [shingle_set(t, k) for t in texts]
+        return [[zlib.compress(b" ".join(space_words(t)), 1) for t in texts], [set_key(h)[0] for h in sets], [sketch(h) for h in sets]]
 
-    fields = T.StructType([T.StructField("blob", T.BinaryType()), T.StructField("own", T.LongType())])
+    fields = T.StructType([T.StructField("blob", T.BinaryType()), T.StructField("own", T.LongType()), T.StructField("sketch", T.BinaryType())])
     # a repeated id with another text is not the document that was chosen
     return save(annotate(mine, fn, fields, ("key", "rep")).where("own = key").drop("own"), "payloads")
 
@@ -188,7 +197,8 @@ def jaccard_labels(docs: DataFrame, reps: DataFrame, k: int, percent: int) -> Da
     near = measured.select("p", F.col("x").alias("key"), F.col("rx").alias("rep"), (1 - F.col("both") / F.col("either")).alias("d"))
     left = pivoted.join(near, ["p", "key"]).join(labels.select(F.col("node").alias("rep"), "label"), "rep", "left")
     left = open_regions(left.select("region", "key", "d", F.coalesce("label", "rep").alias("label")))
-    more = save(slab_links(slabs(left, percent), blobs, k, percent), "links")
+    placed = save(near_members(slabs(left, percent), blobs, percent), "near")
+    more = save(slab_links(placed, blobs, k, percent), "links")
     return components(edges.unionByName(more))
 
 
@@ -210,6 +220,65 @@ def slabs(left: DataFrame, percent: int) -> DataFrame:
     return home.unionByName(guests.select("region", F.col("to").alias("slab"), F.lit(True).alias("guest"), "key", "label"))
 
 
+def by_slab(rows: DataFrame, fields: tuple[str, ...], schema: str, make, settle) -> DataFrame:
+    """Rows sorted by slab, members before guests: ``make`` turns a row's fields into an entry, ``settle`` gets a slab's
+    members and a block of guests (None: the members among themselves) and returns tuples of ``schema``. A task holds one
+    slab and one block of guests."""
+    rows = rows.repartition("region", "slab").sortWithinPartitions("region", "slab", "guest", "key")
+    names = [x.split()[0] for x in schema.split(", ")]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        group, home, guests, found = None, [], [], []
+
+        def close(whole: bool) -> None:
+            if home and guests:
+                found.extend(settle(group, home, guests))
+            guests.clear()
+            if whole and len(home) > 1:
+                found.extend(settle(group, home, None))
+
+        def out() -> pa.RecordBatch:
+            made = pa.RecordBatch.from_arrays([pa.array([x[i] for x in found], pa.bool_() if n == "guest" else pa.int64()) for i, n in enumerate(names)], names=names)
+            found.clear()
+            return made
+
+        for batch in batches:
+            for region, slab, guest, *rest in zip(*(batch.column(c).to_pylist() for c in ("region", "slab", "guest", *fields)), strict=True):
+                if (region, slab) != group:
+                    close(True)
+                    group, home = (region, slab), []
+                elif len(guests) == SLAB:
+                    close(False)
+                (guests if guest else home).append(make(*rest))
+            yield out()
+        close(True)
+        yield out()
+
+    return rows.select("region", "slab", "guest", "key", *[f for f in fields if f != "key"]).mapInArrow(run, schema)
+
+
+def near_members(placed: DataFrame, blobs: DataFrame, percent: int) -> DataFrame:
+    """The rows of ``placed`` that have a partner in their slab with another label and a sketch near enough for a link."""
+
+    def make(key, label, data):
+        return key, label, np.frombuffer(data, np.int32)
+
+    def settle(group, home, other):
+        b = home if other is None else other
+        sa, sb = np.stack([x[2] for x in home]), np.stack([x[2] for x in b])
+        la, lb = np.array([x[1] for x in home]), np.array([x[1] for x in b])
+        apart = np.zeros((len(home), len(b)), np.int32)
+        for c in range(CELLS):
+            apart += np.abs(sa[:, None, c] - sb[None, :, c])
+        most = (sa.sum(1)[:, None] + sb.sum(1)[None, :]) * (100 - percent) // (100 + percent)
+        hit = (apart <= most) & (la[:, None] != lb[None, :])
+        rows = [(*group, False, home[i][0], home[i][1]) for i in np.flatnonzero(hit.any(1)).tolist()]
+        return rows + ([] if other is None else [(*group, True, b[j][0], b[j][1]) for j in np.flatnonzero(hit.any(0)).tolist()])
+
+    rows = placed.join(blobs.select("key", "sketch"), "key")
+    return by_slab(rows, ("key", "label", "sketch"), "region long, slab long, guest boolean, key long, label long", make, settle).distinct()
+
+
 def links_between(home: list, other: list | None, percent: int) -> list[tuple[int, int]]:
     """(rep, rep) links of members (label, rep, set) of ``home`` with ``other`` (None: among themselves) whose labels
     differ: for each of ``other`` and each label of ``home`` one."""
@@ -238,40 +307,13 @@ def links_between(home: list, other: list | None, percent: int) -> list[tuple[in
 
 
 def slab_links(placed: DataFrame, blobs: DataFrame, k: int, percent: int) -> DataFrame:
-    """Links (a, b) inside each slab, and between its members and its guests, of different labels. A task holds the sets of
-    one slab and of a block of guests at a time."""
+    """Links (a, b) inside each slab, and between its members and its guests, of different labels."""
     rows = placed.join(blobs, "key").select("region", "slab", "guest", "key", "label", "rep", "blob")
-    rows = rows.repartition("region", "slab").sortWithinPartitions("region", "slab", "guest", "key")
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        group, home, guests, found = None, [], [], []
-
-        def settle(whole: bool) -> None:
-            """Joins the block of guests; with ``whole`` also the slab itself, once."""
-            if home and guests:
-                found.extend(links_between(home, guests, percent))
-            guests.clear()
-            if whole and len(home) > 1:
-                found.extend(links_between(home, None, percent))
-
-        def out() -> pa.RecordBatch:
-            made = pa.RecordBatch.from_arrays([pa.array([x[i] for x in found], pa.int64()) for i in (0, 1)], names=["a", "b"])
-            found.clear()
-            return made
 
-        for batch in batches:
-            for region, slab, guest, label, rep, blob in zip(*(batch.column(c).to_pylist() for c in ("region", "slab", "guest", "label", "rep", "blob")), strict=True):
-                if (region, slab) != group:
-                    settle(True)
-                    group, home = (region, slab), []
-                elif len(guests) == SLAB:
-                    settle(False)
-                (guests if guest else home).append((label, rep, np.unique(windows(hashes(zlib.decompress(blob).split()), k))))
-            yield out()
-        settle(True)
-        yield out()
+    def make(label, rep, blob):
+        return label, rep, np.unique(windows(hashes(zlib.decompress(blob).split()), k))
 
-    return rows.mapInArrow(run, "a long, b long")
+    return by_slab(rows, ("label", "rep", "blob"), "a long, b long", make, lambda _, home, other: links_between(home, other, percent))
 
 
 def link_documents(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
