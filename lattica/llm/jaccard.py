@@ -221,21 +221,22 @@ def slabs(left: DataFrame, percent: int) -> DataFrame:
 
 
 def by_slab(rows: DataFrame, fields: tuple[str, ...], schema: str, make, settle) -> DataFrame:
-    """Rows sorted by slab, members before guests: ``make`` turns a row's fields into an entry, ``settle`` gets a slab's
-    members and a block of guests (None: the members among themselves) and returns tuples of ``schema``. A task holds one
+    """Rows sorted by slab, members before guests: ``make`` turns a row's fields into an entry, ``settle()``, made
+    anew for each task, gets a slab's members and a block of guests (None: the members among themselves) and returns
+    tuples of ``schema``. A task holds one
     slab and one block of guests."""
     rows = rows.repartition("region", "slab").sortWithinPartitions("region", "slab", "guest", "key")
     names = [x.split()[0] for x in schema.split(", ")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        group, home, guests, found = None, [], [], []
+        group, home, guests, found, settled = None, [], [], [], settle()
 
         def close(whole: bool) -> None:
             if home and guests:
-                found.extend(settle(group, home, guests))
+                found.extend(settled(group, home, guests))
             guests.clear()
             if whole and len(home) > 1:
-                found.extend(settle(group, home, None))
+                found.extend(settled(group, home, None))
 
         def out() -> pa.RecordBatch:
             made = pa.RecordBatch.from_arrays([pa.array([x[i] for x in found], pa.bool_() if n == "guest" else pa.int64()) for i, n in enumerate(names)], names=names)
@@ -276,11 +277,11 @@ def near_members(placed: DataFrame, blobs: DataFrame, percent: int) -> DataFrame
         return rows + ([] if other is None else [(*group, True, b[j][0], b[j][1]) for j in np.flatnonzero(hit.any(0)).tolist()])
 
     rows = placed.join(blobs.select("key", "sketch"), "key")
-    return by_slab(rows, ("key", "label", "sketch"), "region long, slab long, guest boolean, key long, label long", make, settle).distinct()
+    return by_slab(rows, ("key", "label", "sketch"), "region long, slab long, guest boolean, key long, label long", make, lambda: settle).distinct()
 
 
-def links_between(home: list, other: list | None, percent: int) -> list[tuple[int, int]]:
-    """(rep, rep) links of members (label, rep, set) of ``home`` with ``other`` (None: among themselves) whose labels
+def links_between(home: list, other: list | None, percent: int) -> list[tuple[int, int, int, int]]:
+    """(rep, rep, label, label) links of members (label, rep, set) of ``home`` with ``other`` (None: among themselves) whose labels
     differ: for each of ``other`` and each label of ``home`` one."""
     a, b = home, home if other is None else other
     na, nb = np.array([len(x[2]) for x in a]), np.array([len(x[2]) for x in b])
@@ -302,8 +303,8 @@ def links_between(home: list, other: list | None, percent: int) -> list[tuple[in
     out: dict = {}
     for i, j in np.argwhere(linked).tolist():
         if other is not None or i < j:
-            out.setdefault((b[j][1], a[i][0]), a[i][1])
-    return [(rep, to) for (rep, _), to in out.items()]
+            out.setdefault((b[j][1], a[i][0]), (a[i][1], b[j][0]))
+    return [(rep, to, label, own) for (rep, label), (to, own) in out.items()]
 
 
 def slab_links(placed: DataFrame, blobs: DataFrame, k: int, percent: int) -> DataFrame:
@@ -313,7 +314,26 @@ def slab_links(placed: DataFrame, blobs: DataFrame, k: int, percent: int) -> Dat
     def make(label, rep, blob):
         return label, rep, np.unique(windows(hashes(zlib.decompress(blob).split()), k))
 
-    return by_slab(rows, ("label", "rep", "blob"), "a long, b long", make, lambda _, home, other: links_between(home, other, percent))
+    def settle():
+        up: dict[int, int] = {}
+
+        def root(x: int) -> int:
+            while (y := up.get(x, x)) != x:
+                up[x] = x = up.get(y, y)
+            return x
+
+        def links(_, home: list, other: list | None) -> list[tuple[int, int]]:
+            """Only links that join labels which the task's links have not joined yet."""
+            out = []
+            for a, b, la, lb in links_between(home, other, percent):
+                if (x := root(la)) != (y := root(lb)):
+                    up[x] = y
+                    out.append((a, b))
+            return out
+
+        return links
+
+    return by_slab(rows, ("label", "rep", "blob"), "a long, b long", make, settle)
 
 
 def link_documents(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
