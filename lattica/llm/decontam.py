@@ -277,10 +277,13 @@ def contract(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, window: int = 8, least_items: int = 2) -> DataFrame:
     """``docs`` without the rows of which a whole ``window`` of words lies in benchmark text, or which hold (shorter) items
-    of ``least_items`` ids or more; all columns stay. Rows that repeat an id share the decision; null ids are one id.
+    of ``least_items`` ids or more; all columns stay. Each row is decided by its own text: rows are told apart by a hash
+    of id and text, so null ids and repeated ids share nothing but equal texts.
     """
-    bad = match_phrases(docs, benchmark, window).where((F.col("n_hit") >= window) | (F.col("n_items") >= least_items)).select(F.col("doc_id").alias("bad_id")).distinct()
-    return docs.join(bad, docs["doc_id"].cast("long").eqNullSafe(bad["bad_id"]), "left_anti")
+    row = F.xxhash64(docs["doc_id"].cast("long"), docs["text"])
+    found = match_phrases(docs.select(row.alias("doc_id"), "text"), benchmark, window)
+    bad = found.where((F.col("n_hit") >= window) | (F.col("n_items") >= least_items)).select(F.col("doc_id").alias("bad_row")).distinct()
+    return docs.join(bad, row == bad["bad_row"], "left_anti")
 
 
 __all__ = ["build_index", "contract", "drop_contaminated", "match_phrases", "match_proximity"]

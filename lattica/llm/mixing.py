@@ -122,9 +122,13 @@ def contract(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def sample_mixture(docs: DataFrame, labels: DataFrame, domain: str = "lang", targets: dict[str, float] | None = None) -> DataFrame:
-    """``docs`` with each row as often as its id's ``copies`` (0: gone), all columns kept and one added, the ``rate``."""
-    mixed, _, _ = mix(docs, labelled_rows(docs, labels), domain, targets)
-    rate, times = fresh("rate", docs.columns), fresh("copies", docs.columns)
+    """``docs`` with each row as often as its own ``copies`` (0: gone), all columns kept and one added, the ``rate``.
+
+    Rows get a number, written once with the table, and are rated by it, so rows with a null or a repeated id share nothing.
+    """
+    row, rate, times = (fresh(n, docs.columns) for n in ("row", "rate", "copies"))
+    numbered = save(docs.withColumn(row, F.monotonically_increasing_id()), "numbered")
+    mixed, _, _ = mix(numbered.drop("doc_id").withColumnRenamed(row, "doc_id"), labelled_rows(docs, labels), domain, targets)
     mixed = mixed.select(F.col("doc_id").alias("_of"), F.col("rate").alias(rate), F.col("copies").alias(times))
-    joined = docs.join(mixed, docs["doc_id"].cast("long").eqNullSafe(mixed["_of"])).drop("_of").where(F.col(times) > 0)
+    joined = numbered.join(mixed, numbered[row] == mixed["_of"]).drop("_of", row).where(F.col(times) > 0)
     return joined.withColumn(times, F.explode(F.sequence(F.lit(1), F.col(times).cast("int")))).drop(times)
