@@ -186,7 +186,10 @@ def distances(pairs: DataFrame, blobs: DataFrame, k: int) -> DataFrame:
 
 
 def jaccard_labels(docs: DataFrame, reps: DataFrame, k: int, percent: int) -> DataFrame:
-    """(node, label) of the representatives that link with another: the smallest one reachable."""
+    """(node, label) of the representatives that link with another: the smallest one reachable.
+
+    ``docs`` holds only rows with an id, so every set of a region, and so every pivot, has a representative.
+    """
     held = save(shared_regions(regions(docs, k, percent)), "regions")
     pivoted = held.withColumn("p", F.min("key").over(Window.partitionBy("region"))).where("key <> p")
     pairs = save(pivoted.select("p", F.col("key").alias("x")).distinct(), "pairs")
@@ -341,7 +344,8 @@ def link_documents(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
 
     A set is the distinct ``k``-word shingles of the whole lower-cased text, or with fewer words the whole sequence. Two
     rows link when 100 * intersection >= ``percent`` * union. Null and empty texts have the empty set and are their own
-    component; repeated ids and copies share one. Shingles are compared by 64-bit hashes and equal sets by 128 bits.
+    component; repeated ids and copies share one. Rows with a null id link nothing: they take the component of an equal
+    set, else null. Shingles are compared by 64-bit hashes and equal sets by 128 bits.
     Equal sets are one point of the space; links are found between points only, so copies cost no pairs.
     """
 
@@ -355,7 +359,7 @@ def link_documents(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     sets = save(annotate(own, fn, fields, ("doc_id",)), "sets")
     groups = sets.where("n > 0").groupBy("key", "key2").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"))
     groups = save(groups, "groups")
-    labels = jaccard_labels(own, groups.where("rep is not null"), k, percent)
+    labels = jaccard_labels(own.where("doc_id is not null"), groups.where("rep is not null"), k, percent)
     groups = groups.join(labels.select(F.col("node").alias("rep"), "label"), "rep", "left").withColumn("label", F.coalesce("label", "rep"))
     # Copies meet their group over SALTS keys; a group of one has its only member's salt.
     salt = F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int")
