@@ -18,14 +18,22 @@ ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x2
 ACCESS = re.compile(r"AKIA[A-Z0-9]{12,}", re.A)
 HEX = re.compile(r"[0-9a-f]{32,}", re.A)
 HINTS = ("password", "passwd", "secret", "token", "apikey", "api_key")
-#: name, separator, then a quoted literal, a bare literal or another name; optional + continues a concatenation.
-PAIR = re.compile(
-    r"""(?<![A-Za-z0-9_.-])(?P<q>["']?)(?P<name>[A-Za-z_][A-Za-z0-9_.-]{0,63})(?P=q)[ \t]*(?P<op>:=|=>|=(?!=)|:(?![:/]))[ \t]*(?:(?P<quote>["'])(?P<lit>[^"'\n]{1,512})(?P=quote)|(?P<bare>[^\s"',;(){}\[\]]{1,512}))""",
+#: A quoted literal to its own closing quote (tripled, with escapes, or where those do not close it, plain), whatever its length.
+QUOTED = r"""[A-Za-z@$]{0,2}(?:(?P<triple>\"{3}|'{3})(?P<long>(?s:.+?))(?P=triple)|"(?P<double>[^"\\\n]*+(?:\\.[^"\\\n]*+)*+)"|'(?P<single>[^'\\\n]*+(?:\\.[^'\\\n]*+)*+)'|"(?P<plain>[^"\n]*+)"|'(?P<plain1>[^'\n]*+)')"""
+LITERALS = ("long", "double", "single", "plain", "plain1")
+SEPARATOR = re.compile(r":=|=>|=(?!=)|:(?![:/])")
+VALUE = re.compile(rf"""[ \t]*(?:{QUOTED}|(?P<bare>[^\s"',;(){{}}\[\]]+))""", re.A)
+#: A type between a colon and the assignment: an identifier without digits, with brackets, references and alternatives.
+TYPED = re.compile(
+    r"""[ \t]*(?:[&*?\[\]]+[ \t]*)?(?:'[a-z_]+[ \t]+)?(?:mut[ \t]+)?[A-Za-z_][A-Za-z_.:]*+(?:[\[<(][^=\n"';{}]*[\]>)])?[?!*]*(?:[ \t]*\|[ \t]*[A-Za-z_][A-Za-z_.\[\]]*)*(?P<left>[ \t]*)=(?![=>~])(?=(?P<right>[ \t]*)(?P<quote>[A-Za-z@$]{0,2}["'])?)""",
     re.A,
 )
-SEPARATOR = re.compile("[=:]")
-JOINED = re.compile(r"""[ \t]*\+[ \t]*(?:(?P<quote>["'])(?P<lit>[^"'\n]{0,512})(?P=quote)|(?P<name>[A-Za-z_][A-Za-z0-9_.]{0,63}))""", re.A)
-NAME = re.compile(r"[A-Za-z_][A-Za-z0-9_.]{0,63}", re.A)
+JOINED = re.compile(rf"""[ \t]*\+[ \t]*(?:{QUOTED}|(?P<name>[A-Za-z_][A-Za-z0-9_.]*))""", re.A)
+NAME = re.compile(r"[A-Za-z_][A-Za-z0-9_.]*", re.A)
+NAME_CHARS = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789_.-")
+#: Types and keywords of declarations that put the type behind the name (``const passphrase string = ...``).
+TYPES = {"string", "str", "byte", "bytes", "rune", "text", "char", "varchar", "any"}
+DECLARES = {"const", "var", "let", "val", "final", "static"}
 #: Weights of name parts, fixed values of this scorer.
 SENSITIVE = {
     "password": 3.0, "passwd": 3.0, "pwd": 2.5, "passphrase": 3.0, "secret": 3.0, "token": 2.5, "apikey": 3.0, "api": 1.0, "key": 1.5,
@@ -68,30 +76,97 @@ def literal_score(name: str, value: str) -> float:
     return name_score(name) * min(1.0, entropy(value) / 3.0) * (0.5 + 0.25 * kinds)
 
 
+def word_before(text: str, end: int, low: int) -> int:
+    """Start of the longest run of name characters that ends at ``end``."""
+    while end > low and text[end - 1] in NAME_CHARS:
+        end -= 1
+    return end
+
+
+def blanks_before(text: str, end: int, low: int, others: str = "") -> int:
+    while end > low and (text[end - 1] in " \t" or text[end - 1] in others):
+        end -= 1
+    return end
+
+
+def names_before(text: str, sep: int, low: int) -> list[str]:
+    """The names that an assignment at ``sep`` may define, the likeliest first; ``low`` is the end of what is read already.
+
+    Back from the separator: blanks, a mark of an optional name, array brackets, a quote, the name. Where the word is a
+    type, or a declaration may have the type last, the word before it counts.
+    """
+    end = blanks_before(text, sep, low, "?!" if text[sep] == ":" else "")
+    if text[sep] == "=" and end > low and text[end - 1] == "]":
+        at = end - 1
+        while at > low and text[at - 1].isdigit():
+            at -= 1
+        if at > low and text[at - 1] == "[":
+            end = blanks_before(text, at - 1, low)
+    quote = text[end - 1] if end > low and text[end - 1] in "\"'" else ""
+    end -= len(quote)
+    start = word_before(text, end, low)
+    name = text[start:end]
+    if not name or not (name[0].isalpha() or name[0] == "_"):
+        return []
+    if quote:
+        opened = start > low and text[start - 1] == quote and not (start - 1 > low and text[start - 2] in NAME_CHARS)
+        return [name] if opened else []
+    stop = blanks_before(text, start, low, "[]*&")
+    if text[sep] != "=" or stop == start or not any(c in " \t" for c in text[stop:start]):
+        return [name]
+    first = word_before(text, stop, low)
+    before = text[first:stop]
+    if not before or not (before[0].isalpha() or before[0] == "_"):
+        return [name]
+    if name.lower() in TYPES:
+        return [before] if before.lower() not in DECLARES else [name]
+    keyword_end = blanks_before(text, first, low)
+    if text[word_before(text, keyword_end, low) : keyword_end].lower() in DECLARES and before.lower() not in DECLARES:
+        return sorted((name, before), key=name_score, reverse=True)
+    return [name]
+
+
+def literal_of(m: re.Match) -> str | None:
+    """The group of a quoted literal, if the match has one."""
+    return next((g for g in LITERALS if m[g] is not None), None)
+
+
 def assignments(text: str) -> list[tuple[str, str, int, int]]:
     """(name, value, start, end) of each name-literal pair. A name assigned from another known name takes that
-    constant, with the span of the literal that defined it; ``+`` joins literals and known names."""
+    constant, with the span of the literal that defined it; ``+`` joins literals and known names.
+
+    Literals end where they end. What a name carries into a further ``+`` is bounded, as it could double each time.
+    """
     known: dict[str, tuple[str, int, int]] = {}
     out = []
     at = 0
     for sep in SEPARATOR.finditer(text):
-        if sep.start() < at or (m := PAIR.search(text, max(at, sep.start() - 80), sep.end() + 600)) is None or m.start("op") != sep.start():
+        if sep.start() < at or not (names := names_before(text, sep.start(), at)):
+            continue
+        m = None
+        if sep[0] == ":" and (typed := TYPED.match(text, sep.end())) is not None and (typed["quote"] or typed["left"] and typed["right"]):
+            m = VALUE.match(text, typed.end())
+        if m is None and (m := VALUE.match(text, sep.end())) is None:
             continue
-        name = m["name"]
-        if m["lit"] is not None:
-            value, start, end = m["lit"], m.start("lit"), m.end("lit")
+        if (quoted := literal_of(m)) is not None:
+            value, start, end = m[quoted], *m.span(quoted)
         else:
-            value, start, end = m["bare"], m.start("bare"), m.end("bare")
+            value, start, end = m["bare"], *m.span("bare")
             if NAME.fullmatch(value) and value in known:
                 value, start, end = known[value]
         at = m.end()
+        single = True
         while (more := JOINED.match(text, at)) is not None:
-            piece = more["lit"] if more["lit"] is not None else known.get(more["name"], ("", 0, 0))[0]
-            value, at = (value + piece)[:4096], more.end()
-            if more["lit"] is not None and start <= more.start("lit"):
-                end = more.end("lit")
-        known[name] = (value, start, end)
-        out.append((name, value, start, end))
+            single, at = False, more.end()
+            if (quoted := literal_of(more)) is not None:
+                value += more[quoted]
+                if start <= more.start(quoted):
+                    end = more.end(quoted)
+            else:
+                value = (value + known.get(more["name"], ("", 0, 0))[0])[: max(4096, len(value))]
+        for name in names:
+            known[name] = (value if single else value[:4096], start, end)
+        out.append((names[0], value, start, end))
     return out
 
 
