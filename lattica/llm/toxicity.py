@@ -32,27 +32,39 @@ def logistic(x):
 
 @dataclass
 class FactorizationMachine:
-    """score = logistic(b + sum w_i + sum_{i<j} <v_i, v_j>) over the selected buckets that a text has.
+    """score = logistic(b + sum w_i + sum_{i<j} <v_i, v_j> + sum_{i<j} <u_i, u_j> / n) over the n known buckets of a text.
 
-    ``slot`` maps a bucket to its row, or -1. Its size is fixed by ``BUCKETS`` and ``n_terms``, whatever the corpus.
+    Every bucket of the labelled sample is known: ``slot`` maps a bucket to its row, or -1. All have ``w`` and ``u``; those
+    that carry a marginal signal also have ``v`` (row ``place`` of it, else its row 0, of zeros). The sizes are bounded by
+    ``BUCKETS``, whatever the corpus.
     """
 
     slot: np.ndarray
+    place: np.ndarray
     bias: float
     w: np.ndarray
     v: np.ndarray
+    u: np.ndarray
 
     def margins(self, ids: np.ndarray, ptr: np.ndarray) -> np.ndarray:
-        v = self.v[ids]
-        return self.bias + sums(self.w[ids], ptr) + 0.5 * (sums(v, ptr) ** 2 - sums(v * v, ptr)).sum(axis=1)
-
-    def scores(self, texts: list) -> np.ndarray:
-        rows = []
-        for t in texts:
+        out = self.bias + sums(self.w[ids].astype(float), ptr)
+        for x, n in ((self.v[self.place[ids]], 1), (self.u[ids], np.maximum(np.diff(ptr), 1))):
+            x = x.astype(float)
+            out = out + 0.5 * (sums(x, ptr) ** 2 - sums(x * x, ptr)).sum(axis=1) / n
+        return out
+
+    def scores(self, texts: list, entries: int = 200_000) -> np.ndarray:
+        """The scores of ``texts``, computed in runs of about ``entries`` terms."""
+        out, rows, size = [np.zeros(0)], [], 0
+        for i, t in enumerate(texts, 1):
             s = self.slot[terms(t)]
             rows.append(s[s >= 0])
-        ptr = np.concatenate([[0], np.cumsum([len(r) for r in rows])]).astype(np.int64)
-        return logistic(self.margins(np.concatenate(rows).astype(np.int64) if rows else np.zeros(0, np.int64), ptr))
+            size += len(rows[-1])
+            if size >= entries or i == len(texts):
+                ptr = np.concatenate([[0], np.cumsum([len(r) for r in rows])]).astype(np.int64)
+                out.append(logistic(self.margins(np.concatenate(rows).astype(np.int64), ptr)))
+                rows, size = [], 0
+        return np.concatenate(out)
 
 
 def select(features: list[np.ndarray], y: np.ndarray, n_terms: int, min_df: int = 3) -> np.ndarray:
@@ -66,19 +78,33 @@ def select(features: list[np.ndarray], y: np.ndarray, n_terms: int, min_df: int
     return np.sort(best[z[best] > 2.0])
 
 
-def fit(features: list[np.ndarray], y: np.ndarray, n_terms: int = 4096, rank: int = 8, epochs: int = 10, rate: float = 0.3, l2: float = 1e-3, seed: int = 7) -> FactorizationMachine:
-    """AdaGrad on the logistic loss. No labelled rows: every score is 0.5's left neighbour (bias -1)."""
+def fit(
+    features: list[np.ndarray], y: np.ndarray, n_terms: int = 4096, rank: int = 8, epochs: int = 10, rate: float = 0.3, l2: float = 1e-3, seed: int = 7,
+    l2_weak: float = 5.0, l2_all: float = 0.3,
+) -> FactorizationMachine:
+    """AdaGrad on the logistic loss over all buckets seen. No labelled rows: every score is 0.5's left neighbour (bias -1).
+
+    The terms of ``select`` have freely fitted weights and factors. Weights of the others and the factors ``u`` of all,
+    by which terms without a signal of their own interact, are held near 0 by ``l2_weak`` and ``l2_all`` a term and epoch.
+    """
     slot = np.full(BUCKETS, -1, np.int32)
     if len(y) == 0:
-        return FactorizationMachine(slot, -1.0, np.zeros(1), np.zeros((1, rank)))
-    chosen = select(features, y, n_terms)
-    slot[chosen] = np.arange(len(chosen))
+        return FactorizationMachine(slot, np.zeros(1, np.int32), -1.0, np.zeros(1), np.zeros((1, rank)), np.zeros((1, rank)))
+    seen = np.unique(np.concatenate(features))
+    slot[seen] = np.arange(len(seen))
+    size = max(len(seen), 1)
+    chosen = slot[select(features, y, n_terms)]
+    place = np.zeros(size, np.int32)
+    place[chosen] = np.arange(1, len(chosen) + 1)
+    strong = place > 0
     rng = np.random.default_rng(seed)
-    size = max(len(chosen), 1)
     prior = (y.sum() + 0.5) / (len(y) + 1)
-    fm = FactorizationMachine(slot, float(np.log(prior / (1 - prior))), np.zeros(size), rng.normal(0, 0.01, (size, rank)))
-    rows = [(s := slot[f])[s >= 0].astype(np.int64) for f in features]
-    gw, gv, gb = np.full(size, 1e-6), np.full((size, rank), 1e-6), 1e-6
+    v = rng.normal(0, 0.01, (len(chosen) + 1, rank))
+    v[0] = 0
+    fm = FactorizationMachine(slot, place, float(np.log(prior / (1 - prior))), np.zeros(size), v, rng.normal(0, 0.05, (size, rank)))
+    rows = [slot[f].astype(np.int64) for f in features]
+    df = np.bincount(np.concatenate(rows), minlength=size)
+    gw, gv, gu, gb = np.where(strong, 1e-6, 1.0), np.full(v.shape, 1e-6), np.full((size, rank), 1e-2), 1e-6
     for _ in range(epochs):
         order = rng.permutation(len(y))
         for at in range(0, len(y), 64):
@@ -91,15 +117,26 @@ def fit(features: list[np.ndarray], y: np.ndarray, n_terms: int = 4096, rank: in
             fm.bias -= rate * g / np.sqrt(gb)
             if not len(ids):
                 continue
-            v = fm.v[ids]
-            uniq, inv = np.unique(ids, return_inverse=True)
-            dw = np.bincount(inv, d[of], len(uniq)) / len(part) + l2 / len(part) * fm.w[uniq]
-            per = d[of, None] * (sums(v, ptr)[of] - v)
-            dv = np.stack([np.bincount(inv, per[:, k], len(uniq)) for k in range(rank)], axis=1) / len(part) + l2 / len(part) * fm.v[uniq]
+            uniq, inv, times = np.unique(ids, return_inverse=True, return_counts=True)
+            by, starts = np.argsort(inv, kind="stable"), np.cumsum(times) - times
+            share = times / df[uniq]
+            pull = np.bincount(inv, d[of], len(uniq))
+            dw = np.where(strong[uniq], (pull + l2 * fm.w[uniq]) / len(part), pull + l2_weak * share * fm.w[uniq])
             gw[uniq] += dw**2
-            gv[uniq] += dv**2
             fm.w[uniq] -= rate * dw / np.sqrt(gw[uniq])
-            fm.v[uniq] -= rate * dv / np.sqrt(gv[uniq])
+            v = fm.v[place[ids]]
+            own = np.flatnonzero(strong[ids])
+            per = d[of[own], None] * (sums(v, ptr)[of[own]] - v[own])
+            to = place[uniq[strong[uniq]]]
+            dv = np.stack([np.bincount(inv[own], per[:, k], len(uniq)) for k in range(rank)], axis=1)[strong[uniq]] / len(part) + l2 / len(part) * fm.v[to]
+            gv[to] += dv**2
+            fm.v[to] -= rate * dv / np.sqrt(gv[to])
+            u = fm.u[ids]
+            per = (d / np.maximum(np.diff(ptr), 1))[of, None] * (sums(u, ptr)[of] - u)
+            du = np.add.reduceat(per[by], starts, axis=0) + l2_all * share[:, None] * fm.u[uniq]
+            gu[uniq] += du**2
+            fm.u[uniq] -= rate * du / np.sqrt(gu[uniq])
+    fm.w, fm.u = fm.w.astype(np.float32), fm.u.astype(np.float32)
     return fm
 
 
