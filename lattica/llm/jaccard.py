@@ -1,4 +1,4 @@
-"""Exact Jaccard join of shingle sets in metric space: pivots, Voronoi regions, triangle-inequality windows, recursion.
+"""Exact Jaccard join of shingle sets in metric space: pivots, Voronoi regions, triangle-inequality windows.
 
 Jaccard distance is a metric, and so is the size of the symmetric difference, restricted to any part of the universe of
 shingles. Shingle sets of different texts lie almost all at distance 1 from one another, so pivots drawn from the
@@ -9,7 +9,8 @@ contents that documents have there, each document lies in the Voronoi region of
 triangle inequality around it has width 0, which replicates a document once a part. Inside each region documents are
 pivots: the exact Jaccard distance of all members to the pivot is taken, members in its ball of the join's radius join
 its component, and pairs of the rest are compared only if their distances to the pivot differ by no more than the
-radius and if no chain of links joins them yet; this recurs with new pivots until no region holds an untested pair.
+radius and if no chain of links joins them yet; slabs are
+one level, compared all with all, which is exact but does not recurse.
 """
 
 from __future__ import annotations
