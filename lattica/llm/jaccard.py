@@ -1,16 +1,15 @@
-"""Exact Jaccard join of shingle sets in metric space: pivots, Voronoi regions, triangle-inequality windows.
+"""Exact Jaccard join of shingle sets in metric space: pivots, Voronoi regions, triangle-inequality windows, recursion.
 
 Jaccard distance is a metric, and so is the size of the symmetric difference, restricted to any part of the universe of
-shingles. Shingle sets of different texts lie almost all at distance 1 from one another, so pivots drawn from the
-documents alone separate nothing; the first regions therefore come from the second metric. The universe is dealt into
-m parts by hash. Two sets that link differ in at most ``most_apart`` shingles; with more parts than that, their parts'
-distances, which add up to the whole distance, cannot all be positive: in some part they coincide. The pivots of a part are the distinct
-contents that documents have there, each document lies in the Voronoi region of its own content, and the window of the
-triangle inequality around it has width 0, which replicates a document once a part. Inside each region documents are
-pivots: the exact Jaccard distance of all members to the pivot is taken, members in its ball of the join's radius join
-its component, and pairs of the rest are compared only if their distances to the pivot differ by no more than the
-radius and if no chain of links joins them yet; slabs are
-one level, compared all with all, which is exact but does not recurse.
+shingles; counts of shingles by hash cell embed the second one in L1 without enlarging it. Sets of different texts lie
+almost all at Jaccard distance 1, so pivots drawn from all documents would separate nothing and every window would hold
+every document. A first step that is no pivot method therefore blocks the table: the universe is dealt into parts by
+hash, and as linked sets differ in a bounded number of shingles, they must agree on one of the parts that each of them
+picks (``region_keys``). The metric join works inside these blocks (``close_pairs``): pivots are members, every member
+lies in the Voronoi region of its nearest pivot in the L1 metric and is replicated to each other region that the triangle
+inequality leaves open, and regions join recursively with pivots of their own until they are small or no pivot separates
+them; then their pairs are taken. Pairs within reach of a link are verified by their whole sets, first those with the
+most central partner, then those that no chain of links joins yet, so groups of copies cost no pairs among themselves.
 """
 
 from __future__ import annotations
@@ -29,29 +28,26 @@ from lattica.llm.graph import components
 from lattica.llm.store import annotate, fresh, save
 from lattica.llm.text import hashes, mix, space_words, windows
 
-#: An id list up to this many rows is broadcast to pick documents out of the scan; above it the scan is joined by shuffle.
-BROADCAST_ROWS = 1_000_000
-#: Members of a region that are held together, in the order of their distance from its pivot.
-SLAB = 256
+#: Members of a block that one task holds, in the order of their size; those of other slabs within the size window are its guests.
+SLAB = 2048
+#: Members of a region that are compared without further pivots, and pivots of a larger one.
+LEAF, PIVOTS = 64, 4
 #: Cells of a set's sketch: counts of its shingles by hash.
-CELLS = 64
+CELLS = 128
 #: Keys over which the rows of one group of equal sets are dealt.
 SALTS = 16
 
 
-def bounds(percent: int) -> list[int]:
-    """Size classes [bounds[c], bounds[c + 1]): wide enough that linked sets lie in one class or in neighbouring ones."""
-    out = [1]
-    while out[-1] < 1 << 40:
-        out.append(max(out[-1] + 1, out[-1] * 3 // 2, -(-out[-1] * 100 // percent)))
-    return out
-
-
-def most_apart(total: int, percent: int) -> int:
+def most_apart(total, percent: int):
     """The largest symmetric difference of linked sets whose sizes add up to ``total``."""
     return total * (100 - percent) // (100 + percent)
 
 
+def reach(n: int, percent: int) -> int:
+    """The largest symmetric difference of a set of ``n`` and one linked with it."""
+    return most_apart(n + n * 100 // percent, percent)
+
+
 def shingle_set(text: str | None, k: int) -> np.ndarray:
     return np.unique(windows(hashes(space_words(text)), k))
 
@@ -67,277 +63,270 @@ def set_key(h: np.ndarray) -> tuple[int, int]:
 
 def sketch(h: np.ndarray) -> bytes:
     """How many shingles of the set fall into each of ``CELLS`` hash cells. The cells' differences of two sets add up to at
-    most their symmetric difference, another triangle inequality."""
-    return np.bincount((h >> np.uint64(20)).astype(np.int64) % CELLS, minlength=CELLS).astype(np.int32).tobytes()
+    most their symmetric difference."""
+    cells = np.bincount((h >> np.uint64(20)).astype(np.int64) % CELLS, minlength=CELLS)
+    return np.minimum(cells, np.iinfo(np.uint16).max).astype(np.uint16).tobytes()
+
 
+def region_keys(h: np.ndarray, percent: int) -> np.ndarray:
+    """The blocks of a sorted set. Linked sets share one.
 
-def region_keys(h: np.ndarray, percent: int, limits: list[int]) -> np.ndarray:
-    """The regions of a sorted set: for its own size class as the larger or equal partner, for the next one as the smaller."""
+    Sizes fall into octaves; the smaller of two partners joins the octave of the larger one as well. An octave deals the
+    universe into a fixed number of parts. Sets that differ in at most D = ``reach`` shingles differ in at most D parts,
+    so of the parts that a set holds all but D agree with a partner's. Both pick their first D + 1 parts in an order that
+    only content decides (fullest first): the first part on which they agree is picked by both. A set with no more than D
+    parts picks all, and shingles (its D + 1 least) as well, for partners that are as few-parted.
+    """
     n = len(h)
-    c = int(np.searchsorted(limits, n, side="right")) - 1
+    octave, apart = n.bit_length() - 1, reach(n, percent)
     out = []
-    high = h >> np.uint64(32)
-    for level in (c, c + 1):
-        top = limits[level + 1] - 1
-        if level > c and limits[level] * percent > n * 100:
+    for level in (octave, octave + 1):
+        if level > octave and percent << level > n * 100:
             break
-        parts = most_apart(2 * top, percent) + 1
-        parts += 2 + parts // 50
-        of = (high * np.uint64(parts)) >> np.uint64(32)  # follows the order of h: a part is a slice
-        first = np.flatnonzero(np.concatenate([[True], of[1:] != of[:-1]]))
-        content = np.add.reduceat(mix(h + np.uint64(0x632BE59BD9B4E019)), first)
         seed = np.uint64((level * 0x9E3779B97F4A7C15 + 1) & 0xFFFFFFFFFFFFFFFF)
-        out.append(mix(mix(content + of[first]) ^ seed))
-        # Coinciding empty parts prove nothing; a set with too few others counts its empty parts as well, as does any
-        # such partner, while a partner with enough of them needs none.
-        partner = min(top, n * 100 // percent)
-        if len(first) <= most_apart(n + partner, percent):
-            empty = np.setdiff1d(np.arange(parts, dtype=np.uint64), of[first])
-            out.append(mix(mix(empty ^ np.uint64(0x5851F42D4C957F2D)) ^ seed))
+        parts = max(1, 12 * reach(1 << level, percent) // 5)
+        of = ((h >> np.uint64(32)) * np.uint64(parts)) >> np.uint64(32)  # follows the order of h: a part is a slice
+        first = np.flatnonzero(np.concatenate([[True], of[1:] != of[:-1]]))
+        key = mix(mix(np.add.reduceat(mix(h + np.uint64(0x632BE59BD9B4E019)), first) + of[first]) ^ seed)
+        if len(key) > apart + 1:
+            key = key[np.lexsort((key, -np.diff(first, append=n)))[: apart + 1]]
+        elif len(key) <= apart:
+            out.append(mix(mix(h[: apart + 1] + np.uint64(0x5851F42D4C957F2D)) ^ seed))
+        out.append(key)
     return np.unique(np.concatenate(out))
 
 
 def regions(docs: DataFrame, k: int, percent: int) -> DataFrame:
-    """(region, key, n) of every set that can link with a different one. Copies met again in a task are left out."""
-    limits = bounds(percent)
-    least = -(-percent // (100 - percent))  # below this many shingles in the union only equal sets link
+    """(region, key) of every set that can link with a different one. Copies met again in a task are left out."""
+    least = -(-percent // (100 - percent))  # smaller sets link with equal ones only
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: set[int] = set()
+        seen: set[tuple[int, int]] = set()
         for batch in batches:
             for at in range(0, batch.num_rows, 500):
-                found, keys, sizes = [], [], []
+                found, keys = [], []
                 for text in batch.column("text").slice(at, 500).to_pylist():
                     h = shingle_set(text, k)
-                    if len(h) + 1 < least or (key := set_key(h)[0]) in seen:
+                    if len(h) < least or (key := set_key(h)) in seen:
                         continue
-                    if len(seen) > 1_000_000:
+                    if len(seen) > 500_000:
                         seen.clear()
                     seen.add(key)
-                    found.append(region_keys(h, percent, limits))
-                    keys.append(key)
-                    sizes.append(len(h))
+                    found.append(region_keys(h, percent))
+                    keys.append(key[0])
                 if found:
-                    times = [len(x) for x in found]
-                    yield pa.RecordBatch.from_arrays([
-                        pa.array(np.concatenate(found).view(np.int64)), pa.array(np.repeat(np.array(keys, np.int64), times)), pa.array(np.repeat(np.array(sizes, np.int32), times)),
-                    ], names=["region", "key", "n"])
+                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(found).view(np.int64)), pa.array(np.repeat(np.array(keys, np.int64), [len(x) for x in found]))], names=["region", "key"])
 
-    return docs.select("text").mapInArrow(run, "region long, key long, n int")
+    return docs.select("text").mapInArrow(run, "region long, key long")
 
 
 def shared_regions(rows: DataFrame) -> DataFrame:
-    """(region, key, n) of the regions with two sets or more, one of each group of regions with the same members.
+    """(region, key) of the blocks with two sets or more, one of each group of blocks with the same members.
 
-    One shuffle by region; a window of its own rows, which Spark spills, holds no group in memory.
+    One shuffle by block; a window of its own rows, which Spark spills, holds no block in memory. Equal keys of different
+    sets (64 bits) lose nothing: the key's sets all take its place afterwards.
     """
     rows = rows.repartition("region").dropDuplicates(["region", "key"])
     w = Window.partitionBy("region")
     same = F.xxhash64(F.sum(F.xxhash64("key").cast("decimal(20,0)")).over(w).cast("string"), F.min("key").over(w), F.max("key").over(w), F.count("*").over(w))
-    held = rows.select("key", "n", same.alias("members"), (F.min("key").over(w) != F.max("key").over(w)).alias("shared")).where("shared")
-    return held.groupBy(F.col("members").alias("region"), "key").agg(F.min("n").alias("n"))
+    held = rows.select("key", same.alias("members"), (F.min("key").over(w) != F.max("key").over(w)).alias("shared")).where("shared")
+    return held.select(F.col("members").alias("region"), "key").distinct()
 
 
-def payloads(docs: DataFrame, wanted: DataFrame, k: int) -> DataFrame:
-    """(key, rep, blob, sketch): the compressed words of one document for each key of ``wanted`` (key, rep), and its sketch."""
-    small = wanted.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
-    chosen = wanted.select("key", "rep")
-    mine = docs.select(F.col("doc_id").cast("long").alias("rep"), "text").join(F.broadcast(chosen) if small else chosen, "rep")
+def place(held: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """(region, slab, guest, rep, n, rank, sketch): each member in its own slab, and as a guest in the later slabs of its size window.
 
-    def fn(texts):
-        sets = [shingle_set(t, k) for t in texts]
-        return [[zlib.compress(b" ".join(space_words(t)), 1) for t in texts], [set_key(h)[0] for h in sets], [sketch(h) for h in sets]]
-
-    fields = T.StructType([T.StructField("blob", T.BinaryType()), T.StructField("own", T.LongType()), T.StructField("sketch", T.BinaryType())])
-    # a repeated id with another text is not the document that was chosen
-    return save(annotate(mine, fn, fields, ("key", "rep")).where("own = key").drop("own"), "payloads")
+    Sizes are distances from the empty set, so the window is the triangle inequality's. ``rank`` is lower for members of
+    more blocks, which are the more central ones.
+    """
+    degree = held.groupBy("key").agg(F.count("*").alias("degree"))
+    rows = held.join(sets.join(degree, "key"), "key").select("region", "rep", "n", (-F.col("degree")).alias("rank"), "sketch")
+    at = F.row_number().over(Window.partitionBy("region").orderBy("n", "rep"))
+    placed = save(rows.withColumn("slab", F.floor((at - 1) / SLAB)), "placed")
+    starts = placed.groupBy("region", F.col("slab").alias("to")).agg(F.min("n").alias("start")).where("to > 0")
+    guests = placed.join(starts, "region").where((F.col("to") > F.col("slab")) & (F.col("start") * percent <= F.col("n") * 100))
+    fields = ("rep", "n", "rank", "sketch")
+    return placed.select("region", "slab", F.lit(False).alias("guest"), *fields).unionByName(guests.select("region", F.col("to").alias("slab"), F.lit(True).alias("guest"), *fields))
+
+
+def apart(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """L1 distances of the rows of ``a`` and ``b``."""
+    if len(a) * len(b) <= 4096:
+        return np.abs(a[:, None, :] - b[None, :, :]).sum(2, dtype=np.int32)
+    out = np.zeros((len(a), len(b)), np.int32)
+    for c in range(a.shape[1]):
+        out += np.abs(a[:, None, c] - b[None, :, c])
+    return out
 
 
-def distances(pairs: DataFrame, blobs: DataFrame, k: int) -> DataFrame:
-    """(p, x, rp, rx, both, either): intersection and union sizes of the pairs (p, x), from their whole texts.
+def close_pairs(s: np.ndarray, n: np.ndarray, percent: int, home: np.ndarray, guests: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Index pairs (home, home or guest) of sets near enough to link, each once.
 
-    Members travel once for each pivot they are compared with; pivots' sets are kept for the rows that follow.
+    A region that is not small takes pivots spread over its members' sizes. A member x lies with its nearest pivot p; if
+    a partner y, at most r away, lies with q, then d(y, p) <= d(x, p) + r <= d(x, q) + r <= d(y, q) + 2r: so y is a guest
+    at every p with d(y, p) - d(y, q) <= 2r. Of two homes the later region's member is the guest. The regions then join
+    in the same way; one that keeps nearly all is compared as it is.
     """
-    member = blobs.select(F.col("key").alias("x"), F.col("rep").alias("rx"), F.col("blob").alias("bx"))
-    pivot = blobs.join(pairs.select(F.col("p").alias("key")).distinct(), "key").select(F.col("key").alias("p"), F.col("rep").alias("rp"), F.col("blob").alias("bp"))
-    rows = pairs.join(member, "x").join(pivot, "p").select("p", "x", "rp", "rx", "bp", "bx")
+    total = len(home) + len(guests)
+    if total > LEAF and len(home) > PIVOTS:
+        both = np.concatenate([home, guests])
+        pivots = home[np.argsort(n[home], kind="stable")[np.linspace(0, len(home) - 1, PIVOTS).astype(int)]]
+        d = apart(s[both], s[pivots])
+        cell, least = d.argmin(1), d.min(1)
+        radius = most_apart(n[both] + n[both] * 100 // percent, percent)
+        cells = []
+        for p in range(PIVOTS):
+            window = d[:, p] - least <= 2 * radius
+            inside = np.flatnonzero(cell[: len(home)] == p)
+            cells.append((both[inside], np.concatenate([home[window[: len(home)] & (cell[: len(home)] > p)], guests[window[len(home) :]]])))
+        if max(len(x) + len(y) for x, y in cells) <= 0.9 * total:
+            for x, y in cells:
+                if len(x):
+                    yield from close_pairs(s, n, percent, x, y)
+            return
+    for at in range(0, len(home), 1024):
+        here = home[at : at + 1024]
+        for to in (home[at:], guests):
+            for start in range(0, len(to), 1024):
+                other = to[start : start + 1024]
+                near = apart(s[here], s[other]) <= most_apart(n[here][:, None] + n[other][None, :], percent)
+                i, j = np.nonzero(near)
+                x, y = here[i], other[j]
+                keep = x != y if to is guests else start + j > i
+                yield x[keep], y[keep]
+
+
+def by_slab(rows: DataFrame, extra: tuple[str, ...], percent: int, make) -> DataFrame:
+    """Pairs (a, b) that ``make`` (the members' columns, pairs of their indices) returns for each slab with its guests. A
+    task holds one slab and one block of guests."""
+    rows = rows.repartition("region", "slab").sortWithinPartitions("region", "slab", "guest")
+    names = ("rep", "n", "rank", *extra)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cache: OrderedDict[int, np.ndarray] = OrderedDict()
+        group, home, guests, out, seen = None, [], [], [], set()
 
-        def of(key: int, blob: bytes) -> np.ndarray:
-            got = cache.get(key)
-            if got is None:
-                got = cache[key] = np.unique(windows(hashes(zlib.decompress(blob).split()), k))
-                while sum(map(len, cache.values())) > 4_000_000 and len(cache) > 2 or len(cache) > 256:
-                    cache.popitem(last=False)
-            return got
+        def close(whole: bool) -> None:
+            if len(home) and (guests or whole) and len(home) + len(guests) > 1:
+                rows = home + guests
+                s = np.stack([x[-1] for x in rows])
+                cols = {name: np.array([x[i] for x in rows], np.int64) for i, name in enumerate(names)}
+                index = np.arange(len(rows))
+                blocks = close_pairs(s, cols["n"], percent, index[: len(home)], index[len(home) :])
+                i, j = map(np.concatenate, zip(*blocks, strict=True))
+                if guests and not whole:
+                    keep = j >= len(home)  # the members among themselves come with the last block of guests
+                    i, j = i[keep], j[keep]
+                for pair in make(cols, i, j):
+                    if pair not in seen:
+                        seen.add(pair)
+                        out.append(pair)
+            guests.clear()
+
+        def flush() -> pa.RecordBatch:
+            made = pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], pa.int64()) for i in (0, 1)], names=["a", "b"])
+            out.clear()
+            if len(seen) > 500_000:
+                seen.clear()
+            return made
 
         for batch in batches:
-            p, x, bp, bx = (batch.column(c) for c in ("p", "x", "bp", "bx"))
-            sizes = []
-            for i, (kp, kx) in enumerate(zip(p.to_pylist(), x.to_pylist())):
-                a, b = of(kp, bp[i].as_py()), of(kx, bx[i].as_py())
-                both = len(np.intersect1d(a, b, assume_unique=True))
-                sizes.append((both, len(a) + len(b) - both))
-            got = np.array(sizes, np.int64).reshape(-1, 2)
-            yield pa.RecordBatch.from_arrays([p, x, batch.column("rp"), batch.column("rx"), pa.array(got[:, 0]), pa.array(got[:, 1])], names=["p", "x", "rp", "rx", "both", "either"])
+            cells = [np.frombuffer(x, np.uint16).astype(np.int16 if max(x[1::2]) < 64 else np.int32) for x in batch.column("sketch").to_pylist()]
+            for region, slab, guest, *rest in zip(*(batch.column(c).to_pylist() for c in ("region", "slab", "guest", *names)), cells, strict=True):
+                if (region, slab) != group:
+                    close(True)
+                    group, home = (region, slab), []
+                elif len(guests) == SLAB:
+                    close(False)
+                (guests if guest else home).append(rest)
+            yield flush()
+        close(True)
+        yield flush()
 
-    return save(rows.mapInArrow(run, "p long, x long, rp long, rx long, both long, either long"), "distances")
+    return rows.select("region", "slab", "guest", *names, "sketch").mapInArrow(run, "a long, b long")
 
 
-def jaccard_labels(docs: DataFrame, reps: DataFrame, k: int, percent: int) -> DataFrame:
-    """(node, label) of the representatives that link with another: the smallest one reachable.
+def nearest_central(cols: dict, i: np.ndarray, j: np.ndarray) -> Iterator[tuple[int, int]]:
+    """For each member with a near partner its most central one, if that is more central than itself; else itself twice."""
+    order = np.lexsort((cols["rep"], cols["rank"]))
+    place = np.empty(len(order), np.int64)
+    place[order] = np.arange(len(order))
+    best = np.full(len(order), len(order))
+    low, high = np.minimum(place[i], place[j]), np.maximum(place[i], place[j])
+    np.minimum.at(best, high, low)
+    np.minimum.at(best, low, low)
+    rep = cols["rep"][order]
+    for x in np.flatnonzero(best < len(order)).tolist():
+        yield int(rep[best[x]]), int(rep[x])
 
-    ``docs`` holds only rows with an id, so every set of a region, and so every pivot, has a representative.
-    """
-    held = save(shared_regions(regions(docs, k, percent)), "regions")
-    pivoted = held.withColumn("p", F.min("key").over(Window.partitionBy("region"))).where("key <> p")
-    pairs = save(pivoted.select("p", F.col("key").alias("x")).distinct(), "pairs")
-    blobs = payloads(docs, reps.join(held.select("key").distinct(), "key"), k)
-    measured = distances(pairs, blobs, k)
-    edges = measured.where(F.col("both") * 100 >= F.col("either") * percent).select(F.col("rp").alias("a"), F.col("rx").alias("b"))
-    labels = components(edges)
-    near = measured.select("p", F.col("x").alias("key"), F.col("rx").alias("rep"), (1 - F.col("both") / F.col("either")).alias("d"))
-    left = pivoted.join(near, ["p", "key"]).join(labels.select(F.col("node").alias("rep"), "label"), "rep", "left")
-    left = open_regions(left.select("region", "key", "d", F.coalesce("label", "rep").alias("label")))
-    placed = save(near_members(slabs(left, percent), blobs, percent), "near")
-    more = save(slab_links(placed, blobs, k, percent), "links")
-    return components(edges.unionByName(more))
-
-
-def open_regions(rows: DataFrame) -> DataFrame:
-    """The regions whose members carry more than one label."""
-    w = Window.partitionBy("region")
-    sized = rows.withColumn("least", F.min("label").over(w)).withColumn("most", F.max("label").over(w))
-    return sized.where("least <> most").drop("least", "most")
 
+def unjoined(cols: dict, i: np.ndarray, j: np.ndarray) -> Iterator[tuple[int, int]]:
+    """The near pairs that carry different labels."""
+    keep = cols["label"][i] != cols["label"][j]
+    a, b = cols["rep"][i[keep]], cols["rep"][j[keep]]
+    yield from zip(np.minimum(a, b).tolist(), np.maximum(a, b).tolist(), strict=True)
 
-def slabs(left: DataFrame, percent: int) -> DataFrame:
-    """(region, slab, guest, key, label): each member in its own slab, and as a guest in the later slabs of its window."""
-    rank = F.row_number().over(Window.partitionBy("region").orderBy("d", "key"))
-    placed = save(left.withColumn("slab", F.floor((rank - 1) / SLAB)), "slabs")
-    starts = placed.groupBy("region", F.col("slab").alias("to")).agg(F.min("d").alias("start")).where("to > 0")
-    radius = (100 - percent) / 100 + 1e-9
-    guests = placed.join(starts, "region").where((F.col("to") > F.col("slab")) & (F.col("start") <= F.col("d") + radius))
-    home = placed.select("region", "slab", F.lit(False).alias("guest"), "key", "label")
-    return home.unionByName(guests.select("region", F.col("to").alias("slab"), F.lit(True).alias("guest"), "key", "label"))
 
+def payloads(docs: DataFrame, wanted: DataFrame, k: int) -> DataFrame:
+    """(rep, blob): the compressed words of the document of each row of ``wanted`` (rep, key, key2). Texts are shuffled by id, at every size."""
+    mine = docs.select(F.col("doc_id").cast("long").alias("rep"), "text").join(wanted.hint("merge"), "rep")
 
-def by_slab(rows: DataFrame, fields: tuple[str, ...], schema: str, make, settle) -> DataFrame:
-    """Rows sorted by slab, members before guests: ``make`` turns a row's fields into an entry, ``settle()``, made
-    anew for each task, gets a slab's members and a block of guests (None: the members among themselves) and returns
-    tuples of ``schema``. A task holds one
-    slab and one block of guests."""
-    rows = rows.repartition("region", "slab").sortWithinPartitions("region", "slab", "guest", "key")
-    names = [x.split()[0] for x in schema.split(", ")]
+    def fn(texts):
+        keys = [set_key(shingle_set(t, k)) for t in texts]
+        return [[zlib.compress(b" ".join(space_words(t)), 1) for t in texts], [x[0] for x in keys], [x[1] for x in keys]]
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        group, home, guests, found, settled = None, [], [], [], settle()
+    fields = T.StructType([T.StructField("blob", T.BinaryType()), T.StructField("own", T.LongType()), T.StructField("own2", T.LongType())])
+    # a repeated id with another text is not the document that was chosen, and one repeated with the same text is one
+    made = annotate(mine, fn, fields, ("rep", "key", "key2")).where("own = key and own2 = key2")
+    return save(made.select("rep", "blob").dropDuplicates(["rep"]), "payloads")
 
-        def close(whole: bool) -> None:
-            if home and guests:
-                found.extend(settled(group, home, guests))
-            guests.clear()
-            if whole and len(home) > 1:
-                found.extend(settled(group, home, None))
 
-        def out() -> pa.RecordBatch:
-            made = pa.RecordBatch.from_arrays([pa.array([x[i] for x in found], pa.bool_() if n == "guest" else pa.int64()) for i, n in enumerate(names)], names=names)
-            found.clear()
-            return made
+def links(pairs: DataFrame, blobs: DataFrame, k: int, percent: int) -> DataFrame:
+    """The rows of ``pairs`` (a, b) whose whole sets link. ``b`` travels once a pair, ``a`` once."""
+    pivot, member = (blobs.select(F.col("rep").alias(c), F.col("blob").alias(f"blob_{c}")) for c in "ab")
+    rows = pairs.join(member, "b").join(pivot, "a").select("a", "b", "blob_a", "blob_b")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cache: OrderedDict[int, np.ndarray] = OrderedDict()
+        size = 0
+
+        def of(rep: int, blob: pa.Scalar) -> np.ndarray:
+            nonlocal size
+            got = cache.get(rep)
+            if got is None:
+                got = cache[rep] = np.unique(windows(hashes(zlib.decompress(blob.as_py()).split()), k))
+                size += len(got)
+                while len(cache) > 2 and (size > 4_000_000 or len(cache) > 2048):
+                    size -= len(cache.popitem(last=False)[1])
+            return got
 
         for batch in batches:
-            for region, slab, guest, *rest in zip(*(batch.column(c).to_pylist() for c in ("region", "slab", "guest", *fields)), strict=True):
-                if (region, slab) != group:
-                    close(True)
-                    group, home = (region, slab), []
-                elif len(guests) == SLAB:
-                    close(False)
-                (guests if guest else home).append(make(*rest))
-            yield out()
-        close(True)
-        yield out()
-
-    return rows.select("region", "slab", "guest", "key", *[f for f in fields if f != "key"]).mapInArrow(run, schema)
-
-
-def near_members(placed: DataFrame, blobs: DataFrame, percent: int) -> DataFrame:
-    """The rows of ``placed`` that have a partner in their slab with another label and a sketch near enough for a link."""
-
-    def make(key, label, data):
-        return key, label, np.frombuffer(data, np.int32)
-
-    def settle(group, home, other):
-        b = home if other is None else other
-        sa, sb = np.stack([x[2] for x in home]), np.stack([x[2] for x in b])
-        la, lb = np.array([x[1] for x in home]), np.array([x[1] for x in b])
-        apart = np.zeros((len(home), len(b)), np.int32)
-        for c in range(CELLS):
-            apart += np.abs(sa[:, None, c] - sb[None, :, c])
-        most = (sa.sum(1)[:, None] + sb.sum(1)[None, :]) * (100 - percent) // (100 + percent)
-        hit = (apart <= most) & (la[:, None] != lb[None, :])
-        rows = [(*group, False, home[i][0], home[i][1]) for i in np.flatnonzero(hit.any(1)).tolist()]
-        return rows + ([] if other is None else [(*group, True, b[j][0], b[j][1]) for j in np.flatnonzero(hit.any(0)).tolist()])
-
-    rows = placed.join(blobs.select("key", "sketch"), "key")
-    return by_slab(rows, ("key", "label", "sketch"), "region long, slab long, guest boolean, key long, label long", make, lambda: settle).distinct()
-
-
-def links_between(home: list, other: list | None, percent: int) -> list[tuple[int, int, int, int]]:
-    """(rep, rep, label, label) links of members (label, rep, set) of ``home`` with ``other`` (None: among themselves) whose labels
-    differ: for each of ``other`` and each label of ``home`` one."""
-    a, b = home, home if other is None else other
-    na, nb = np.array([len(x[2]) for x in a]), np.array([len(x[2]) for x in b])
-    la, lb = np.array([x[0] for x in a]), np.array([x[0] for x in b])
-    fa, fb = np.concatenate([x[2] for x in a]), np.concatenate([x[2] for x in b])
-    ua, ca = np.unique(fa, return_counts=True)
-    shared = ua[ca > 1] if other is None else np.intersect1d(ua, fb)
-    both = np.zeros((len(a), len(b)), np.float32)
-    for at in range(0, len(shared), 4096):
-        part, m = shared[at : at + 4096], []
-        for flat, n in ((fa, na),) if other is None else ((fa, na), (fb, nb)):
-            x = np.zeros((len(n), len(part)), np.float32)
-            col = np.minimum(np.searchsorted(part, flat), len(part) - 1)
-            some = part[col] == flat
-            x[np.repeat(np.arange(len(n)), n)[some], col[some]] = 1
-            m.append(x)
-        both += m[0] @ m[-1].T
-    linked = (both.astype(np.int64) * 100 >= (na[:, None] + nb[None, :] - both.astype(np.int64)) * percent) & (la[:, None] != lb[None, :])
-    out: dict = {}
-    for i, j in np.argwhere(linked).tolist():
-        if other is not None or i < j:
-            out.setdefault((b[j][1], a[i][0]), (a[i][1], b[j][0]))
-    return [(rep, to, label, own) for (rep, label), (to, own) in out.items()]
-
-
-def slab_links(placed: DataFrame, blobs: DataFrame, k: int, percent: int) -> DataFrame:
-    """Links (a, b) inside each slab, and between its members and its guests, of different labels."""
-    rows = placed.join(blobs, "key").select("region", "slab", "guest", "key", "label", "rep", "blob")
-
-    def make(label, rep, blob):
-        return label, rep, np.unique(windows(hashes(zlib.decompress(blob).split()), k))
-
-    def settle():
-        up: dict[int, int] = {}
-
-        def root(x: int) -> int:
-            while (y := up.get(x, x)) != x:
-                up[x] = x = up.get(y, y)
-            return x
-
-        def links(_, home: list, other: list | None) -> list[tuple[int, int]]:
-            """Only links that join labels which the task's links have not joined yet."""
-            out = []
-            for a, b, la, lb in links_between(home, other, percent):
-                if (x := root(la)) != (y := root(lb)):
-                    up[x] = y
-                    out.append((a, b))
-            return out
-
-        return links
-
-    return by_slab(rows, ("label", "rep", "blob"), "a long, b long", make, settle)
+            a, b, x, y = (batch.column(c) for c in ("a", "b", "blob_a", "blob_b"))
+            linked = []
+            for i, (ka, kb) in enumerate(zip(a.to_pylist(), b.to_pylist(), strict=True)):
+                s, t = of(ka, x[i]), of(kb, y[i])
+                both = len(np.intersect1d(s, t, assume_unique=True))
+                linked.append(both * 100 >= (len(s) + len(t) - both) * percent)
+            mask = pa.array(linked, pa.bool_())
+            yield pa.RecordBatch.from_arrays([a.filter(mask), b.filter(mask)], names=["a", "b"])
+
+    return save(rows.mapInArrow(run, "a long, b long"), "links")
+
+
+def jaccard_labels(docs: DataFrame, groups: DataFrame, k: int, percent: int) -> DataFrame:
+    """(node, label) of the representatives that link with another: the smallest one reachable.
+
+    ``groups``: (key, key2, rep, n, sketch) of the distinct sets; ``docs`` holds only rows with an id.
+    """
+    held = save(shared_regions(regions(docs, k, percent)), "regions")
+    placed = save(place(held, groups.select("key", "rep", "n", "sketch"), percent), "slabs")
+    near = save(by_slab(placed, (), percent, nearest_central).distinct(), "near")
+    wanted = near.select(F.explode(F.array("a", "b")).alias("rep")).distinct()
+    blobs = payloads(docs, groups.select("rep", "key", "key2").join(wanted, "rep"), k)
+    labels = components(links(near.where("a <> b"), blobs, k, percent))
+    known = wanted.join(labels.select(F.col("node").alias("rep"), "label"), "rep", "left").select("rep", F.coalesce("label", "rep").alias("label"))
+    more = save(by_slab(placed.join(known, "rep"), ("label",), percent, unjoined).distinct(), "near")
+    more = links(more, blobs, k, percent)
+    return labels if more.isEmpty() else components(labels.select(F.col("node").alias("a"), F.col("label").alias("b")).unionByName(more))
 
 
 def link_documents(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
@@ -353,12 +342,12 @@ def link_documents(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     def fn(texts):
         sets = [shingle_set(t, k) for t in texts]
         keys = [set_key(h) for h in sets]
-        return [[len(h) for h in sets], [x[0] for x in keys], [x[1] for x in keys]]
+        return [[len(h) for h in sets], [x[0] for x in keys], [x[1] for x in keys], [sketch(h) for h in sets]]
 
-    fields = T.StructType([T.StructField("n", T.LongType()), T.StructField("key", T.LongType()), T.StructField("key2", T.LongType())])
+    fields = T.StructType([T.StructField("n", T.LongType()), T.StructField("key", T.LongType()), T.StructField("key2", T.LongType()), T.StructField("sketch", T.BinaryType())])
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     sets = save(annotate(own, fn, fields, ("doc_id",)), "sets")
-    groups = sets.where("n > 0").groupBy("key", "key2").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"))
+    groups = sets.where("n > 0").groupBy("key", "key2").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"), F.max("n").alias("n"), F.first("sketch").alias("sketch"))
     groups = save(groups, "groups")
     labels = jaccard_labels(own.where("doc_id is not null"), groups.where("rep is not null"), k, percent)
     groups = groups.join(labels.select(F.col("node").alias("rep"), "label"), "rep", "left").withColumn("label", F.coalesce("label", "rep"))

@@ -42,7 +42,7 @@ def test_components(spark, monkeypatch, k, percent, slab):
 
 def test_links_share_regions():
     rng = np.random.default_rng(3)
-    limits = jaccard.bounds(85)
+    
     for _ in range(3000):
         n = int(rng.integers(6, 90))
         total = rng.integers(0, 1 << 63, 2 * n).astype(np.uint64)
@@ -50,7 +50,7 @@ def test_links_share_regions():
         b = np.unique(np.concatenate([a[: int(len(a) * rng.uniform(0.85, 1))], total[n : n + int(rng.integers(0, 2 + n // 10))]]))
         both = len(np.intersect1d(a, b))
         if 100 * both >= 85 * (len(a) + len(b) - both):
-            shared = np.intersect1d(jaccard.region_keys(a, 85, limits), jaccard.region_keys(b, 85, limits))
+            shared = np.intersect1d(jaccard.region_keys(a, 85), jaccard.region_keys(b, 85))
             assert len(shared)
 
 
