@@ -5,7 +5,9 @@ from __future__ import annotations
 import hashlib
 import math
 import re
+from bisect import bisect_right
 from collections import Counter
+from itertools import accumulate
 
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
@@ -176,10 +178,12 @@ def scan(text: str | None, threshold: float = 2.0) -> list[tuple[str, int, int,
     text = text or ""
     base = base_spans(text)
     found = {(k, s, e): 1.0 for k, s, e in base}
+    starts = sorted((s, e) for _, s, e in base)
+    furthest = list(accumulate((e for _, e in starts), max))
     if "=" in text or ":" in text:
         for name, value, start, end in assignments(text):
             score = literal_score(name, value)
-            if score >= threshold and not any(s <= start and end <= e for _, s, e in base):
+            if score >= threshold and not ((i := bisect_right(starts, (start, math.inf))) and furthest[i - 1] >= end):
                 found[("literal", start, end)] = max(score, found.get(("literal", start, end), 0.0))
     return sorted(((k, s, e, v) for (k, s, e), v in found.items()), key=lambda x: (x[1], KINDS.index(x[0]), x[2]))
 
