@@ -1,15 +1,16 @@
 """Benchmark decontamination by a positional inverted index: exact phrases and proximity matches of test items.
 
-The index is partitioned by document: a segment is a run of whole documents with, per term, its sorted positions.
-A position never spans two documents. A search looks up the rarest term of each phrase and intersects the
-offset-adjusted lists of the others, rarest first.
+The index holds every token of the training documents and is partitioned by document: a segment is a run of whole
+documents with, per term, its sorted positions. It is built once and serves any number of searches. A position never
+spans two documents. A search looks up the rarest term of each phrase and intersects the offset-adjusted lists of the
+others, rarest first. Terms are 64-bit hashes of words.
 """
 
 from __future__ import annotations
 
+import uuid
 import zlib
 from collections.abc import Iterator
-from itertools import repeat
 
 import numpy as np
 import pandas as pd
@@ -18,10 +19,10 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from lattica.llm.store import save
-from lattica.llm.text import alnum_words
+from lattica.llm.text import alnum_words, hashes
 
 SEGMENT = T.StructType([
-    T.StructField("doc_ids", T.ArrayType(T.LongType())), T.StructField("starts", T.BinaryType()), T.StructField("n_words", T.BinaryType()),
+    T.StructField("segment", T.StringType()), T.StructField("doc_ids", T.ArrayType(T.LongType())), T.StructField("starts", T.BinaryType()), T.StructField("n_words", T.BinaryType()),
     T.StructField("terms", T.BinaryType()), T.StructField("counts", T.BinaryType()), T.StructField("positions", T.BinaryType()),
 ])
 RESULT = T.StructType(
@@ -57,38 +58,33 @@ def items_of(benchmark: DataFrame, block: int) -> Iterator[list[tuple[int, list[
         yield part
 
 
-def build_index(docs: DataFrame, vocabulary: list[bytes], segment_words: int = 1_000_000) -> DataFrame:
-    """Segments of postings for the terms of ``vocabulary``: whole documents, every position, nothing shuffled.
+def build_index(docs: DataFrame, segment_words: int = 1_000_000) -> DataFrame:
+    """Segments of postings of every word of ``docs``: whole documents, every position, nothing shuffled.
 
-    Positions are kept for the test vocabulary alone, as no other term can take part in a match; ``n_words`` counts all
-    words. A document longer than ``segment_words`` is a segment by itself. Written to the shared folder and reread.
+    A document longer than ``segment_words`` is a segment by itself. Null and empty texts have a place without words.
+    Written to the shared folder and reread; ``segment`` names a row of the written table.
     """
-    shared = docs.sparkSession.sparkContext.broadcast(vocabulary)
 
     def segment(ids: list, parts: list[np.ndarray]) -> tuple:
         n = np.array([len(p) for p in parts], np.int64)
         starts = np.concatenate([[0], np.cumsum(n + GAP)[:-1]]).astype(np.int64)
-        flat = np.concatenate(parts) if parts else np.zeros(0, np.int32)
+        flat = np.concatenate(parts)
         at = np.repeat(starts - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(len(flat))
-        some = flat > 0
-        flat, at = flat[some], at[some]
         order = np.argsort(flat, kind="stable")
-        flat, at = flat[order], at[order]
         terms, counts = np.unique(flat, return_counts=True)
-        gaps = np.diff(at, prepend=0)
-        return ids, pack(starts), pack(n), pack(terms.astype(np.int32)), pack(counts.astype(np.int64)), pack(gaps.astype(np.int64) if np.abs(gaps).max(initial=0) >= 2**31 else gaps.astype(np.int32))
+        gaps = np.diff(at[order], prepend=0)
+        return uuid.uuid4().hex, ids, pack(starts), pack(n), pack(terms), pack(counts.astype(np.int64)), pack(gaps.astype(np.int64) if np.abs(gaps).max(initial=0) >= 2**31 else gaps.astype(np.int32))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        number = {w: i + 1 for i, w in enumerate(shared.value)}
         ids, parts, size = [], [], 0
         for batch in batches:
             for doc_id, text in zip(batch["doc_id"], batch["text"], strict=True):
-                words = alnum_words(text if isinstance(text, str) else None)
+                words = hashes(alnum_words(text if isinstance(text, str) else None))
                 if parts and size + len(words) > segment_words:
                     yield pd.DataFrame([segment(ids, parts)], columns=SEGMENT.names)
                     ids, parts, size = [], [], 0
                 ids.append(None if pd.isna(doc_id) else int(doc_id))
-                parts.append(np.fromiter(map(number.get, words, repeat(0)), np.int32, len(words)))
+                parts.append(words)
                 size += len(words)
         if parts:
             yield pd.DataFrame([segment(ids, parts)], columns=SEGMENT.names)
@@ -96,23 +92,31 @@ def build_index(docs: DataFrame, vocabulary: list[bytes], segment_words: int = 1
     return save(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInPandas(run, SEGMENT), "postings")
 
 
+def places(terms: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where each of ``wanted`` is in the sorted ``terms``, and whether it is there."""
+    if not len(terms):
+        return np.zeros(len(wanted), np.int64), np.zeros(len(wanted), bool)
+    at = np.minimum(np.searchsorted(terms, wanted), len(terms) - 1)
+    return at, terms[at] == wanted
+
+
 class Segment:
-    """One segment's postings in memory."""
+    """One segment's postings in memory, of the terms of a sorted ``vocabulary``; terms are numbers in it."""
 
-    def __init__(self, row) -> None:
+    def __init__(self, row, vocabulary: np.ndarray) -> None:
         self.ids = row.doc_ids
         self.starts, self.n = unpack(row.starts, np.int64), unpack(row.n_words, np.int64)
-        terms, counts = unpack(row.terms, np.int32), unpack(row.counts, np.int64)
+        counts = unpack(row.counts, np.int64)
+        at, self.present = places(unpack(row.terms, np.uint64), vocabulary)
         data = zlib.decompress(row.positions)
-        total = int(counts.sum())
-        gaps = np.frombuffer(data, np.int32 if len(data) == 4 * total else np.int64)
+        gaps = np.frombuffer(data, np.int32 if len(data) == 4 * int(counts.sum()) else np.int64)
         self.flat = np.cumsum(gaps, dtype=np.int64)
         ends = np.cumsum(counts)
-        self.lists = {t: (e - c, e) for t, c, e in zip(terms.tolist(), counts.tolist(), ends.tolist())}
+        self.end = ends[at] if len(ends) else at
+        self.begin = self.end - counts[at] if len(ends) else at
 
     def positions(self, term: int) -> np.ndarray:
-        a, b = self.lists.get(term, (0, 0))
-        return self.flat[a:b]
+        return self.flat[self.begin[term] : self.end[term]] if self.present[term] else self.flat[:0]
 
     def document(self, positions: np.ndarray) -> np.ndarray:
         return np.searchsorted(self.starts, positions, side="right") - 1
@@ -124,11 +128,7 @@ class Segment:
         for i in order[1:]:
             if not len(starts):
                 break
-            other = self.positions(terms[i])
-            at = np.searchsorted(other, starts + i)
-            found = at < len(other)
-            found[found] = other[at[found]] == starts[found] + i
-            starts = starts[found]
+            starts = starts[places(self.positions(terms[i]), starts + i)[1]]
         return starts
 
     def near(self, terms: list[int], rarity: np.ndarray, span: int) -> np.ndarray:
@@ -150,55 +150,62 @@ class Segment:
         return here
 
 
-def rarity_of(index: DataFrame, size: int) -> np.ndarray:
+def rarity_of(index: DataFrame, vocabulary: np.ndarray) -> np.ndarray:
     """Corpus frequency of each vocabulary term, summed over all segments; its length is the vocabulary's."""
+    shared = index.sparkSession.sparkContext.broadcast(vocabulary)
 
     def run(batches):
-        total = np.zeros(size + 1, np.int64)
+        total = np.zeros(len(shared.value), np.int64)
         for batch in batches:
             for t, c in zip(batch["terms"], batch["counts"], strict=True):
-                total[unpack(t, np.int32)] += unpack(c, np.int64)
+                at, here = places(unpack(t, np.uint64), shared.value)
+                total[here] += unpack(c, np.int64)[at[here]]
         some = np.flatnonzero(total)
         yield pd.DataFrame({"term": some, "n": total[some]})
 
     got = index.select("terms", "counts").mapInPandas(run, "term long, n long").groupBy("term").agg(F.sum("n").alias("n")).toPandas()
-    out = np.zeros(size + 1, np.int64)
+    out = np.zeros(len(vocabulary), np.int64)
     out[got["term"].to_numpy(np.int64)] = got["n"].to_numpy(np.int64)
     return out
 
 
+def numbered(texts: list[list[bytes]]) -> tuple[np.ndarray, list[np.ndarray]]:
+    """The sorted vocabulary (hashes) of the texts, and each text as numbers in it."""
+    codes = [hashes(t) for t in texts]
+    vocabulary = np.unique(np.concatenate(codes)) if codes else np.zeros(0, np.uint64)
+    return vocabulary, [np.searchsorted(vocabulary, c) for c in codes]
+
+
 def match_phrases(docs: DataFrame, benchmark: DataFrame, window: int = 8, block: int = 200_000) -> DataFrame:
     """Per document: doc_id, n_words, n_hit (words inside any occurrence of a window), n_items, item_ids (sorted, distinct).
 
-    Items are taken in blocks of at most ``block`` words, each indexed and searched against all documents, so what is
-    broadcast is bounded at any size of the benchmark. Null and empty texts have no words and no hits; an empty
-    benchmark hits nothing; repeated documents each give a row.
+    The index is built once. Items are searched in blocks of at most ``block`` words, so what is broadcast is bounded at
+    any size of the benchmark; a document's blocks meet by its place in the index, whatever its id. Null and empty texts
+    have no words and no hits; null items and items without words match nothing; an empty benchmark hits nothing; rows
+    that repeat an id or a text each give a row; other columns are left out, whatever their names.
     """
-    parts = []
+    parts, index = [], None
     for items in items_of(benchmark, block):
-        vocabulary = sorted({w for _, words in items for w in words})
-        number = {w: i + 1 for i, w in enumerate(vocabulary)}
+        index = build_index(docs) if index is None else index
+        vocabulary, codes = numbered([words for _, words in items])
         wanted: dict[tuple[int, ...], set[int]] = {}
-        for item, words in items:
-            code = [number[w] for w in words]
+        for (item, _), code in zip(items, codes, strict=True):
+            code = code.tolist()
             for i in range(max(1, len(code) - window + 1)):
                 wanted.setdefault(tuple(code[i : i + window]), set()).add(item)
-        index = build_index(docs, vocabulary)
-        shared = docs.sparkSession.sparkContext.broadcast(([(list(k), sorted(v)) for k, v in wanted.items()], rarity_of(index, len(vocabulary))))
-        parts.append(index.mapInPandas(lambda batches, shared=shared: search(batches, *shared.value), "doc_id long, n_words long, hits array<struct<a:long,b:long>>, item_ids array<long>"))
+        phrases = [(list(k), sorted(v)) for k, v in wanted.items()]
+        shared = docs.sparkSession.sparkContext.broadcast((vocabulary, rarity_of(index, vocabulary), phrases, window))
+        kind = "segment string, at long, doc_id long, n_words long, hits array<struct<a:long,b:long>>, item_ids array<long>"
+        parts.append(index.mapInPandas(lambda batches, shared=shared: search(batches, *shared.value), kind))
     if not parts:
         return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInPandas(plain, RESULT)
-    if len(parts) == 1:
-        return parts[0].select("doc_id", "n_words", covered("hits").alias("n_hit"), F.size("item_ids").cast("long").alias("n_items"), "item_ids")
-    both = parts[0].withColumn("k", F.lit(0))
-    for k, p in enumerate(parts[1:], 1):
-        both = both.unionByName(p.withColumn("k", F.lit(k)))
-    # Several blocks: ids may repeat, so equal rows of a block are told apart by their rank among the rows of the same id.
-    from pyspark.sql import Window
-
-    both = both.withColumn("rank", F.row_number().over(Window.partitionBy("k", "doc_id").orderBy("n_words", "hits", "item_ids")))
-    got = both.groupBy("doc_id", "n_words", "rank").agg(F.flatten(F.collect_list("hits")).alias("hits"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("item_ids")))).alias("item_ids"))
-    return got.select("doc_id", "n_words", covered("hits").alias("n_hit"), F.size("item_ids").cast("long").alias("n_items"), "item_ids")
+    both = parts[0]
+    if len(parts) > 1:
+        for p in parts[1:]:
+            both = both.unionByName(p)
+        items = F.array_sort(F.array_distinct(F.flatten(F.collect_list("item_ids"))))
+        both = both.groupBy("segment", "at").agg(F.first("doc_id").alias("doc_id"), F.first("n_words").alias("n_words"), F.flatten(F.collect_list("hits")).alias("hits"), items.alias("item_ids"))
+    return both.select("doc_id", "n_words", covered("hits").alias("n_hit"), F.size("item_ids").cast("long").alias("n_items"), "item_ids")
 
 
 def covered(column: str):
@@ -214,16 +221,18 @@ def plain(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame(rows, columns=RESULT.names).astype({"doc_id": "Int64"})
 
 
-def search(batches: Iterator[pd.DataFrame], wanted: list[tuple[list[int], list[int]]], rarity: np.ndarray) -> Iterator[pd.DataFrame]:
-    # a phrase with a term that no document has occurs nowhere
-    wanted = [(p, i) for p, i in wanted if all(rarity[t] for t in p)]
+def search(batches: Iterator[pd.DataFrame], vocabulary: np.ndarray, rarity: np.ndarray, phrases: list[tuple[list[int], list[int]]], window: int) -> Iterator[pd.DataFrame]:
+    # a phrase with a term that the corpus, or a segment, lacks occurs nowhere there
+    code = np.array([p + p[-1:] * (window - len(p)) for p, _ in phrases]).reshape(-1, window)
+    possible = np.flatnonzero((rarity[code] > 0).all(1))
     for batch in batches:
         for row in batch.itertuples(index=False):
-            seg = Segment(row)
+            seg = Segment(row, vocabulary)
             m = len(seg.ids)
             items: list[set[int]] = [set() for _ in range(m)]
             spans: list[list[tuple[int, int]]] = [[] for _ in range(m)]
-            for phrase, of in wanted:
+            for k in possible[seg.present[code[possible]].all(1)].tolist():
+                phrase, of = phrases[k]
                 for at, d in zip((s := seg.phrase(phrase, rarity)).tolist(), seg.document(s).tolist()):
                     items[d].update(of)
                     a = at - int(seg.starts[d])
@@ -239,7 +248,10 @@ def search(batches: Iterator[pd.DataFrame], wanted: list[tuple[list[int], list[i
                 hits.append([{"a": a, "b": b} for a, b in merged])
             for at in range(0, m, 10_000):
                 cut = slice(at, at + 10_000)
-                yield pd.DataFrame({"doc_id": pd.array([None if x is None or pd.isna(x) else int(x) for x in seg.ids[cut]], "Int64"), "n_words": seg.n[cut], "hits": hits[cut], "item_ids": [sorted(x) for x in items[cut]]})
+                yield pd.DataFrame({
+                    "segment": row.segment, "at": np.arange(m)[cut], "doc_id": pd.array([None if x is None or pd.isna(x) else int(x) for x in seg.ids[cut]], "Int64"),
+                    "n_words": seg.n[cut], "hits": hits[cut], "item_ids": [sorted(x) for x in items[cut]],
+                })
 
 
 def match_proximity(docs: DataFrame, queries: dict[int, str], span: int = 16) -> DataFrame:
@@ -247,17 +259,16 @@ def match_proximity(docs: DataFrame, queries: dict[int, str], span: int = 16) ->
 
     Queries without words match nothing. The query set is the caller's and is broadcast whole.
     """
-    words = {q: alnum_words(t) for q, t in queries.items()}
-    vocabulary = sorted({w for x in words.values() for w in x})
-    number = {w: i + 1 for i, w in enumerate(vocabulary)}
-    index = build_index(docs, vocabulary)
-    shared = docs.sparkSession.sparkContext.broadcast(([(q, [number[w] for w in x]) for q, x in words.items() if x], rarity_of(index, len(vocabulary))))
+    words = {q: w for q, t in queries.items() if (w := alnum_words(t))}
+    vocabulary, codes = numbered(list(words.values()))
+    index = build_index(docs)
+    shared = docs.sparkSession.sparkContext.broadcast((vocabulary, rarity_of(index, vocabulary), [(q, c.tolist()) for q, c in zip(words, codes, strict=True)]))
 
     def run(batches):
-        wanted, rarity = shared.value
+        vocabulary, rarity, wanted = shared.value
         for batch in batches:
             for row in batch.itertuples(index=False):
-                seg = Segment(row)
+                seg = Segment(row, vocabulary)
                 rows = []
                 for q, terms in wanted:
                     at = seg.near(terms, rarity, span)
@@ -269,6 +280,7 @@ def match_proximity(docs: DataFrame, queries: dict[int, str], span: int = 16) ->
 
 
 def contract(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+    """The digest columns of :func:`match_phrases`, a row a document; its odd cases hold here as well."""
     ids = F.array_join(F.array_sort(F.transform("item_ids", lambda x: x.cast("string"))), ",")
     return match_phrases(docs, benchmark).select(
         "doc_id", "n_words", "n_hit", "n_items", F.sha2(ids, 256).alias("items_sha256"), (F.col("n_items") >= 2).alias("contaminated")
