@@ -23,10 +23,12 @@ TEMPLATES = {
     "Proprietary": "All rights reserved. No part of this publication may be reproduced without prior written permission",
 }
 SHINGLE = 3
-#: One row a band. At Jaccard similarity s a window meets its template with probability 1 - (1 - s) ** BANDS: 0.5 gives 0.99998.
-BANDS = 16
-#: Window lengths are twice these strides, in words: a template no longer than a stride lies whole in some window.
-STRIDES = (16, 64, 256)
+#: One row a band. At Jaccard similarity s a window meets its template with probability 1 - (1 - s) ** BANDS. A window is at
+#: most four times as long as its template, so even one crowded with other templates' shingles has s >= 0.8 / 4.2: 0.998.
+BANDS = 32
+#: The least stride. Strides double from it up to the longest template; a window is two strides long, so a template no
+#: longer than its stride lies whole in some window.
+STRIDE = 16
 
 
 def shingles(text: Column) -> tuple[Column, Column]:
@@ -43,18 +45,19 @@ def with_shingles(df: DataFrame, text: str) -> DataFrame:
 
 
 def templates(spark, texts: dict[str, str]) -> DataFrame:
-    """(template, stride, set): a row a template; the table is the caller's and of fixed size."""
+    """(template, stride, set): a row a template, of any length; the table is the caller's and of fixed size."""
     rows = spark.createDataFrame(sorted(texts.items()), "template string, body string")
     made = with_shingles(rows, "body").select("template", F.array_distinct("_shingles").alias("set"), F.size("_shingles").alias("n"))
-    stride = F.lit(None).cast("int")
-    for s in reversed(STRIDES):
-        stride = F.when(F.col("n") <= s, F.lit(s)).otherwise(stride)
-    made = made.withColumn("stride", stride)
-    if made.where("n = 0 or stride is null").count():
-        raise ValueError(f"a template has fewer than {SHINGLE} words or more than {STRIDES[-1]}")
+    if made.where("n = 0").count():
+        raise ValueError(f"a template has fewer than {SHINGLE} words")
+    made = made.withColumn("stride", (STRIDE * F.pow(F.lit(2), F.greatest(F.lit(0), F.ceil(F.log2(F.col("n") / STRIDE))))).cast("int"))
     return made.select("template", "stride", "set")
 
 
+def row_key(docs: DataFrame) -> Column:
+    return F.xxhash64(docs["doc_id"].cast("long"), docs["text"])
+
+
 def bands(column: str) -> Column:
     """MinHash of a set, a value a band."""
 
@@ -65,31 +68,33 @@ def bands(column: str) -> Column:
 
 
 def scan_licenses(docs: DataFrame, texts: dict[str, str] | None = None, containment: float = 0.8) -> DataFrame:
-    """(doc_id, template, containment, position) of every template of which a window holds ``containment`` of the shingles.
+    """(row, doc_id, template, containment, position) of every template of which a window holds ``containment`` of the shingles.
 
     Windows are reduced to the shingles that some template has before they are signed: the others can take no part in a
-    containment and would only lower the similarity. Rows that repeat an id are scanned as one. No row for other texts.
+    containment and would only lower the similarity. A row is scanned by itself: rows are told apart by a hash of id and
+    text, so rows with a null or a repeated id share nothing but equal texts. No row for other texts, for null, empty and
+    short ones. All columns but id and text are left out, whatever their names. An empty table gives an empty result.
     """
     spark = docs.sparkSession
     known = templates(spark, TEMPLATES if texts is None else texts)
     vocabulary = [r[0] for r in known.select(F.explode("set")).distinct().collect()]  # as large as the templates
-    mine = with_shingles(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), "text").select("doc_id", "_shingles")
+    strides = sorted(r[0] for r in known.select("stride").distinct().collect())
+    mine = with_shingles(docs.select(row_key(docs).alias("row"), F.col("doc_id").cast("long").alias("doc_id"), "text"), "text").select("row", "doc_id", "_shingles")
     at = F.filter(F.transform("_shingles", lambda h, i: F.when(h.isin(vocabulary), F.struct(i.alias("i"), h.alias("h")))), lambda x: x.isNotNull())
-    hits = mine.select("doc_id", F.inline(at))
-    spread = F.explode(F.array(*[F.struct(F.lit(s).alias("stride"), (F.floor(F.col("i") / s) - k).cast("long").alias("window")) for s in STRIDES for k in (0, 1)]))
-    windows = hits.select("doc_id", "h", "i", spread.alias("w")).select("doc_id", "h", "i", "w.*").where("window >= 0 or i < stride")
-    windows = windows.groupBy("doc_id", "stride", "window").agg(F.collect_set("h").alias("held"), F.min("i").alias("position"))
-    signed = windows.withColumn("band", bands("held")).select("doc_id", "stride", "window", "held", "position", F.posexplode("band").alias("b", "value"))
+    hits = mine.select("row", "doc_id", F.inline(at))
+    spread = F.explode(F.array(*[F.struct(F.lit(s).alias("stride"), (F.floor(F.col("i") / s) - k).cast("long").alias("window")) for s in strides for k in (0, 1)]))
+    windows = hits.select("row", "doc_id", "h", "i", spread.alias("w")).select("row", "doc_id", "h", "i", "w.*").where("window >= 0 or i < stride")
+    windows = windows.groupBy("row", "stride", "window").agg(F.first("doc_id").alias("doc_id"), F.collect_set("h").alias("held"), F.min("i").alias("position"))
+    signed = windows.withColumn("band", bands("held")).select("row", "doc_id", "stride", "window", "held", "position", F.posexplode("band").alias("b", "value"))
     wanted = known.withColumn("band", bands("set")).select("template", "stride", "set", F.posexplode("band").alias("b", "value"))
     found = signed.join(F.broadcast(wanted), ["stride", "b", "value"])
     share = F.size(F.array_intersect("held", "set")) / F.size("set")
-    found = found.select("doc_id", "template", "position", share.alias("containment")).where(F.col("containment") >= containment)
-    return found.groupBy("doc_id", "template").agg(F.max("containment").alias("containment"), F.min("position").cast("long").alias("position"))
+    found = found.select("row", "doc_id", "template", "position", share.alias("containment")).where(F.col("containment") >= containment)
+    return found.groupBy("row", "template").agg(F.first("doc_id").alias("doc_id"), F.max("containment").alias("containment"), F.min("position").cast("long").alias("position"))
 
 
 def contract(docs: DataFrame) -> DataFrame:
     """A row per document: doc_id, n_licenses, licenses (sorted, comma-joined), containment (the best, 0 without any)."""
-    found = scan_licenses(docs).groupBy(F.col("doc_id").alias("of")).agg(F.array_join(F.array_sort(F.collect_set("template")), ",").alias("licenses"), F.count("*").alias("n"), F.max("containment").alias("best"))
-    ids = docs.select(F.col("doc_id").cast("long").alias("doc_id"))
-    joined = ids.join(found, ids["doc_id"].eqNullSafe(found["of"]), "left")
+    found = scan_licenses(docs).groupBy("row").agg(F.array_join(F.array_sort(F.collect_set("template")), ",").alias("licenses"), F.count("*").alias("n"), F.max("containment").alias("best"))
+    joined = docs.select(row_key(docs).alias("row"), F.col("doc_id").cast("long").alias("doc_id")).join(found, "row", "left")
     return joined.select("doc_id", F.coalesce("n", F.lit(0)).cast("long").alias("n_licenses"), F.coalesce("licenses", F.lit("")).alias("licenses"), F.coalesce("best", F.lit(0.0)).alias("containment"))
