@@ -34,7 +34,9 @@ class Grams:
         if got is None:
             if len(self.seen) > 100_000:
                 self.seen.clear()
-            got = self.seen[s] = hash_word(b"shape " + s[:12])
+            got = hash_word(b"shape " + s)
+            if len(s) <= 64:
+                self.seen[s] = got
         return got
 
     def of(self, text: str | None) -> np.ndarray:
