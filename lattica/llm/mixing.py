@@ -30,6 +30,8 @@ def train(labelled: DataFrame, domain: str) -> tuple[list[str], DataFrame]:
     if len(sizes) > MOST_DOMAINS:
         raise ValueError(f"more than {MOST_DOMAINS} domains")
     names = sorted(sizes)
+    if not names:
+        return names, counts.select("bucket").where(F.lit(False))
     one = lambda d: F.log((F.coalesce(F.max(F.when(F.col("domain") == d, F.col("n"))), F.lit(0)) + 0.5) / F.lit(sizes[d] + 0.5 * BUCKETS))
     every = counts.sparkSession.range(BUCKETS).select(F.col("id").alias("bucket"))
     model = every.join(counts, "bucket", "left").groupBy("bucket").agg(*[one(d).alias(f"w{j}") for j, d in enumerate(names)])
@@ -106,9 +108,10 @@ def mix(docs: DataFrame, labelled: DataFrame, domain: str, targets: dict[str, fl
 def labelled_rows(docs: DataFrame, labels: DataFrame, bound: int = 20_000) -> DataFrame:
     """At most ``bound`` documents that the labelled table names, in the order of a hash of the id. Only the bounded id
     list is broadcast; texts are not shuffled at any size."""
-    ids = labels.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("_labelled")).distinct()
-    chosen = ids.orderBy(F.xxhash64("_labelled"), "_labelled").limit(bound)
-    return docs.join(F.broadcast(chosen), docs["doc_id"].cast("long") == F.col("_labelled"), "left_semi")
+    name = fresh("labelled", docs.columns)
+    ids = labels.where("doc_id is not null").select(F.col("doc_id").cast("long").alias(name)).distinct()
+    chosen = ids.orderBy(F.xxhash64(name), name).limit(bound)
+    return docs.join(F.broadcast(chosen), docs["doc_id"].cast("long") == chosen[name], "left_semi")
 
 
 def contract(docs: DataFrame, labels: DataFrame) -> DataFrame:
@@ -126,9 +129,9 @@ def sample_mixture(docs: DataFrame, labels: DataFrame, domain: str = "lang", tar
 
     Rows get a number, written once with the table, and are rated by it, so rows with a null or a repeated id share nothing.
     """
-    row, rate, times = (fresh(n, docs.columns) for n in ("row", "rate", "copies"))
+    row, rate, times, of = (fresh(n, docs.columns) for n in ("row", "rate", "copies", "of"))
     numbered = save(docs.withColumn(row, F.monotonically_increasing_id()), "numbered")
-    mixed, _, _ = mix(numbered.drop("doc_id").withColumnRenamed(row, "doc_id"), labelled_rows(docs, labels), domain, targets)
-    mixed = mixed.select(F.col("doc_id").alias("_of"), F.col("rate").alias(rate), F.col("copies").alias(times))
-    joined = numbered.join(mixed, numbered[row] == mixed["_of"]).drop("_of", row).where(F.col(times) > 0)
+    mixed, _, _ = mix(numbered.select(F.col(row).alias("doc_id"), "text"), labelled_rows(docs, labels).select("doc_id", "text", domain), domain, targets)
+    mixed = mixed.select(F.col("doc_id").alias(of), F.col("rate").alias(rate), F.col("copies").alias(times))
+    joined = numbered.join(mixed, numbered[row] == mixed[of]).drop(of, row).where(F.col(times) > 0)
     return joined.withColumn(times, F.explode(F.sequence(F.lit(1), F.col(times).cast("int")))).drop(times)
