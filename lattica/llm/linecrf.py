@@ -97,22 +97,51 @@ def lines_of(text: str | None) -> list[bytes]:
     return [x for x in raw(text).split(b"\n") if x.split()]
 
 
-def weak_labels(lines: list[bytes], quality: int) -> np.ndarray:
-    """Training labels from the document's: lines of a good document are content but for repeats of an earlier line;
-    lines of a bad one are boilerplate."""
+def fresh_lines(lines: list[bytes]) -> np.ndarray:
+    """1 for a line's first occurrence in its text, 0 for a repeat."""
     seen: set[bytes] = set()
-    out = []
-    for x in lines:
-        out.append(0 if quality == 0 or x in seen else 1)
-        seen.add(x)
-    return np.array(out, np.int64)
+    return np.array([0 if x in seen else (seen.add(x), 1)[1] for x in lines], np.int64)
 
 
-def fit(documents: list[tuple[np.ndarray, np.ndarray]], epochs: int = 6, rate: float = 0.3, l2: float = 1e-3, seed: int = 7) -> LineCrf:
-    """AdaGrad ascent on the conditional log-likelihood. Without documents every line is content."""
+def relabelled(crf: LineCrf, x: np.ndarray, sizes: np.ndarray, least_share: float) -> np.ndarray:
+    """Line labels of a bad document: the likeliest ones by ``crf``, among those by which it would not be kept.
+
+    Where its content would reach ``least_share`` of the words, the lines least like content turn into boilerplate, in
+    that order, until it no longer does.
+    """
+    label = crf.viterbi(x)
+    words = sizes.sum()
+    if (label * sizes).sum() >= least_share * words:
+        odds = x @ (crf.emit[1] - crf.emit[0])
+        for i in np.lexsort((np.arange(len(x)), odds)).tolist():
+            label[i] = 0
+            if (label * sizes).sum() < least_share * words:
+                break
+    return label
+
+
+def fit_lines(documents: list[tuple[np.ndarray, np.ndarray, np.ndarray, int]], rounds: int = 3, least_share: float = 0.5) -> LineCrf:
+    """The CRF from documents (features, words a line, first occurrences, 0/1 quality), whose lines have no labels of their own.
+
+    Hard expectation maximisation: lines of good documents are content but for repeats. Those of bad ones start as
+    boilerplate in a model of single lines, without transitions; then, and after each fit of the chain, they take the
+    likeliest labels by which the document is still rejected. So prose in a bad document becomes content and the
+    transitions between the kinds are learned.
+    """
+    labels = [first * quality for _, _, first, quality in documents]
+    crf = fit([(x[i : i + 1], y[i : i + 1]) for (x, _, _, _), y in zip(documents, labels, strict=True) for i in range(len(y))], epochs=2)
+    for _ in range(rounds):
+        labels = [y if quality else relabelled(crf, x, sizes, least_share) for (x, sizes, _, quality), y in zip(documents, labels, strict=True)]
+        crf = fit([(x, y) for (x, _, _, _), y in zip(documents, labels, strict=True)], epochs=3)
+    return crf
+
+
+def fit(documents: list[tuple[np.ndarray, np.ndarray]], epochs: int = 6, rate: float = 0.3, l2: float = 1e-3, seed: int = 7, crf: LineCrf | None = None) -> LineCrf:
+    """AdaGrad ascent on the conditional log-likelihood, from ``crf`` or zero. Without documents every line is content."""
     shapes = ((2, N_FEATURES), (2, 2), (2,))
-    crf = LineCrf(*(np.zeros(s) for s in shapes))
-    crf.start[1] = 1e-9
+    if crf is None:
+        crf = LineCrf(*(np.zeros(s) for s in shapes))
+        crf.start[1] = 1e-9
     total = [np.full(s, 1e-6) for s in shapes]
     rng = np.random.default_rng(seed)
     for _ in range(epochs):
@@ -130,23 +159,26 @@ def fit(documents: list[tuple[np.ndarray, np.ndarray]], epochs: int = 6, rate: f
 
 
 def train(docs: DataFrame, labels: DataFrame, bound: int = 3_000, **how) -> LineCrf:
-    """Fit on at most ``bound`` labelled documents; the driver gets line indicators and weak labels, never texts."""
-    fields = T.StructType([T.StructField("x", T.BinaryType()), T.StructField("n", T.LongType()), T.StructField("first", T.BinaryType())])
+    """Fit on at most ``bound`` labelled documents; the driver gets line indicators, never texts.
+
+    Null ids, labels and texts and texts without words are left out; contradicting labels of an id count as good.
+    """
+    fields = T.StructType([T.StructField("x", T.BinaryType()), T.StructField("sizes", T.BinaryType()), T.StructField("first", T.BinaryType())])
 
     def fn(texts):
         rows = []
         for t in texts:
             lines = lines_of(t)
-            rows.append((features(lines)[0].astype(np.int8).tobytes(), len(lines), weak_labels(lines, 1).astype(np.int8).tobytes()))
+            x, sizes = features(lines)
+            rows.append((x.astype(np.int8).tobytes(), sizes.tobytes(), fresh_lines(lines).astype(np.int8).tobytes()))
         return list(zip(*rows, strict=True))
 
     got = annotate(labelled_sample(docs, labels, "quality", None, bound), fn, fields, ("doc_id", "y")).toPandas().sort_values("doc_id", kind="stable")
     data = []
-    for x, n, first, y in zip(got["x"], got["n"], got["first"], got["y"]):
-        if n:
-            label = np.frombuffer(first, np.int8).astype(np.int64) * int(y)
-            data.append((np.frombuffer(x, np.int8).reshape(n, N_FEATURES).astype(float), label))
-    return fit(data, **how)
+    for x, sizes, first, y in zip(got["x"], got["sizes"], got["first"], got["y"]):
+        if n := len(first):
+            data.append((np.frombuffer(x, np.int8).reshape(n, N_FEATURES).astype(float), np.frombuffer(sizes, np.int64), np.frombuffer(first, np.int8).astype(np.int64), int(y)))
+    return fit_lines(data, **how)
 
 
 def repeated_words(words: list[bytes]) -> int:
@@ -199,4 +231,6 @@ def line_rules(docs: DataFrame, crf: LineCrf, keep: tuple[str, ...] = ("doc_id",
 
 
 def contract(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """A row a document, repeats included, by the model of all its labelled sample; an empty table gives none. Without labels
+    every line is content. Other columns are left out, whatever their names."""
     return line_rules(docs, train(docs, labels))
