@@ -45,7 +45,7 @@ def test_suffix_tree_is_a_distribution(docs):
     for g in [*seen[:8].tolist(), *rng.integers(0, 1 << 47, 8).tolist()]:
         every = (np.int64(g) & ~np.int64(255)) | np.arange(256)
         assert abs((10 ** tree.gram_logs(every)).sum() - 1) < 1e-6
-    assert suffixlm.train(docs.where(F.lit(False))).scores([[b"a"]])[0] == pytest.approx(2 * math.log10(1 / 256))
+    assert suffixlm.train(docs.where(F.lit(False))).spell([b"a", b"\n"]).tolist() == pytest.approx([2 * math.log10(1 / 256), math.log10(1 / 256)])
 
 
 def words3(t):
