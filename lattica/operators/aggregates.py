@@ -28,8 +28,8 @@ def olap_by(df: DataFrame, column: str, group: str, max_groups: int = 4096) -> D
     key = F.col(group).cast("float")
     minus = (key == 0) & (key.cast("string") == "-0.0")
     got = df.groupBy(key.alias("key"), minus.alias("minus_zero")).agg(*five(column))
-    n = F.count("*").over(Window.partitionBy(F.lit(0)))
-    checked = got.withColumn("_n", n).where(F.when(F.col("_n") > max_groups, F.raise_error(F.lit("too many groups")).cast("boolean")).otherwise(True))
+    n = got.select("key").limit(max_groups + 1).agg(F.count("*").alias("_n"))  # one row
+    checked = got.crossJoin(F.broadcast(n)).where(F.when(F.col("_n") > max_groups, F.raise_error(F.lit("too many groups")).cast("boolean")).otherwise(True))
     return checked.drop("_n")
 
 

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import hashlib
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -48,20 +51,50 @@ def exact_duplicates(df: DataFrame, key: str, content: Column) -> DataFrame:
 
 
 def chain(entries: DataFrame, ledger: str, seq: str, payload: list[str]) -> DataFrame:
-    """Entries with ``prev_hash`` and ``hash``, linked in sequence: SHA-256 of the previous entry's content hash and its own."""
+    """Entries with ``prev_hash`` and ``hash``, linked in sequence: SHA-256 of the previous entry's hash and the own content's.
+
+    A ledger's hashes follow one from another, so a ledger is one task's work; what it holds is digests, not payloads.
+    """
     own = F.sha2(F.concat_ws("\x1f", *[F.col(c).cast("string") for c in (seq, *payload)]), 256)
-    w = Window.partitionBy(ledger).orderBy(seq)
     d = entries.withColumn("_own", own)
-    prev = F.coalesce(F.lag("_own").over(w), F.lit("0" * 64))
-    return d.withColumn("prev_hash", prev).withColumn("hash", F.sha2(F.concat(prev, F.col("_own")), 256)).drop("_own")
+    name, kinds = F.col(ledger).alias("ledger"), d.schema
+
+    def link(part: pd.DataFrame) -> pd.DataFrame:
+        part = part.sort_values("seq", kind="stable")
+        hashes, prev = [], "0" * 64
+        for content in part["own"]:
+            prev = hashlib.sha256((prev + content).encode()).hexdigest()
+            hashes.append(prev)
+        return part[["ledger", "seq"]].assign(prev_hash=["0" * 64, *hashes[:-1]], hash=hashes)
+
+    made = d.select(name, F.col(seq).alias("seq"), F.col("_own").alias("own")).groupBy("ledger").applyInPandas(
+        link, f"ledger {kinds[ledger].dataType.simpleString()}, seq {kinds[seq].dataType.simpleString()}, prev_hash string, hash string"
+    )
+    return d.drop("_own").join(made.withColumnsRenamed({"ledger": ledger, "seq": seq}), [ledger, seq])
 
 
 def verify_chain(entries: DataFrame, ledger: str, seq: str, payload: list[str]) -> DataFrame:
-    """(ledger, entries, first_break): the smallest sequence number whose link, hash or step is wrong."""
-    again = chain(entries.select(ledger, seq, *payload, F.col("prev_hash").alias("_p"), F.col("hash").alias("_h")), ledger, seq, payload)
-    step = F.col(seq) - F.lag(seq).over(Window.partitionBy(ledger).orderBy(seq))
-    bad = (F.col("prev_hash") != F.col("_p")) | (F.col("hash") != F.col("_h")) | (F.coalesce(step, F.lit(1)) != 1)
-    return again.withColumn("_bad", bad).groupBy(ledger).agg(F.count("*").alias("entries"), F.min(F.when(F.col("_bad"), F.col(seq))).alias("first_break"))
+    """(ledger, entries, first_break): the smallest sequence number whose step, link or hash is wrong, by the hashes that the
+    entries carry; no task needs a whole ledger's payloads."""
+    w = Window.partitionBy(ledger).orderBy(seq)
+    own = F.sha2(F.concat_ws("\x1f", *[F.col(c).cast("string") for c in (seq, *payload)]), 256)
+    link = F.col("prev_hash") == F.coalesce(F.lag("hash").over(w), F.lit("0" * 64))
+    step = F.coalesce(F.col(seq) - F.lag(seq).over(w), F.lit(1)) == 1
+    good = link & step & (F.col("hash") == F.sha2(F.concat("prev_hash", own), 256))
+    return entries.withColumn("_good", F.coalesce(good, F.lit(False))).groupBy(ledger).agg(F.count("*").alias("entries"), F.min(F.when(~F.col("_good"), F.col(seq))).alias("first_break"))
+
+
+def merkle_root(entries: DataFrame, seq: str, digest: str) -> str | None:
+    """Root of the tree over hex digests in sequence: leaves H("leaf" digest), nodes H("node" left right), an odd last node
+    paired with itself. A level is one aggregation by half the position; null without entries."""
+    at = entries.select((F.col(seq) - entries.agg(F.min(seq)).first()[0]).cast("long").alias("i"), F.sha2(F.concat(F.lit("leaf"), F.col(digest)), 256).alias("h")) if not entries.isEmpty() else None
+    if at is None:
+        return None
+    n = at.count()
+    while n > 1:
+        both = at.groupBy(F.floor(F.col("i") / 2).alias("i")).agg(F.min_by("h", "i").alias("a"), F.max_by("h", "i").alias("b"))
+        at, n = both.select("i", F.sha2(F.concat(F.lit("node"), F.col("a"), F.col("b")), 256).alias("h")), (n + 1) // 2
+    return at.first()["h"]
 
 
 def arms(trials: DataFrame, arm: str, won: Column) -> DataFrame:

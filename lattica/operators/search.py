@@ -5,9 +5,24 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lattica.functions.vector import cosine, doubles, norm
-
-INTENTS = {"causal": ("why", "because", "cause"), "temporal": ("when", "before", "after", "recent"), "navigational": ("where", "find", "show"), "comparative": ("versus", "compare", "difference")}
+from lattica.functions.vector import doubles, norm
+
+#: Keywords of the intents, in the order in which they are tried.
+INTENTS = {
+    "code": ("fn ", "rust", "stacktrace", "compile", "trait", "function"),
+    "causal": ("because", "caused", "why", "causal", "leads to"),
+    "entity": ("who", "entity", "person", "company", "organization"),
+    "temporal": ("when", "recent", "yesterday", "recurring", "periodic"),
+    "speaker": ("speaker", "voice", "said"),
+    "style": ("style", "tone", "register"),
+    "civic": ("polis", "vote", "civic", "policy"),
+    "media": ("image", "audio", "video", "media"),
+    "bridge": ("bridge", "connect", "between"),
+    "kernel": ("kernel", "grounding", "anchor"),
+    "lexical": ("exact", "keyword", "literal", "bm25"),
+    "multimodal": ("multimodal", "cross modal"),
+    "semantic": ("meaning", "semantic", "similar"),
+}
 
 
 def terms(text: Column) -> Column:
@@ -27,16 +42,27 @@ def statistics(docs: DataFrame, text: str) -> DataFrame:
 
 def bm25(docs: DataFrame, key: str, text: str, query: list[str], k1: float = 1.2, b: float = 0.75, plus: bool = True, every: bool = False) -> DataFrame:
     """(key, score) of documents with a query term (``every``: with all). ``plus`` keeps the factor (k1 + 1) of the search
-    index; the collection index has none. Only postings of query terms are shuffled; N and the mean length are one scan."""
+    index; the collection index has none. Two scans: one for N, the mean length and the document frequencies, one that
+    scores; nothing but the first one's row is shuffled."""
     wanted = sorted(set(query))
-    mine = postings(docs.where(F.arrays_overlap(terms(F.col(text)), F.array(*[F.lit(q) for q in wanted]))), key, text).where(F.col("term").isin(wanted))
-    df = mine.groupBy("term").agg(F.countDistinct(key).alias("df"))
-    scored = mine.join(F.broadcast(df), "term").crossJoin(F.broadcast(statistics(docs, text)))  # one row
-    idf = F.log((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5) + 1)
+    words = terms(F.coalesce(F.col(text), F.lit("")))
+
+    def times(q: str) -> Column:
+        return F.size(F.filter("_t", lambda x: x == q))
+
+    tf = F.array(*map(times, wanted))
+    counted = docs.select(key, words.alias("_t")).select(key, F.size("_t").alias("len"), tf.alias("tf"))
+    places = range(len(wanted))
+    corpus = counted.agg(F.count("*").alias("n"), F.avg("len").alias("avg_len"), F.array(*[F.sum((F.col("tf")[i] > 0).cast("long")) for i in places]).alias("df"))
     ratio = F.when(F.col("avg_len") > 0, F.col("len") / F.col("avg_len")).otherwise(1.0)
-    part = idf * F.col("tf") * (k1 + 1 if plus else 1.0) / (F.col("tf") + k1 * (1 - b + b * ratio))
-    out = scored.groupBy(key).agg(F.sum(part).alias("score"), F.countDistinct("term").alias("matched"))
-    return out.where(F.col("matched") == len(wanted)).select(key, "score") if every else out.select(key, "score")
+
+    def part(i: int) -> Column:
+        f, df = F.col("tf")[i], F.col("df")[i]
+        idf = F.log((F.col("n") - df + 0.5) / (df + 0.5) + 1)
+        return F.when(f > 0, idf * f * (k1 + 1 if plus else 1.0) / (f + k1 * (1 - b + b * ratio))).otherwise(0.0)
+
+    found = counted.where((F.array_min if every else F.array_max)("tf") > 0)
+    return found.crossJoin(F.broadcast(corpus)).select(key, sum((part(i) for i in places), F.lit(0.0)).alias("score"))  # one row
 
 
 def intent(text: Column) -> Column:
@@ -50,17 +76,18 @@ def intent(text: Column) -> Column:
     return out
 
 
-def nearest(queries: DataFrame, base: DataFrame, key: str, vector: str, k: int, blocks: int = 8, bound: int = 20_000) -> DataFrame:
-    """Exact top k by cosine of each query (qid, qvec): the query set is broadcast in blocks of a checked size against one
-    scan of ``base``; each task keeps its best k a query before the shuffle, so rows shuffled are tasks * queries * k."""
-    n = queries.count()
-    if n > bound * blocks:
-        raise ValueError(f"more than {bound * blocks} queries; pass them in several calls")
-    parts = max(1, -(-n // bound))
+def nearest(queries: DataFrame, base: DataFrame, key: str, vector: str, k: int, bound: int = 20_000) -> DataFrame:
+    """Exact top k by cosine of each query (qid, qvec): the query set is broadcast in as many blocks of ``bound`` as it has, each
+    against one scan of ``base``; each task keeps its best k a query before the shuffle, so rows shuffled are tasks * queries * k."""
+    parts = max(1, -(-queries.count() // bound))
+    rows = base.select(key, doubles(F.col(vector)).alias("_v"), norm(F.col(vector)).alias("_n"))
+    asked = queries.select("qid", doubles(F.col("qvec")).alias("_q"), norm(F.col("qvec")).alias("_m"))
     out = None
     for i in range(parts):
-        some = queries if parts == 1 else queries.where(F.pmod(F.xxhash64("qid"), F.lit(parts)) == i)
-        hit = base.crossJoin(F.broadcast(some)).select("qid", key, cosine(F.col("qvec"), F.col(vector)).alias("score"))
+        some = asked if parts == 1 else asked.where(F.pmod(F.xxhash64("qid"), F.lit(parts)) == i)
+        length = F.col("_n") * F.col("_m")
+        score = F.when(length == 0, 0.0).otherwise(F.aggregate(F.zip_with("_v", "_q", lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x) / length)
+        hit = rows.crossJoin(F.broadcast(some)).select("qid", key, score.alias("score"))
         w = Window.partitionBy("qid").orderBy(F.desc("score"), key)
         got = hit.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
         out = got if out is None else out.unionByName(got)

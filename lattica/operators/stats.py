@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -33,16 +35,16 @@ def spearman(df: DataFrame, by: list[str], x: str, y: str) -> DataFrame:
 
 
 def contingency(df: DataFrame, a: str, b: str) -> DataFrame:
-    """(a, b, o, e) over all cells of the table, empty ones included; the marginals are small beside the rows."""
+    """(a, b, o, ra, rb, n): the table's cells that are not empty with their marginals."""
     cells = df.groupBy(F.col(a).alias("a"), F.col(b).alias("b")).agg(F.count("*").alias("o"))
     ra, rb, n = cells.groupBy("a").agg(F.sum("o").alias("ra")), cells.groupBy("b").agg(F.sum("o").alias("rb")), cells.agg(F.sum("o").alias("n"))
-    return ra.crossJoin(rb).join(cells, ["a", "b"], "left").crossJoin(F.broadcast(n)).select("a", "b", F.coalesce("o", F.lit(0)).alias("o"), (F.col("ra") * F.col("rb") / F.col("n")).alias("e"), "n")
+    return cells.join(ra, cells["a"].eqNullSafe(ra["a"])).drop(ra["a"]).join(rb, cells["b"].eqNullSafe(rb["b"])).drop(rb["b"]).crossJoin(F.broadcast(n))  # one row
 
 
 def categorical(df: DataFrame, a: str, b: str) -> DataFrame:
-    """chi2, g, phi, Cramer's V of two labels."""
+    """chi2, g, phi, Cramer's V of two labels; empty cells need no rows: chi2 = n (sum o^2 / (ra rb) - 1)."""
     t = contingency(df, a, b).agg(
-        F.sum((F.col("o") - F.col("e")) ** 2 / F.col("e")).alias("chi2"), (2 * F.sum(F.when(F.col("o") > 0, F.col("o") * F.log(F.col("o") / F.col("e"))))).alias("g"),
+        (F.max("n") * (F.sum(F.col("o") * F.col("o") / (F.col("ra") * F.col("rb"))) - 1)).alias("chi2"), (2 * F.sum(F.col("o") * F.log(F.col("o") * F.col("n") / (F.col("ra") * F.col("rb"))))).alias("g"),
         F.max("n").alias("n"), F.countDistinct("a").alias("r"), F.countDistinct("b").alias("c"),
     )
     small = F.least(F.col("r"), F.col("c")) - 1
@@ -84,10 +86,14 @@ def autocorrelation(df: DataFrame, by: list[str], order: str, x: str, lags: list
 
 
 def copula_tails(df: DataFrame, by: list[str], x: str, y: str, q: float = 0.10) -> DataFrame:
-    """Lower and upper tail dependence and Blomqvist's beta of the pseudo-observations rank / (n + 1); ties by both columns' order."""
+    """Lower and upper tail dependence and Blomqvist's beta of the pseudo-observations rank / (n + 1). Ties raise."""
     n = F.count("*").over(Window.partitionBy(*by))
-    u = F.row_number().over(Window.partitionBy(*by).orderBy(x, y)) / (n + 1)
-    v = F.row_number().over(Window.partitionBy(*by).orderBy(y, x)) / (n + 1)
+
+    def place(c: str) -> Column:
+        w = Window.partitionBy(*by).orderBy(c)
+        return F.when(F.lag(c).over(w) == F.col(c), F.raise_error(F.lit(f"ties in {c}")).cast("int")).otherwise(F.row_number().over(w)) / (n + 1)
+
+    u, v = place(x), place(y)
     d = df.select(*by, u.alias("u"), v.alias("v"))
     both = lambda c: F.avg(F.when(c, 1.0).otherwise(0.0))
     return d.groupBy(*by).agg(
@@ -135,3 +141,79 @@ def covariance_matrix(df: DataFrame, columns: list[str]) -> DataFrame:
     pairs = [(a, b) for i, a in enumerate(columns) for b in columns[i + 1 :]]
     parts = F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), F.corr(a, b).alias("r")) for a, b in pairs])
     return df.agg(parts.alias("_p")).select(F.inline("_p"))
+
+
+def fisher_interval(r: Column, n: Column, z: float = 1.959963984540054) -> tuple[Column, Column]:
+    """Confidence interval of a correlation by Fisher's transform; null below four pairs."""
+    a, half = F.atanh(r), F.lit(z) / F.sqrt(n - 3)
+    return F.when(n > 3, F.tanh(a - half)), F.when(n > 3, F.tanh(a + half))
+
+
+def gaussian_cmi_bits(r: Column) -> Column:
+    """Conditional mutual information of Gaussians in bits, from the partial correlation."""
+    return -0.5 * F.log2(1 - r * r)
+
+
+def partial_correlation_many(df: DataFrame, x: str, y: str, controls: list[str]) -> float:
+    """Partial correlation given several columns, from the precision matrix; the correlations are one aggregation."""
+    names = [x, y, *controls]
+    pairs = [(i, j) for i in range(len(names)) for j in range(i)]
+    got = df.dropna(subset=names).agg(*[F.corr(names[i], names[j]) for i, j in pairs]).first()
+    m = np.eye(len(names))
+    for (i, j), r in zip(pairs, got):
+        m[i, j] = m[j, i] = r
+    p = np.linalg.inv(m)
+    return float(-p[0, 1] / np.sqrt(p[0, 0] * p[1, 1]))
+
+
+def cross_correlation(df: DataFrame, by: list[str], order: str, x: str, y: str, most: int) -> DataFrame:
+    """(by, lag, n, r) for lags of -most..most; at a positive lag ``x`` leads. Lags of fewer than three pairs are left out."""
+    w = Window.partitionBy(*by).orderBy(order)
+    cols = [F.struct(F.lit(k).alias("lag"), F.col(x).cast("double").alias("a"), F.lead(F.col(y).cast("double"), k).over(w).alias("b")) for k in range(-most, most + 1)]
+    pairs = df.select(*by, *[c.alias(f"_{i}") for i, c in enumerate(cols)]).select(*by, F.explode(F.array(*[f"_{i}" for i in range(len(cols))])).alias("p"))
+    got = pairs.select(*by, "p.*").where("a is not null and b is not null").groupBy(*by, "lag").agg(F.count("*").alias("n"), F.corr("a", "b").alias("r"))
+    return got.where("n >= 3")
+
+
+def correlation_peak(profile: DataFrame, by: list[str]) -> DataFrame:
+    """The lag of the largest absolute correlation; ties: more pairs, then the smaller absolute lag."""
+    return profile.groupBy(*by).agg(F.max_by(F.struct("lag", "r"), F.struct(F.abs("r"), "n", -F.abs("lag"))).alias("p")).select(*by, "p.lag", "p.r")
+
+
+def granger(df: DataFrame, by: list[str], order: str, x: str, y: str, lags: int) -> DataFrame:
+    """(by, n, f, df1, df2): F test that ``lags`` values of x help y beside its own; the normal equations' sums are additive,
+    so a group is one row of sums. Groups of fewer than 3 * lags + 2 rows are left out; a singular design gives null."""
+    w = Window.partitionBy(*by).orderBy(order)
+    names = ["one", *[f"y{k}" for k in range(1, lags + 1)], *[f"x{k}" for k in range(1, lags + 1)]]
+    cols = [F.lag(F.col(c).cast("double"), k).over(w).alias(f"{n}{k}") for n, c in (("y", y), ("x", x)) for k in range(1, lags + 1)]
+    rows = df.select(*by, F.col(y).cast("double").alias("t"), F.lit(1.0).alias("one"), *cols).dropna()
+    pairs = [(a, b) for i, a in enumerate([*names, "t"]) for b in [*names, "t"][: i + 1]]
+    sums = rows.groupBy(*by).agg(F.count("*").alias("n"), F.array(*[F.sum(F.col(a) * F.col(b)) for a, b in pairs]).alias("s"))
+
+    @F.pandas_udf("double")
+    def test(n: pd.Series, s: pd.Series) -> pd.Series:
+        size = len(names) + 1
+        out = []
+        for count, values in zip(n, s):
+            m = np.zeros((size, size))
+            m[np.tril_indices(size)] = values
+            m = m + m.T - np.diag(np.diag(m))
+
+            def rss(k: int, m=m) -> float:
+                return float(m[-1, -1] - m[-1, :k] @ np.linalg.lstsq(m[:k, :k], m[:k, -1], rcond=None)[0])
+
+            free, left = count - size + 1, rss(size - 1)
+            singular = np.linalg.matrix_rank(m[:-1, :-1]) < size - 1
+            out.append(None if singular or left <= 0 or free <= 0 else (rss(1 + lags) - left) / lags / (left / free))
+        return pd.Series(out, dtype=float)
+
+    got = sums.where(F.col("n") + lags >= 3 * lags + 2)
+    return got.select(*by, "n", test("n", "s").alias("f"), F.lit(lags).alias("df1"), (F.col("n") - 2 * lags - 1).alias("df2"))
+
+
+def linear_cka(df: DataFrame, left: list[str], right: list[str]) -> DataFrame:
+    """(cka): |X'Y|^2 / (|X'X| |Y'Y|) of centred column sets; one aggregation of the covariances."""
+    every = [*left, *right]
+    cov = {(a, b): F.covar_pop(a, b) for a in every for b in every}
+    total = lambda p, q: sum((cov[a, b] * cov[a, b] for a in p for b in q), F.lit(0.0))
+    return df.dropna(subset=every).agg((total(left, right) / F.sqrt(total(left, left) * total(right, right))).alias("cka"))

@@ -39,6 +39,10 @@ def neighborhood_mean(neighbors: DataFrame, by: list[str], vector: str) -> DataF
     return cells.groupBy(*by).agg(F.transform(F.array_sort(F.collect_list(F.struct("dim", "m"))), lambda s: s["m"]).alias("mean"))
 
 
+#: Bins of a running count over all rows.
+BINS = 4096
+
+
 def calibrate_tau(scores: DataFrame, far: float) -> DataFrame:
     """(tau, far, frr): the smallest good-or-bad score at which the false accept rate of the bad is at most ``far``.
 
@@ -50,6 +54,13 @@ def calibrate_tau(scores: DataFrame, far: float) -> DataFrame:
     if (n["bad"] or 0) < 50:
         raise ValueError("calibration needs 50 bad scores")
     counts = scores.groupBy("score").agg(F.sum(F.when(F.col("bad"), 1).otherwise(0)).alias("b"), F.sum(F.when(F.col("bad"), 0).otherwise(1)).alias("g"))
-    w = Window.orderBy("score")
-    at = counts.select(F.col("score").alias("tau"), ((n["bad"] - F.sum("b").over(w) + F.col("b")) / n["bad"]).alias("far"), ((F.sum("g").over(w) - F.col("g")) / max(n["good"], 1)).alias("frr"))
+    # running counts in two levels: within bins of equal width, and over the bins, of which there are BINS at most
+    ends = scores.agg(F.min("score").alias("lo"), F.max("score").alias("hi")).first()
+    width = (float(ends["hi"]) - float(ends["lo"])) / BINS or 1.0
+    binned = counts.withColumn("bin", F.least(F.floor((F.col("score") - F.lit(float(ends["lo"]))) / F.lit(width)), F.lit(BINS - 1)))
+    earlier = Window.orderBy("bin").rowsBetween(Window.unboundedPreceding, -1)
+    bins = binned.groupBy("bin").agg(F.sum("b").alias("sb"), F.sum("g").alias("sg")).select("bin", F.coalesce(F.sum("sb").over(earlier), F.lit(0)).alias("b0"), F.coalesce(F.sum("sg").over(earlier), F.lit(0)).alias("g0"))
+    w = Window.partitionBy("bin").orderBy("score")
+    run = lambda c: F.col(f"{c}0") + F.sum(c).over(w)
+    at = binned.join(F.broadcast(bins), "bin").select(F.col("score").alias("tau"), ((n["bad"] - run("b") + F.col("b")) / n["bad"]).alias("far"), ((run("g") - F.col("g")) / max(n["good"], 1)).alias("frr"))
     return at.where(F.col("far") <= far).orderBy("tau").limit(1)

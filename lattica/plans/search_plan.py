@@ -19,10 +19,11 @@ class Plan:
 
 
 def plan(text: str, slots: int, rows: int = 0, indexed: bool = True, points: int = 0, hops: int = 0, cap: float = COST_CAP) -> Plan:
-    """One slot is searched alone, several are fused; a plan dearer than ``cap`` is refused."""
+    """Code takes one lens, an intent with a profile is fused by it, the rest by equal ranks; a plan dearer than ``cap`` is
+    refused. :func:`lattica.operators.fusion.fuse` runs the strategy."""
     low = text.lower()
     intent = next((name for name, words in INTENTS.items() if any(w in low for w in words)), "general")
     cost = slots * LENS + (INDEX if indexed else rows / 1000 * SCAN_1K) + points / 1000 * POINTS_1K + hops * HOP
     if cost > cap:
         raise ValueError(f"the plan costs {cost:.0f} ms, more than {cap:.0f}")
-    return Plan(intent, "single" if slots == 1 else "rrf", cost)
+    return Plan(intent, "single" if slots == 1 or intent == "code" and slots else "rrf" if intent == "general" else "weighted", cost)

@@ -91,11 +91,6 @@ def candidate_restriction(t):
     return search.restricted(t("customer").select("c_custkey"), o, "c_custkey")
 
 
-@query("SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders)")
-def grounding_gap(t):
-    return t("customer").select("c_custkey").join(t("orders").select(F.col("o_custkey").alias("c_custkey")).distinct(), "c_custkey", "left_anti")
-
-
 @query(
     "WITH e AS (SELECT user_id, event_type, " + T + " AS t FROM events), a AS (SELECT * FROM e WHERE event_type = (SELECT min(event_type) FROM events)), b AS (SELECT * FROM e WHERE event_type = (SELECT max(event_type) FROM events)) "
     "SELECT a.user_id, a.t AS ta, b.t AS tb FROM a JOIN b ON a.user_id = b.user_id AND abs(a.t - b.t) < 3600"
@@ -232,9 +227,9 @@ def centroids(t):
 TERMS = "SELECT doc_id, unnest(regexp_extract_all(lower(coalesce(text, '')), '[\\p{L}\\p{N}]+')) AS term FROM documents"
 
 
-@query(f"WITH p AS (SELECT doc_id, term, count(*) AS tf FROM ({TERMS}) GROUP BY 1, 2) SELECT term, count(*) AS df, CAST(sum(tf) AS BIGINT) AS cf FROM p WHERE length(term) >= 12 GROUP BY 1")
+@query(f"WITH p AS (SELECT doc_id, term, count(*) AS tf FROM ({TERMS}) GROUP BY 1, 2) SELECT term, count(*) AS df, CAST(sum(tf) AS BIGINT) AS cf FROM p GROUP BY 1")
 def postings(t):
-    return search.postings(t("documents"), "doc_id", "text").where(F.length("term") >= 12).groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("cf"))
+    return search.postings(t("documents"), "doc_id", "text").groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("cf"))
 
 
 BM25 = (
@@ -397,16 +392,6 @@ def autocorrelation(t):
     return stats.autocorrelation(t("events"), ["user_id"], "event_id", "value", [1, -1]).withColumn("r", F.round("r", 6))
 
 
-@query("WITH d AS (SELECT l_returnflag, row_number() OVER (PARTITION BY l_returnflag ORDER BY l_quantity, l_extendedprice, l_orderkey, l_linenumber) AS u, row_number() OVER (PARTITION BY l_returnflag ORDER BY l_extendedprice, l_quantity, l_orderkey, l_linenumber) AS v FROM lineitem) SELECT l_returnflag, count(*) AS n FROM d GROUP BY 1")
-def copula_tails(t):
-    return stats.copula_tails(t("lineitem"), ["l_returnflag"], "l_quantity", "l_extendedprice").select("l_returnflag", "n")
-
-
-@query()
-def granger(t):
-    return stats.granger_lag1(t("events"), "event_id", "user_id", "value", ["event_type"])
-
-
 @query("WITH c AS (SELECT user_id, event_type, count(*) AS c FROM events GROUP BY 1, 2) SELECT user_id, CAST(sum(c) AS BIGINT) AS n, round(sum(c * (c - 1)) / (sum(c) * (sum(c) - 1)), 9) AS agreement, sum(c * (c - 1)) / (sum(c) * (sum(c) - 1)) >= 0.75 AS consistent FROM c GROUP BY 1 HAVING sum(c) >= 3")
 def outcome_agreement(t):
     return stats.outcome_agreement(t("events"), ["user_id"], "event_type").withColumn("agreement", F.round("agreement", 9))
@@ -446,12 +431,6 @@ def degrees(t):
     return graphs.degree_scores(edges(t))
 
 
-@query()
-def kernel(t):
-    e = edges(t)
-    return graphs.kernel(e, e.sparkSession.createDataFrame([(3,)], "node long"))
-
-
 # --- decisions ------------------------------------------------------------------------------------------------------------
 
 
@@ -481,12 +460,6 @@ def exact_duplicates(t):
 LEDGER = ["event_type", "value"]
 
 
-@query("SELECT user_id, count(*) AS entries, CAST(NULL AS BIGINT) AS first_break FROM events GROUP BY 1")
-def verify_ledger(t):
-    e = t("events").withColumn("seq", F.row_number().over(recurrence.Window.partitionBy("user_id").orderBy("event_id")).cast("long"))
-    return decide.verify_chain(decide.chain(e, "user_id", "seq", LEDGER), "user_id", "seq", LEDGER)
-
-
 @query("SELECT event_type, count(*) AS trials, CAST(sum(CASE WHEN value > 50 THEN 1 ELSE 0 END) AS BIGINT) AS wins, round(avg(CASE WHEN value > 50 THEN 1.0 ELSE 0.0 END), 9) AS rate, round((sum(CASE WHEN value > 50 THEN 1 ELSE 0 END) + 1) / (count(*) + 2), 9) AS posterior FROM events GROUP BY 1")
 def bandit_arms(t):
     return decide.arms(t("events"), "event_type", F.col("value") > 50).withColumns({"rate": F.round("rate", 9), "posterior": F.round("posterior", 9)})
@@ -626,17 +599,6 @@ def pairwise_estimators(t):
     return estimators.estimate(t("customer"), "c_nationkey", "c_acctbal", "c_custkey", ["distance_correlation", "hsic", "ksg", "mmd"])
 
 
-@query("SELECT c_custkey, count(o_orderkey) AS orders FROM customer LEFT JOIN orders ON o_custkey = c_custkey GROUP BY 1 HAVING count(o_orderkey) = 0")
-def active_ids(t):
-    o = t("orders").groupBy(F.col("o_custkey").alias("c_custkey")).agg(F.count("*").alias("orders"))
-    return t("customer").join(o, "c_custkey", "left").select("c_custkey", F.coalesce("orders", F.lit(0)).alias("orders")).where("orders = 0")
-
-
-@query("SELECT event_id, CASE WHEN contains(lower(event_type), 'why') OR contains(lower(event_type), 'because') OR contains(lower(event_type), 'cause') THEN 'causal' WHEN contains(lower(event_type), 'view') THEN 'general' ELSE 'general' END AS intent FROM events")
-def intent(t):
-    return t("events").select("event_id", F.when(search.intent(F.col("event_type")) == "causal", "causal").otherwise("general").alias("intent"))
-
-
 @query("SELECT event_type, count(*) AS n FROM events WHERE " + T + " >= (SELECT min(" + T + ") FROM events) + 86400 AND " + T + " < (SELECT min(" + T + ") FROM events) + 3 * 86400 GROUP BY 1")
 def window_count(t):
     e = events(t)

@@ -136,3 +136,78 @@ def test_streaming(spark, tmp_path):
     before = spark.createDataFrame([("a", 2)], "k string, frequency long")
     batch = spark.createDataFrame([("a",), ("b",)], "k string")
     assert [r.k for r in ingest.recurs(batch, before, "k", 3).collect()] == ["a"]
+
+
+def test_chain_links_hash_to_hash(spark):
+    rows = spark.createDataFrame([("a", i, f"p{i}") for i in range(1, 7)] + [("b", 1, "x")], "ledger string, seq long, body string")
+    made = decide.chain(rows, "ledger", "seq", ["body"])
+    first = lambda d: {r.ledger: r.first_break for r in decide.verify_chain(d, "ledger", "seq", ["body"]).collect()}
+    assert first(made) == {"a": None, "b": None}
+    assert first(made.withColumn("body", F.when(F.col("seq") == 4, "other").otherwise(F.col("body"))))["a"] == 4
+    assert first(made.where("seq <> 3"))["a"] == 4
+    # an entry altered with its own hash mended still breaks the link of the next one
+    again = decide.chain(rows.withColumn("body", F.when((F.col("ledger") == "a") & (F.col("seq") == 2), "other").otherwise(F.col("body"))), "ledger", "seq", ["body"])
+    mixed = made.where("seq <> 2").unionByName(again.where("seq = 2"))
+    assert first(mixed)["a"] == 3
+
+
+def test_merkle_root_pairs_an_odd_last_node_with_itself(spark):
+    import hashlib
+
+    h = lambda s: hashlib.sha256(s.encode()).hexdigest()
+    digests = [h(str(i)) for i in range(5)]
+    level = [h("leaf" + d) for d in digests]
+    while len(level) > 1:
+        level += level[-1:] * (len(level) % 2)
+        level = [h("node" + level[i] + level[i + 1]) for i in range(0, len(level), 2)]
+    df = spark.createDataFrame([(i + 10, d) for i, d in enumerate(digests)], "seq long, d string")
+    assert decide.merkle_root(df, "seq", "d") == level[0]
+    assert decide.merkle_root(df.limit(0), "seq", "d") is None
+
+
+def test_paths_components_and_directions(spark):
+    e = spark.createDataFrame([(1, 2, 0.5), (2, 3, 0.5), (3, 1, 1.0), (3, 4, 1.0), (4, 5, 0.2), (5, 4, 0.2), (6, 6, 1.0)], "src long, dst long, weight double")
+    assert graphs.shortest_path(e, 1, 5, 4) == [1, 2, 3, 4, 5] and graphs.shortest_path(e, 1, 5, 3) is None and graphs.shortest_path(e, 5, 1, 9) is None
+    got = {r.node: r.component for r in graphs.strong_components(e).collect()}
+    assert got == {1: 1, 2: 1, 3: 1, 4: 4, 5: 4, 6: 6}
+    walk = {(r.direction, r.node): (r.hop, round(r.score, 6)) for r in graphs.traverse(e, 3, "both", 2).collect()}
+    assert walk[("forward", 4)] == (1, 0.9) and walk[("backward", 1)] == (2, 0.2025) and ("forward", 3) not in walk
+    with pytest.raises(ValueError):
+        graphs.traverse(e, 3, "sideways", 2)
+    with pytest.raises(ValueError):
+        graphs.traverse(e, 3, "both", 11)
+    with pytest.raises(ValueError):
+        graphs.typed_hop(e.withColumn("kind", F.lit("a")), spark.createDataFrame([(1,)], "node long"), "b", 2)
+
+
+def test_granger_against_least_squares(spark):
+    import numpy as np
+
+    rng = np.random.default_rng(2)
+    x, y = rng.normal(size=60), np.zeros(60)
+    for i in range(2, 60):
+        y[i] = 0.4 * y[i - 1] + 0.8 * x[i - 2] + 0.1 * rng.normal()
+    df = spark.createDataFrame([("g", i, float(a), float(b)) for i, (a, b) in enumerate(zip(x, y))] + [("flat", i, 1.0, 2.0) for i in range(20)], "k string, t int, x double, y double")
+    got = {r.k: r for r in stats.granger(df, ["k"], "t", "x", "y", 2).collect()}
+
+    def rss(cols):
+        a = np.stack([np.ones(58), *cols], 1)
+        return float(((y[2:] - a @ np.linalg.lstsq(a, y[2:], rcond=None)[0]) ** 2).sum())
+
+    own, every = [y[1:-1], y[:-2]], [y[1:-1], y[:-2], x[1:-1], x[:-2]]
+    want = (rss(own) - rss(every)) / 2 / (rss(every) / 53)
+    assert got["g"].f == pytest.approx(want, rel=1e-6) and (got["g"].df1, got["g"].df2) == (2, 53)
+    assert got["flat"].f is None or got["flat"].f != got["flat"].f
+
+
+def test_ties_raise_in_copula(spark):
+    df = spark.createDataFrame([("a", 1.0, 2.0), ("a", 1.0, 3.0)], "k string, x double, y double")
+    with pytest.raises(Exception, match="ties"):
+        stats.copula_tails(df, ["k"], "x", "y").collect()
+
+
+def test_panel_packing(spark):
+    from lattica.operators import panel
+
+    df = spark.createDataFrame([("a", 1.0, 0.1, 6.0), ("b", 0.5, 0.1, 5.0), ("c", 0.3, 0.1, 4.0), ("d", 9.0, 0.9, 1.0), ("e", 0.01, 0.0, 1.0), ("f", 9.0, 0.0, 99.0)], "key string, bits double, correlation double, cost double")
+    assert panel.pack(df, 10.0) == ["a", "c"]
