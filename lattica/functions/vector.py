@@ -55,6 +55,12 @@ def int8_scale(a: Column) -> Column:
     return F.array_max(F.transform(doubles(a), lambda x: F.abs(x))) / 127
 
 
+def hash48(*values: Column) -> Column:
+    """A hash below 2 ** 48 that other engines can compute as well: the first 12 hex digits of the values' MD5, joined by
+    ``|``."""
+    return F.conv(F.substring(F.md5(F.concat_ws("|", *[v.cast("string") for v in values])), 1, 12), 16, 10).cast("long")
+
+
 def quantize_int8(a: Column) -> Column:
     """Round half to even of x / scale, clamped to +-127; the zero vector gives zeros."""
     s = int8_scale(a)

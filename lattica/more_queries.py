@@ -6,8 +6,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lattica.functions import forecast, temporal, vector
-from lattica.operators import ann, collections, decide, fusion, graphs, panel, search, stats
+from lattica.operators import aggregates, ann, collections, decide, estimators, fusion, graphs, markets, panel, search, stats, tuning, weave
 from lattica.queries import EDGES, LEDGER, edges, query, ranked_lists
+from lattica.sources import vectors
 
 # --- intents and fusion -----------------------------------------------------------------------------------------------
 
@@ -350,3 +351,72 @@ def linear_cka(t):
 def confidence_ceiling(t):
     found = forecast.confidence_ceiling(F.col("o_totalprice") / 500000, F.lit(0.9), F.lit(0.1), F.lit(0.8), F.lit(1.0))
     return t("orders").select("o_orderkey", F.round(found["confidence"], 9).alias("confidence"), found["binding"].alias("binding"))
+
+
+@query(
+    "WITH g AS (SELECT c_nationkey AS k, c_acctbal AS x, c_custkey::DOUBLE AS y FROM customer), p AS (SELECT a.k, a.y AS i, abs(a.x - b.x) AS dx, abs(a.y - b.y) AS dy FROM g a JOIN g b ON a.k = b.k), r AS (SELECT k, i, count(*) AS n, avg(dx) AS rx, avg(dy) AS ry, sum(dx * dy) AS xy, sum(dx * dx) AS xx, sum(dy * dy) AS yy FROM p GROUP BY 1, 2), "
+    "s AS (SELECT k, sum(n) AS n2, count(*) AS n, sum(xy) / sum(n) - 2 * avg(rx * ry) + avg(rx) * avg(ry) AS xy, sum(xx) / sum(n) - 2 * avg(rx * rx) + avg(rx) ** 2 AS xx, sum(yy) / sum(n) - 2 * avg(ry * ry) + avg(ry) ** 2 AS yy FROM r GROUP BY 1) SELECT k::VARCHAR AS key, n, CASE WHEN n > 1 THEN round(sqrt(greatest(xy, 0) / sqrt(xx * yy)), 6) END AS distance_correlation FROM s"
+)
+def distance_correlation(t):
+    got = estimators.estimate(t("customer"), "c_nationkey", "c_acctbal", "c_custkey", ["distance_correlation"])
+    return got.withColumn("distance_correlation", F.round(F.nanvl("distance_correlation", F.lit(None).cast("double")), 6))
+
+
+# --- growth, posteriors, retention and shapes ---------------------------------------------------------------------------
+
+
+@query("SELECT event_type, count(*) AS n, round(regr_slope(value, event_id), 9) AS slope, regr_slope(value, event_id) > 0 AS rising FROM events GROUP BY 1")
+def growth(t):
+    return tuning.growth(t("events"), ["event_type"], "event_id", "value").withColumn("slope", F.round("slope", 9))
+
+
+@query("SELECT user_id, count(*) AS events, round((count(*) + 1) / (max(event_id) - min(event_id) + 1.0), 9)::DOUBLE AS mean FROM events GROUP BY 1")
+def gamma_posterior(t):
+    return tuning.gamma_posterior(t("events"), ["user_id"], F.max("event_id") - F.min("event_id")).withColumn("mean", F.round("mean", 9))
+
+
+@query("SELECT event_id FROM events WHERE event_id >= 300")
+def retention(t):
+    return aggregates.retention(t("events"), "event_id", 300).select("event_id")
+
+
+@query("SELECT CAST(least(floor(l_discount * 10 * 10), 9) AS BIGINT) AS bin, count(*) AS n, round(avg(l_discount * 10), 9) AS mean_p, round(avg(CASE WHEN l_linestatus = 'F' THEN 1.0 ELSE 0.0 END), 9) AS rate FROM lineitem GROUP BY 1")
+def reliability(t):
+    got = decide.reliability(t("lineitem"), F.col("l_discount") * 10, F.col("l_linestatus") == "F")
+    return got.withColumns({"bin": F.col("bin").cast("long"), "mean_p": F.round("mean_p", 9), "rate": F.round("rate", 9)})
+
+
+@query("SELECT o_orderkey, CASE WHEN o_totalprice / 500000 >= 0.8 THEN 'high' WHEN o_totalprice / 500000 >= 0.65 THEN 'medium' WHEN o_totalprice / 500000 >= 0.5 THEN 'low' END AS severity FROM orders")
+def blind_spot(t):
+    return t("orders").select("o_orderkey", weave.blind_spot(F.col("o_totalprice") / 500000).alias("severity"))
+
+
+@query("SELECT l_orderkey, l_linenumber, round(sum(l_quantity) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber) / sum(l_quantity) OVER (PARTITION BY l_orderkey), 9) AS depth FROM (SELECT l_orderkey, l_linenumber, sum(l_quantity) AS l_quantity FROM lineitem GROUP BY 1, 2)")
+def book_depth(t):
+    one = t("lineitem").groupBy("l_orderkey", "l_linenumber").agg(F.sum("l_quantity").alias("l_quantity"))
+    return markets.depth_shape(one, ["l_orderkey"], "l_linenumber", "l_quantity").withColumn("depth", F.round("depth", 9))
+
+
+@query("SELECT o_orderkey, round(CASE WHEN o_totalprice > 1000 THEN o_totalprice * (1 + least(1, o_totalprice / 400000) * 0.1 + 0.01) ELSE 0 END, 4) AS score FROM orders")
+def boosted(t):
+    score = F.when(F.col("o_totalprice") > 1000, F.col("o_totalprice")).otherwise(0.0)
+    return t("orders").select("o_orderkey", F.round(temporal.boosted(score, F.col("o_totalprice") / 400000, F.lit(0.01)), 4).alias("score"))
+
+
+@query("SELECT vec_id, len(embedding) AS dimensions, round(embedding[1]::DOUBLE, 6) AS d0, round(embedding[2]::DOUBLE, 6) AS d1 FROM embeddings")
+def slot_columns(t):
+    c = vectors.slot_columns(t("embeddings"), "vec_id", "embedding", 2)
+    n = t("embeddings").select("vec_id", F.size("embedding").cast("long").alias("dimensions"))
+    return c.join(n, "vec_id").select("vec_id", "dimensions", *[F.round(F.col(x).cast("double"), 6).alias(x) for x in ("d0", "d1")])
+
+
+@query("SELECT label, CAST(dim AS INT) AS dim, round(avg(x::DOUBLE), 6) AS mean FROM (SELECT label, unnest(range(len(embedding))) AS dim, unnest(embedding) AS x FROM embeddings) GROUP BY 1, 2")
+def neighborhood_mean(t):
+    got = weave.neighborhood_mean(t("embeddings"), ["label"], "embedding")
+    return got.select("label", F.posexplode("mean").alias("dim", "mean")).withColumn("mean", F.round("mean", 6))
+
+
+
+@query("WITH c AS (SELECT o_orderkey, o_custkey, o_orderpriority, o_orderstatus FROM orders), g AS (SELECT *, row_number() OVER (PARTITION BY o_custkey, o_orderpriority ORDER BY o_orderkey) AS i FROM c) SELECT 'yes_no' AS kind, a.o_orderkey AS src, b.o_orderkey AS dst FROM g a JOIN g b ON a.o_custkey = b.o_custkey AND a.o_orderpriority = b.o_orderpriority AND b.i = a.i + 1 UNION ALL SELECT 'sibling', x.k, y.k FROM (SELECT o_custkey, o_orderpriority, min(o_orderkey) AS k, dense_rank() OVER (PARTITION BY o_custkey ORDER BY o_orderpriority) AS r FROM c GROUP BY 1, 2) x JOIN (SELECT o_custkey, o_orderpriority, min(o_orderkey) AS k, dense_rank() OVER (PARTITION BY o_custkey ORDER BY o_orderpriority) AS r FROM c GROUP BY 1, 2) y ON x.o_custkey = y.o_custkey AND y.r = x.r + 1")
+def structural_edges(t):
+    return markets.structural_edges(t("orders"), "o_orderkey", "o_orderpriority", "o_custkey")

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lattica.functions.vector import hash48
+
 #: Character classes counted by the byte encoder, in the order of its dimensions.
 CLASSES = ("[a-z]", "[A-Z]", "[0-9]", "[ \\t]", "\\n", "[.!?]", "[,;:]", "[(){}\\[\\]]", "[\"']", "[#*$%&|<>]", "[^\\x00-\\x7F]")
 
@@ -17,13 +19,13 @@ def byte_features(text: Column) -> Column:
 
 def one_hot(value: Column, dimensions: int) -> Column:
     """1 at the value's hash bucket."""
-    at = F.pmod(F.xxhash64(value), F.lit(dimensions))
+    at = F.pmod(hash48(value), F.lit(dimensions))
     return F.transform(F.sequence(F.lit(0), F.lit(dimensions - 1)), lambda i: F.when(i == at, 1.0).otherwise(0.0))
 
 
 def hashed_terms(docs: DataFrame, key: str, terms: Column, dimensions: int) -> DataFrame:
     """(key, idx, val): sparse counts of hashed terms."""
-    return docs.select(key, F.explode(terms).alias("_t")).groupBy(key, F.pmod(F.xxhash64("_t"), F.lit(dimensions)).alias("idx")).agg(F.count("*").cast("double").alias("val"))
+    return docs.select(key, F.explode(terms).alias("_t")).groupBy(key, F.pmod(hash48(F.col("_t")), F.lit(dimensions)).alias("idx")).agg(F.count("*").cast("double").alias("val"))
 
 
 def stylometry(text: Column) -> Column:

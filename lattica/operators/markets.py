@@ -57,3 +57,14 @@ def depth_shape(levels: DataFrame, by: list[str], price_rank: str, size: str) ->
     """Cumulative share of a book's size at each level."""
     w = Window.partitionBy(*by).orderBy(price_rank).rowsBetween(Window.unboundedPreceding, 0)
     return levels.select(*by, price_rank, (F.sum(size).over(w) / F.sum(size).over(Window.partitionBy(*by))).alias("depth"))
+
+
+def structural_edges(markets: DataFrame, key: str, condition: str, event: str) -> DataFrame:
+    """(kind, src, dst): ``yes_no`` between neighbouring outcomes of one event's condition, ``sibling`` between neighbouring
+    conditions of one event, each named by its least key. Neighbours in order stand for all pairs of a group, which they
+    join, so a large event makes as many edges as it has members."""
+    w = Window.partitionBy(event, condition).orderBy(key)
+    outcomes = markets.select(F.lit("yes_no").alias("kind"), F.col(key).alias("src"), F.lead(key).over(w).alias("dst"))
+    first = markets.groupBy(event, condition).agg(F.min(key).alias("k"))
+    w = Window.partitionBy(event).orderBy(condition)
+    return outcomes.unionByName(first.select(F.lit("sibling").alias("kind"), F.col("k").alias("src"), F.lead("k").over(w).alias("dst"))).where("dst is not null")

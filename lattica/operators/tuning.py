@@ -5,12 +5,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lattica.functions.vector import hash48
+
 
 def group_holdout(df: DataFrame, group: str, label: str, share: float, seed: int) -> DataFrame:
     """``df`` with ``held_out``: whole groups go to one side, by a seeded hash within their class; at least one a class."""
     groups = df.groupBy(group).agg(F.min(label).alias("_c"))
     w = Window.partitionBy("_c")
-    r = F.row_number().over(w.orderBy(F.xxhash64(F.col(group), F.lit(seed)), group))
+    r = F.row_number().over(w.orderBy(hash48(F.col(group), F.lit(seed)), group))
     n = F.count("*").over(w)
     sides = groups.select(F.col(group).alias("_g"), ((n >= 2) & (r <= F.greatest(F.lit(1), F.floor(n * share)))).alias("held_out"))
     return df.join(sides, df[group].eqNullSafe(sides["_g"])).drop("_g")
@@ -18,7 +20,7 @@ def group_holdout(df: DataFrame, group: str, label: str, share: float, seed: int
 
 def replay(df: DataFrame, key: str, surprise: str, k: int, seed: int) -> DataFrame:
     """Weighted sample of ``k`` without replacement: the smallest -log(u) / surprise, u a seeded hash of the key."""
-    u = (F.pmod(F.xxhash64(F.col(key), F.lit(seed)), F.lit(1 << 52)) + 1) / F.lit(float((1 << 52) + 1))
+    u = (hash48(F.col(key), F.lit(seed)) + 1) / F.lit(float((1 << 48) + 1))
     return df.where(F.col(surprise) > 0).orderBy(-F.log(u) / F.col(surprise), key).limit(k)
 
 

@@ -415,9 +415,14 @@ def breadth_first(t):
     return graphs.bfs(e, e.sparkSession.createDataFrame([(3,)], "node long"), 4)
 
 
-@query()
+@query(
+    "WITH " + EDGES + ", x AS (SELECT src, dst, 1.0 / (1 + dst % 4) AS w FROM e), f1 AS (SELECT dst AS node, max(w) AS p FROM x WHERE src = 3 GROUP BY 1), "
+    + ", ".join(f"f{h} AS (SELECT dst AS node, max(p * w) AS p FROM f{h - 1} JOIN x ON src = node GROUP BY 1)" for h in (2, 3, 4))
+    + ", a AS (" + " UNION ALL ".join(f"SELECT node, {h} AS hop, round(p * power(0.9, {h}), 9) AS score FROM f{h}" for h in (1, 2, 3, 4)) + ") "
+    "SELECT node, CAST(arg_min(hop, {'s': -score, 'h': hop}) AS INT) AS hop, max(score) AS score FROM a WHERE node <> 3 GROUP BY 1"
+)
 def reach_scored(t):
-    return graphs.reach_scored(edges(t), 3, 4)
+    return graphs.reach_scored(edges(t), 3, 4).withColumn("score", F.round("score", 9))
 
 
 @query()
@@ -465,9 +470,12 @@ def bandit_arms(t):
     return decide.arms(t("events"), "event_type", F.col("value") > 50).withColumns({"rate": F.round("rate", 9), "posterior": F.round("posterior", 9)})
 
 
-@query()
+@query(
+    "WITH w AS (SELECT l_suppkey, l_quantity AS v, CASE WHEN l_returnflag <> 'R' THEN 1 ELSE -1 END AS s, sum(l_quantity) OVER (PARTITION BY l_suppkey ORDER BY l_shipdate, l_orderkey, l_linenumber ROWS UNBOUNDED PRECEDING) AS hi, sum(l_quantity) OVER (PARTITION BY l_suppkey) AS a FROM lineitem), "
+    "p AS (SELECT *, least(hi, (b + 1) * a / 3) - greatest(hi - v, b * a / 3) AS part FROM w, range(3) r(b)), i AS (SELECT l_suppkey, b, abs(sum(part * s)) AS i, max(a) AS a FROM p WHERE part > 0 GROUP BY 1, 2) SELECT l_suppkey, round(sum(i) / max(a), 6) AS vpin FROM i GROUP BY 1"
+)
 def volume_buckets(t):
-    return decide.volume_buckets(t("lineitem"), "l_suppkey", ["l_shipdate", "l_orderkey", "l_linenumber"], "l_quantity", F.col("l_returnflag") != "R")
+    return decide.volume_buckets(t("lineitem"), "l_suppkey", ["l_shipdate", "l_orderkey", "l_linenumber"], "l_quantity", F.col("l_returnflag") != "R").withColumn("vpin", F.round("vpin", 6))
 
 
 @query("SELECT o_orderkey, CASE WHEN o_totalprice < 3600 THEN 'lt_1h' WHEN o_totalprice < 86400 THEN '1h_24h' WHEN o_totalprice <= 604800 THEN '1d_7d' ELSE 'gt_7d' END AS horizon FROM orders")
@@ -518,7 +526,7 @@ def stylometry(t):
     return d.select("doc_id", "s.words", F.round("s.word_length", 6).alias("word_length"), F.round("s.distinct", 6).alias("distinct_share"))
 
 
-@query()
+@query("SELECT doc_id, ('0x' || substr(md5(term), 1, 12))::BIGINT % 1024 AS idx, count(*)::DOUBLE AS val FROM (" + TERMS + ") GROUP BY 1, 2")
 def hashed_terms(t):
     return encode.hashed_terms(t("documents"), "doc_id", search.terms(F.col("text")), 1024)
 
@@ -584,12 +592,15 @@ def stable_rank(t):
     return tuning.stable_rank(j, "a", "b", "v").select(F.round("n_eff", 6).alias("n_eff"))
 
 
-@query()
+@query(
+    "WITH g AS (SELECT o_custkey, min(o_orderstatus) AS c FROM orders GROUP BY 1), s AS (SELECT o_custkey, row_number() OVER (PARTITION BY c ORDER BY ('0x' || substr(md5(o_custkey || '|7'), 1, 12))::BIGINT, o_custkey) AS r, count(*) OVER (PARTITION BY c) AS n FROM g) "
+    "SELECT o_orderkey, o_custkey, o_orderstatus, n >= 2 AND r <= greatest(1, floor(n * 0.2)) AS held_out FROM orders JOIN s USING (o_custkey)"
+)
 def group_holdout(t):
     return tuning.group_holdout(t("orders").select("o_orderkey", "o_custkey", "o_orderstatus"), "o_custkey", "o_orderstatus", 0.2, 7)
 
 
-@query()
+@query("SELECT o_orderkey, o_totalprice FROM orders WHERE o_totalprice > 0 ORDER BY -ln((('0x' || substr(md5(o_orderkey || '|7'), 1, 12))::BIGINT + 1) / 281474976710657.0::DOUBLE) / o_totalprice, o_orderkey LIMIT 100")
 def replay(t):
     return tuning.replay(t("orders").select("o_orderkey", "o_totalprice"), "o_orderkey", "o_totalprice", 100, 7)
 

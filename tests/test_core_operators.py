@@ -211,3 +211,51 @@ def test_panel_packing(spark):
 
     df = spark.createDataFrame([("a", 1.0, 0.1, 6.0), ("b", 0.5, 0.1, 5.0), ("c", 0.3, 0.1, 4.0), ("d", 9.0, 0.9, 1.0), ("e", 0.01, 0.0, 1.0), ("f", 9.0, 0.0, 99.0)], "key string, bits double, correlation double, cost double")
     assert panel.pack(df, 10.0) == ["a", "c"]
+
+
+def test_pairwise_estimators_in_blocks(monkeypatch):
+    import numpy as np
+
+    from lattica.operators import estimators
+
+    rng = np.random.default_rng(8)
+    x = rng.normal(size=90)
+    y = np.round(x * x + 0.3 * rng.normal(size=90), 1)
+
+    def centre(d):
+        return d - d.mean(0) - d.mean(1)[:, None] + d.mean()
+
+    def kernel(v):
+        d = (v[:, None] - v[None, :]) ** 2
+        return np.exp(-d / np.median(d[d > 0]))
+
+    a, b = (centre(np.abs(v[:, None] - v[None, :])) for v in (x, y))
+    dcor = np.sqrt((a * b).mean() / np.sqrt((a * a).mean() * (b * b).mean()))
+    whole = estimators.ksg(x, y)
+    monkeypatch.setattr(estimators, "CELLS", 1000)
+    assert estimators.distance_correlation(x, y) == pytest.approx(dcor, rel=1e-9)
+    assert estimators.hsic(x, y) == pytest.approx((centre(kernel(x)) * centre(kernel(y))).sum() / 90**2, rel=1e-6)
+    assert estimators.ksg(x, y) == pytest.approx(whole, rel=1e-12)
+    assert estimators.bandwidth(np.array([1.0, 1.0])) == 1.0
+
+
+def test_collections_read_the_last_change(spark):
+    from lattica.operators import collections
+
+    rows = spark.createDataFrame([("a", 1, "x"), ("a", 3, "y"), ("b", 2, "z"), ("c", 4, None)], "k string, s long, v string")
+    puts = collections.put(rows, F.col("s")).drop("s")
+    gone = collections.delete(spark.createDataFrame([("b",), ("a",)], "k string"), puts, F.lit(5).cast("long"))
+    now = {r.k: r.v for r in collections.current(puts.unionByName(gone), ["k"]).collect()}
+    then = {r.k: r.v for r in collections.current(puts.unionByName(gone), ["k"], 4).collect()}
+    assert now == {"c": None} and then == {"a": "y", "b": "z", "c": None}
+
+
+def test_blobs_refuse_damage(spark):
+    from lattica.operators import collections
+
+    blobs = spark.createDataFrame([(1, bytearray(b"abcdefgh")), (2, bytearray(b"")), (3, None)], "k long, d binary")
+    pieces = collections.chunks(blobs, "k", "d", 3)
+    assert {(r.k, r.chunks, r.bytes) for r in collections.manifest(pieces, "k").collect()} == {(1, 3, 8), (2, 1, 0)}
+    for bad in (pieces.where("k <> 1 or at <> 1"), pieces.withColumn("chunk", F.when(F.col("at") == 2, F.lit("xx").cast("binary")).otherwise(F.col("chunk")))):
+        with pytest.raises(Exception, match="damaged"):
+            collections.manifest(bad, "k").collect()
