@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+import math
+
+from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 from lattica.functions.vector import doubles, norm
+from lattica.operators.graphs import cut
 
 #: Keywords of the intents, in the order in which they are tried.
 INTENTS = {
@@ -42,27 +45,30 @@ def statistics(docs: DataFrame, text: str) -> DataFrame:
 
 def bm25(docs: DataFrame, key: str, text: str, query: list[str], k1: float = 1.2, b: float = 0.75, plus: bool = True, every: bool = False) -> DataFrame:
     """(key, score) of documents with a query term (``every``: with all). ``plus`` keeps the factor (k1 + 1) of the search
-    index; the collection index has none. Two scans: one for N, the mean length and the document frequencies, one that
-    scores; nothing but the first one's row is shuffled."""
+    index; the collection index has none. One scan, without a shuffle: it writes the counts of the documents that match to the
+    shared folder and observes N, the mean length and the document frequencies on the way."""
     wanted = sorted(set(query))
     words = terms(F.coalesce(F.col(text), F.lit("")))
 
-    def times(q: str) -> Column:
-        return F.size(F.filter("_t", lambda x: x == q))
+    def times(words: Column, q: str) -> Column:
+        return F.size(F.filter(words, lambda x: x == q))
 
-    tf = F.array(*map(times, wanted))
-    counted = docs.select(key, words.alias("_t")).select(key, F.size("_t").alias("len"), tf.alias("tf"))
+    # the words are bound to a variable, so a text is split once, not once for each count
+    counts = F.transform(F.array(words), lambda t: F.struct(F.size(t).alias("len"), F.array(*[times(t, q) for q in wanted]).alias("tf")))[0]
+    counted = docs.select(key, counts.alias("_c")).select(key, "_c.len", "_c.tf")
     places = range(len(wanted))
-    corpus = counted.agg(F.count("*").alias("n"), F.avg("len").alias("avg_len"), F.array(*[F.sum((F.col("tf")[i] > 0).cast("long")) for i in places]).alias("df"))
-    ratio = F.when(F.col("avg_len") > 0, F.col("len") / F.col("avg_len")).otherwise(1.0)
+    corpus = Observation()
+    counted = counted.observe(corpus, F.count(F.lit(1)).alias("n"), F.avg("len").alias("avg_len"), *[F.sum((F.col("tf")[i] > 0).cast("long")).alias(f"df{i}") for i in places])
+    found = cut(counted.where((F.array_min if every else F.array_max)("tf") > 0))
+    n, mean = corpus.get["n"], corpus.get["avg_len"]
+    ratio = F.col("len") / F.lit(float(mean)) if mean else F.lit(1.0)
 
     def part(i: int) -> Column:
-        f, df = F.col("tf")[i], F.col("df")[i]
-        idf = F.log((F.col("n") - df + 0.5) / (df + 0.5) + 1)
-        return F.when(f > 0, idf * f * (k1 + 1 if plus else 1.0) / (f + k1 * (1 - b + b * ratio))).otherwise(0.0)
+        f, df = F.col("tf")[i], corpus.get[f"df{i}"] or 0
+        idf = math.log((n - df + 0.5) / (df + 0.5) + 1)
+        return F.when(f > 0, F.lit(idf) * f * (k1 + 1 if plus else 1.0) / (f + k1 * (1 - b + b * ratio))).otherwise(0.0)
 
-    found = counted.where((F.array_min if every else F.array_max)("tf") > 0)
-    return found.crossJoin(F.broadcast(corpus)).select(key, sum((part(i) for i in places), F.lit(0.0)).alias("score"))  # one row
+    return found.select(key, sum((part(i) for i in places), F.lit(0.0)).alias("score"))
 
 
 def intent(text: Column) -> Column:
