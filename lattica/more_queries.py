@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lattica.functions import forecast, temporal, vector
-from lattica.operators import aggregates, ann, collections, decide, estimators, fusion, graphs, markets, panel, search, stats, tuning, weave
+from lattica.operators import aggregates, ann, collections, decide, estimators, fusion, graphs, markets, panel, recurrence, search, stats, tuning, weave
 from lattica.queries import EDGES, LEDGER, edges, query, ranked_lists
 from lattica.sources import vectors
 
@@ -420,3 +420,39 @@ def neighborhood_mean(t):
 @query("WITH c AS (SELECT o_orderkey, o_custkey, o_orderpriority, o_orderstatus FROM orders), g AS (SELECT *, row_number() OVER (PARTITION BY o_custkey, o_orderpriority ORDER BY o_orderkey) AS i FROM c) SELECT 'yes_no' AS kind, a.o_orderkey AS src, b.o_orderkey AS dst FROM g a JOIN g b ON a.o_custkey = b.o_custkey AND a.o_orderpriority = b.o_orderpriority AND b.i = a.i + 1 UNION ALL SELECT 'sibling', x.k, y.k FROM (SELECT o_custkey, o_orderpriority, min(o_orderkey) AS k, dense_rank() OVER (PARTITION BY o_custkey ORDER BY o_orderpriority) AS r FROM c GROUP BY 1, 2) x JOIN (SELECT o_custkey, o_orderpriority, min(o_orderkey) AS k, dense_rank() OVER (PARTITION BY o_custkey ORDER BY o_orderpriority) AS r FROM c GROUP BY 1, 2) y ON x.o_custkey = y.o_custkey AND y.r = x.r + 1")
 def structural_edges(t):
     return markets.structural_edges(t("orders"), "o_orderkey", "o_orderpriority", "o_custkey")
+
+
+# --- recurrence -------------------------------------------------------------------------------------------------------
+
+
+SECONDS = "CAST(floor(epoch(ts)) AS BIGINT)"
+
+
+@query(f"WITH h AS (SELECT user_id, {SECONDS} % 86400 // 3600 AS h, count(*) AS c FROM events GROUP BY 1, 2), m AS (SELECT user_id, sum(c) AS n, max(c) AS top, max_by(h, c) AS h FROM h GROUP BY 1), x AS (SELECT m.user_id, m.n, m.h FROM m JOIN h ON h.user_id = m.user_id AND h.c = m.top GROUP BY ALL HAVING count(*) = 1) SELECT user_id, CAST(n AS BIGINT) AS n FROM x WHERE h = (SELECT min(h) FROM x)")
+def periodic_recall(t):
+    e = t("events").withColumn("h", F.floor(F.pmod(temporal.seconds(F.col("ts")), F.lit(86400)) / 3600))
+    least = aggregates.mode_with_confidence(e, "user_id", F.col("h")).agg(F.min("mode")).first()[0]
+    return recurrence.periodic_recall(e, "user_id", F.col("h"), F.lit(0), target_hour=least)
+
+
+@query(f"WITH e AS (SELECT event_type, {SECONDS} AS t FROM events), a AS (SELECT t FROM e WHERE event_type = (SELECT min(event_type) FROM e)), b AS (SELECT t FROM e WHERE event_type = (SELECT max(event_type) FROM e)), p AS (SELECT abs(a.t - b.t) AS d FROM a, b WHERE abs(a.t - b.t) <= 3600), n AS (SELECT (SELECT count(*) FROM a) * (SELECT count(*) FROM b) AS ab, (SELECT max(t) - min(t) FROM e) AS s), "
+       "r AS (SELECT 600.0 AS radius, 0.0 AS before UNION ALL SELECT 1800.0, 600.0 UNION ALL SELECT 3600.0, 1800.0) SELECT radius::DOUBLE AS radius, (SELECT count(*) FROM p WHERE d <= radius) AS pairs, round((SELECT count(*) FROM p WHERE d <= radius) * s::DOUBLE / ab, 6) AS k, round((SELECT count(*) FROM p WHERE d <= radius AND d > CASE WHEN before > 0 THEN before ELSE -1 END) / (ab * 2 * (radius - before)::DOUBLE / s), 6) AS pair_correlation FROM r, n")
+def cross_k(t):
+    e = t("events").select("event_type", temporal.seconds(F.col("ts")).alias("t"))
+    first, last, lo, hi = e.agg(F.min("event_type"), F.max("event_type"), F.min("t"), F.max("t")).first()
+    got = recurrence.cross_k(e.where(F.col("event_type") == first), e.where(F.col("event_type") == last), "t", [600.0, 1800.0, 3600.0], lo, hi)
+    return got.withColumns({"k": F.round("k", 6), "pair_correlation": F.round("pair_correlation", 6)})
+
+
+@query()
+def overdue(t):
+    e = t("events").select("user_id", temporal.seconds(F.col("ts")).alias("t"))
+    return recurrence.overdue(e, "user_id", "t", e.agg(F.max("t")).first()[0] + 3600)
+
+
+@query(f"WITH RECURSIVE {TRADES}, {REACH.format(h=2, f='')}, h AS (SELECT node, min(hop) AS hop FROM r GROUP BY 1) SELECT c_custkey AS node, round(coalesce(c_acctbal * exp(-0.5 * hop), 0), 6) AS confidence FROM customer LEFT JOIN h ON node = c_custkey")
+def hop_decay(t):
+    e = trades(t)
+    hops = graphs.bfs(e, e.sparkSession.createDataFrame([(1,)], "node long"), 2)
+    got = graphs.hop_decay(t("customer").select(F.col("c_custkey").alias("node"), F.col("c_acctbal").alias("value")), hops)
+    return got.withColumn("confidence", F.round("confidence", 6))

@@ -69,6 +69,11 @@ def label_propagation(edges: DataFrame, seeds: DataFrame, tolerance: float = 1e-
     raise ValueError(f"no convergence in {most} steps")
 
 
+def hop_decay(values: DataFrame, hops: DataFrame) -> DataFrame:
+    """(node, confidence): a propagated value times exp(-0.5 * hops) from the seeds; nodes that no seed reaches have 0."""
+    return values.join(hops, "node", "left").select("node", F.coalesce(F.col("value") * F.exp(-0.5 * F.col("hop")), F.lit(0.0)).alias("confidence"))
+
+
 def degree_scores(edges: DataFrame) -> DataFrame:
     both = edges.select(F.col("src").alias("node")).unionByName(edges.select(F.col("dst").alias("node")))
     return both.groupBy("node").agg(F.count("*").alias("degree"))

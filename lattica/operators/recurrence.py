@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import math
+
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lattica.operators.aggregates import mode_with_confidence
 from lattica.operators.relational import band_join
 
 
@@ -112,3 +115,72 @@ def hazard(events: DataFrame, key: str, t: str) -> DataFrame:
     m, v = F.avg("gap"), F.var_pop("gap")
     ok = F.sqrt(v) / m > 1e-6
     return g.groupBy(key).agg(F.count("*").alias("n"), F.when(ok, m * m / v).alias("shape"), F.when(ok, v / m).alias("scale")).where("n >= 2")
+
+
+def gamma_upper(shape: float, x: float) -> float:
+    """The regularized upper incomplete gamma function Q(shape, x): a power series below the shape, a continued fraction above."""
+    if x <= 0:
+        return 1.0
+    front = math.exp(shape * math.log(x) - x - math.lgamma(shape))
+    if x < shape + 1:
+        term = total = 1.0 / shape
+        k = shape
+        while abs(term) > abs(total) * 1e-15:
+            k += 1
+            term *= x / k
+            total += term
+        return max(0.0, 1.0 - front * total)
+    tiny = 1e-300
+    b = x + 1 - shape
+    c, d = 1 / tiny, 1 / b
+    value = d
+    for i in range(1, 10_000):
+        a = -i * (i - shape)
+        b += 2
+        d = 1 / (a * d + b or tiny)
+        c = b + a / c or tiny
+        value *= d * c
+        if abs(d * c - 1) < 1e-15:
+            break
+    return min(1.0, front * value)
+
+
+def overdue(events: DataFrame, key: str, t: str, now: float, alpha: float = 0.05) -> DataFrame:
+    """(key, n, elapsed, survival, overdue): how likely a series' gap lasts as long as the time since its last event, by the
+    Gamma renewal fit of :func:`hazard`; equal gaps give a step at their mean. Overdue at ``alpha`` or less."""
+    fit = hazard(events, key, t)
+    last = events.groupBy(key).agg(F.max(t).alias("_last"), F.min(t).alias("_first"), F.countDistinct(t).alias("_n"))
+    rows = fit.join(last, key).select(key, "n", "shape", "scale", (F.lit(float(now)) - F.col("_last")).alias("elapsed"), ((F.col("_last") - F.col("_first")) / (F.col("_n") - 1)).alias("_mean"))
+
+    @F.pandas_udf("double")
+    def survival(shape: pd.Series, scale: pd.Series, elapsed: pd.Series, mean: pd.Series) -> pd.Series:
+        return pd.Series([float(e < m) if pd.isna(a) else gamma_upper(a, max(e, 0.0) / s) for a, s, e, m in zip(shape, scale, elapsed, mean)], dtype=float)
+
+    got = rows.select(key, "n", "elapsed", survival("shape", "scale", "elapsed", "_mean").alias("survival"))
+    return got.withColumn("overdue", F.col("survival") <= alpha)
+
+
+def periodic_recall(events: DataFrame, key: str, hour: Column, day: Column, target_hour: int | None = None, target_day: int | None = None) -> DataFrame:
+    """(key, n) of the series of two events or more whose commonest hour, or day, is the target; with both targets their
+    commonest hour of a day counts, not the two by themselves. A tie for the commonest matches nothing."""
+    if target_hour is None and target_day is None:
+        raise ValueError("no target")
+    value = hour if target_day is None else day if target_hour is None else day * 24 + hour
+    target = target_hour if target_day is None else target_day if target_hour is None else target_day * 24 + target_hour
+    return mode_with_confidence(events, key, value).where(F.col("mode") == target).select(key, "n")
+
+
+def cross_k(a: DataFrame, b: DataFrame, t: str, radii: list[float], start: float, end: float) -> DataFrame:
+    """(radius, pairs, k, pair_correlation) of two event series: pairs at most ``radius`` apart over nA * lambdaB, and the ring
+    since the last radius over what independence gives. Pairs meet by cells as wide as the largest radius and are summed
+    where they meet."""
+    wide = float(max(radii))
+    x = a.select(F.col(t).cast("double").alias("ta"), F.explode(F.array(*[F.floor(F.col(t) / wide) + d for d in (-1, 0, 1)])).alias("_cell"))
+    y = b.select(F.col(t).cast("double").alias("tb"), F.floor(F.col(t) / wide).alias("_cell"))
+    apart = F.abs(F.col("ta") - F.col("tb"))
+    ordered = sorted(radii)
+    got = x.join(y, "_cell").agg(*[F.sum((apart <= r).cast("long")).alias(f"p{i}") for i, r in enumerate(ordered)])
+    n = a.agg(F.count(t).alias("_a")).crossJoin(b.agg(F.count(t).alias("_b")))  # one row each
+    rows = F.explode(F.array(*[F.struct(F.lit(float(r)).alias("radius"), F.coalesce(f"p{i}", F.lit(0)).alias("pairs"), (F.coalesce(f"p{i}", F.lit(0)) - (F.coalesce(f"p{i - 1}", F.lit(0)) if i else F.lit(0))).alias("ring"), F.lit(float(r - (ordered[i - 1] if i else 0))).alias("width")) for i, r in enumerate(ordered)]))
+    span, both = float(end - start), F.col("_a") * F.col("_b")
+    return got.crossJoin(n).select(rows.alias("x"), "_a", "_b").select("x.radius", "x.pairs", (F.col("x.pairs") * span / both).alias("k"), (F.col("x.ring") / (both * 2 * F.col("x.width") / span)).alias("pair_correlation"))

@@ -259,3 +259,16 @@ def test_blobs_refuse_damage(spark):
     for bad in (pieces.where("k <> 1 or at <> 1"), pieces.withColumn("chunk", F.when(F.col("at") == 2, F.lit("xx").cast("binary")).otherwise(F.col("chunk")))):
         with pytest.raises(Exception, match="damaged"):
             collections.manifest(bad, "k").collect()
+
+
+def test_survival_and_overdue(spark):
+    import math
+
+    for x in (0.0, 0.3, 1.0, 2.5, 9.0, 40.0):
+        assert recurrence.gamma_upper(1.0, x) == pytest.approx(math.exp(-x), rel=1e-9)
+        assert recurrence.gamma_upper(3.0, x) == pytest.approx(math.exp(-x) * (1 + x + x * x / 2), rel=1e-9)
+    df = spark.createDataFrame([("even", 10 * i) for i in range(6)] + [("odd", t) for t in (0, 5, 30, 31, 50)], "k string, t long")
+    got = {r.k: (r.survival, r.overdue) for r in recurrence.overdue(df, "k", "t", 61.0).collect()}
+    assert got["even"] == (0.0, True) and 0.3 < got["odd"][0] < 0.9 and not got["odd"][1]
+    with pytest.raises(ValueError):
+        recurrence.periodic_recall(df, "k", F.col("t"), F.col("t"))
