@@ -360,6 +360,8 @@ def link_documents(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
 
 
 def contract(docs: DataFrame) -> DataFrame:
+    """Four-word shingles, similarity 0.85 or more; the odd cases are those of :func:`link_documents`. An empty table gives no
+    rows; other columns are left out, whatever their names."""
     return link_documents(docs, k=4, percent=85)
 
 

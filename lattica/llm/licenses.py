@@ -94,7 +94,8 @@ def scan_licenses(docs: DataFrame, texts: dict[str, str] | None = None, containm
 
 
 def contract(docs: DataFrame) -> DataFrame:
-    """A row per document: doc_id, n_licenses, licenses (sorted, comma-joined), containment (the best, 0 without any)."""
+    """A row per document: doc_id, n_licenses, licenses (sorted, comma-joined), containment (the best, 0 without any).
+    The odd cases are those of :func:`scan_licenses`; rows that repeat an id or a text each give a row."""
     found = scan_licenses(docs).groupBy("row").agg(F.array_join(F.array_sort(F.collect_set("template")), ",").alias("licenses"), F.count("*").alias("n"), F.max("containment").alias("best"))
     joined = docs.select(row_key(docs).alias("row"), F.col("doc_id").cast("long").alias("doc_id")).join(found, "row", "left")
     return joined.select("doc_id", F.coalesce("n", F.lit(0)).cast("long").alias("n_licenses"), F.coalesce("licenses", F.lit("")).alias("licenses"), F.coalesce("best", F.lit(0.0)).alias("containment"))

@@ -167,6 +167,11 @@ def score_quality(docs: DataFrame, model: NaiveBayesSvm, keep: tuple[str, ...] =
 
 
 def contract(docs: DataFrame, labels: DataFrame, bound: int = 12_000) -> DataFrame:
-    """doc_id, held_out, score, predicted for every row of ``docs``; labels of held-out ids are never read."""
+    """doc_id, held_out, score, predicted for every row of ``docs``; labels of held-out ids are never read.
+
+    Null and empty texts have no words and get the model's score of none; a null id counts as the empty text for the fold
+    and is never learned from; contradicting labels of an id count as 1, null ones are ignored; repeated rows each give a
+    row, an empty table none; other columns are left out, whatever their names.
+    """
     scored = score_quality(docs, train(docs, labels, fold(4) != 2, bound))
     return scored.select("doc_id", (fold(4) == 2).alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))

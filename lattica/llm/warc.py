@@ -167,6 +167,10 @@ def read_records(index: DataFrame, folder: str, gap: int = 64 << 10, most: int =
 
 
 def contract(pages: DataFrame) -> DataFrame:
-    """Writes all pages, indexes them, reads every record back; revisits keep the digest and size of the full payload."""
+    """Writes all pages, indexes them, reads every record back; revisits keep the digest and size of the full payload.
+
+    Payloads count as equal when their SHA-1 and their size are. A null html is an empty payload; rows that repeat a page
+    each give a record; an empty table gives none; other columns are left out, whatever their names.
+    """
     folder = scratch(pages.sparkSession, "warc")
     return read_records(write_archives(pages, folder), folder).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
