@@ -100,8 +100,8 @@ def pq_recall(t):
     e = t("embeddings").select("vec_id", "embedding")
     asked = queries_of(e)
     pq = ann.ProductQuantizer(e, "vec_id", "embedding")
-    found = pq.search([(r.qid, r.qvec) for r in asked.orderBy("qid").limit(100).collect()], e, pq.encode(e), 20, rescore=16)
-    truth = search.nearest(asked.orderBy("qid").limit(100), e, "vec_id", "embedding", 20)
+    found = pq.search(asked, e, pq.encode(e), 20, rescore=16)
+    truth = search.nearest(asked, e, "vec_id", "embedding", 20)
     return search.recall_at_k(found, truth, "vec_id").agg((F.avg("recall") >= 0.98).alias("enough"))
 
 

@@ -272,3 +272,20 @@ def test_survival_and_overdue(spark):
     assert got["even"] == (0.0, True) and 0.3 < got["odd"][0] < 0.9 and not got["odd"][1]
     with pytest.raises(ValueError):
         recurrence.periodic_recall(df, "k", F.col("t"), F.col("t"))
+
+
+def test_quantized_search_takes_all_queries_in_blocks(spark):
+    import numpy as np
+
+    from lattica.operators import ann
+
+    rng = np.random.default_rng(6)
+    v = rng.normal(size=(120, 16))
+    base = spark.createDataFrame([(i, [float(a) for a in x]) for i, x in enumerate(v)], "k long, v array<double>")
+    asked = base.where("k % 10 = 0").select(F.col("k").alias("qid"), F.col("v").alias("qvec"))
+    pq = ann.ProductQuantizer(base, "k", "v", parts=4, codes=32)
+    got = pq.search(asked, base, pq.encode(base), 3, rescore=40, block=5).collect()
+    u = v / np.linalg.norm(v, axis=1, keepdims=True)
+    want = {(q, int(k)) for q in range(0, 120, 10) for k in np.argsort(-(u @ u[q]))[:3]}
+    assert {(r.qid, r.k) for r in got} == want
+    assert pq.search(asked.limit(0), base, pq.encode(base), 3).count() == 0
