@@ -111,3 +111,20 @@ def volume_buckets(fills: DataFrame, key: str, order: list[str], size: str, buy:
     d = d.withColumn("b", b).withColumn("part", F.least(F.col("hi"), (F.col("b") + 1) * F.col("all") / buckets) - F.greatest(F.col("hi") - F.col("v"), F.col("b") * F.col("all") / buckets))
     im = d.where("part > 0").groupBy(key, "b").agg(F.abs(F.sum(F.col("part") * F.col("s"))).alias("i"), F.max("all").alias("all"))
     return im.groupBy(key).agg((F.sum("i") / F.max("all")).alias("vpin"))
+
+
+def checkpoints(entries: DataFrame, seq: str, every: int) -> DataFrame:
+    """Entries that close a stretch of ``every`` sequence numbers (counted from 1), with the ``checkpoint``'s number from 0; their
+    hash vouches for all before them."""
+    if every < 1:
+        raise ValueError("every must be 1 or more")
+    return entries.where(F.col(seq) % every == 0).withColumn("checkpoint", F.floor((F.col(seq) - 1) / every))
+
+
+def audit(entries: DataFrame, among: dict[str, list], time: str, start=None, end=None) -> DataFrame:
+    """Entries whose columns hold one of the values named, from ``start`` to before ``end``; all are filters a scan can take."""
+    for c, values in among.items():
+        entries = entries.where(F.col(c).isin(values))
+    if start is not None:
+        entries = entries.where(F.col(time) >= F.lit(start).cast("timestamp"))
+    return entries if end is None else entries.where(F.col(time) < F.lit(end).cast("timestamp"))

@@ -39,3 +39,17 @@ def stylometry(text: Column) -> Column:
         n.alias("words"), F.when(n > 0, chars / n).otherwise(0.0).alias("word_length"), F.when(n > 0, F.size(F.array_distinct(words)) / n).otherwise(0.0).alias("distinct"),
         (n / sentences).alias("sentence_words"), (F.regexp_count(text, F.lit("[A-Z]")) / letters).alias("capitals"), (F.regexp_count(text, F.lit("[0-9]")) / letters).alias("digits"),
     )
+
+
+def event_codes(text: Column) -> Column:
+    """Sixteen numbers of an event's line: code known, code, root, class, Goldstein scale and tone over their ranges, one-hot class
+    1..4, cooperative root, hostile root, both actors and the place named, and a hash share (SHA-256) of the line."""
+    number = lambda label: F.try_to_number(F.regexp_extract(text, rf"(?:^|[^A-Za-z0-9]){label}\s+([-+]?[0-9]+(?:\.[0-9]+)?)", 1), F.lit("S999999D999999")).cast("double")
+    code, root, kind, scale, tone = (number(label) for label in ("EventCode", "root", "quad", "Goldstein", "tone"))
+    part = lambda v, top: F.least(F.coalesce(v, F.lit(0.0)), F.lit(float(top))) / top
+    signed = lambda v, top: F.greatest(F.least(F.coalesce(v, F.lit(0.0)) / top, F.lit(1.0)), F.lit(-1.0))
+    flag = lambda c: F.coalesce(c, F.lit(False)).cast("double")
+    named = [flag(F.contains(text, F.lit(w))) for w in ("Actor1 ", "Actor2 ", "ActionGeo ")]
+    share = F.conv(F.substring(F.sha2(text, 256), 1, 8), 16, 10).cast("double") / 4294967295.0
+    classes = [flag(kind.cast("int") == k) for k in (1, 2, 3, 4)]
+    return F.array(flag(code.isNotNull()), part(code, 999), part(root, 20), part(kind, 4), signed(scale, 10), signed(tone, 100), *classes, flag((root > 0) & (root < 10)), flag(root >= 13), *named, F.coalesce(share, F.lit(0.0)))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import heapq
 import re
 import shutil
 import tempfile
@@ -250,3 +251,95 @@ def kernel(edges: DataFrame, anchors: DataFrame, fraction: float = 0.10) -> Data
     scored = deg.join(near, "node", "left").join(betweenness(edges), "node", "left").crossJoin(F.broadcast(top)).select("node", score.alias("score"), "n")
     n = top.first()["n"] or 0
     return scored.orderBy(F.desc("score"), "node").limit(-(-int(n * fraction * 1_000_000) // 1_000_000)).select("node", "score")
+
+
+def scope(edges: DataFrame, seeds: DataFrame, radius: int) -> DataFrame:
+    """(node): the seeds and all within ``radius`` steps of one."""
+    return bfs(edges, seeds, radius).select("node")
+
+
+def shared_members(a: DataFrame, b: DataFrame, frequency: DataFrame) -> DataFrame:
+    """(node, frequency): members of both kernels; to be ordered by frequency downwards, then node. Without one it is 0."""
+    both = a.select("node").distinct().join(b.select("node").distinct(), "node")
+    return both.join(frequency, "node", "left").select("node", F.coalesce("frequency", F.lit(0)).alias("frequency"))
+
+
+def consequences(edges: DataFrame, root, depth: int = 4, attenuation: float = 0.7, floor: float = 0.05) -> DataFrame:
+    """(node, hop, confidence): what follows from ``root`` by edges (src, dst, ratio), ratio the share of predictions that
+    evidence bears out. A step multiplies by the attenuation and the ratio, 1 at the most; what falls below the floor is cut.
+    A node is met once, at its first hop with its best confidence; the tree is walked by levels."""
+    seen = frontier = cut(edges.sparkSession.createDataFrame([(root, 0, 1.0)], "node long, hop int, confidence double"))
+    for h in range(1, depth + 1):
+        able = frontier.where(F.col("confidence") * attenuation >= floor)
+        child = F.col("confidence") * attenuation * F.greatest(F.least("ratio", F.lit(1.0)), F.lit(0.0))
+        step = able.join(edges, able["node"] == edges["src"]).groupBy(F.col("dst").alias("node")).agg(F.max(child).alias("confidence")).where(F.col("confidence") >= floor)
+        frontier = cut(step.join(seen.select("node"), "node", "left_anti").select("node", F.lit(h).alias("hop"), "confidence"))
+        if frontier.isEmpty():
+            break
+        seen = seen.unionByName(frontier)
+    return seen.where("hop > 0")
+
+
+def eigenvector_centrality(edges: DataFrame, most: int = 100, tolerance: float | None = 1e-6) -> DataFrame:
+    """(node, centrality): power iteration on the undirected weights plus the identity. Without a tolerance ``most`` steps are
+    taken; with one, not converging within them raises. Each step is one join and one aggregation by node."""
+    both = edges.select("src", "dst", "weight").unionByName(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "weight"))
+    both = cut(both.groupBy("src", "dst").agg(F.sum("weight").alias("weight")))
+    v = cut(both.select(F.col("src").alias("node")).distinct().withColumn("x", F.lit(1.0)))
+    n = v.count()
+    if n < 2:
+        raise ValueError("a centrality needs two nodes")
+    norm = n**0.5
+    for _ in range(most):
+        push = both.join(v.withColumnRenamed("node", "src"), "src").groupBy(F.col("dst").alias("node")).agg(F.sum(F.col("weight") * F.col("x") / norm).alias("p"))
+        new = cut(v.join(push, "node", "left").select("node", (F.col("x") / norm).alias("old"), (F.col("x") / norm + F.coalesce("p", F.lit(0.0))).alias("x")))
+        norm = new.agg(F.sum(F.col("x") * F.col("x"))).first()[0] ** 0.5
+        v = new.select("node", "x")
+        if tolerance is not None and new.agg(F.sum((F.col("x") / norm - F.col("old")) ** 2)).first()[0] ** 0.5 < tolerance:
+            break
+    else:
+        if tolerance is not None:
+            raise ValueError(f"no convergence in {most} steps")
+    return v.select("node", (F.col("x") / norm).alias("centrality"))
+
+
+def feedback_vertices(edges: DataFrame, bound: int = 2_000_000) -> DataFrame:
+    """(node): nodes whose removal leaves no cycle. Nodes without a way in or out go first; then the node of the largest in times
+    out degree (ties: the smallest) is chosen, until none is left. Meant for a selected subgraph: more than ``bound`` edges
+    raise, and the walk is the driver's."""
+    rows = edges.select(F.col("src").cast("long"), F.col("dst").cast("long")).dropna().distinct().limit(bound + 1).toPandas()
+    if len(rows) > bound:
+        raise ValueError(f"more than {bound} edges")
+    out: dict[int, set] = {}
+    into: dict[int, set] = {}
+    for a, b in rows.itertuples(index=False):
+        out.setdefault(a, set()).add(b)
+        into.setdefault(b, set()).add(a)
+        out.setdefault(b, set())
+        into.setdefault(a, set())
+    chosen, idle = [], [v for v in out if not out[v] or not into[v]]
+    heap = [(-len(into[v]) * len(out[v]), v) for v in out]
+    heapq.heapify(heap)
+
+    def remove(v) -> None:
+        for w in out.pop(v):
+            if w in into:
+                into[w].discard(v)
+                idle.append(w) if not into[w] else heapq.heappush(heap, (-len(into[w]) * len(out.get(w, ())), w))
+        for w in into.pop(v):
+            if w in out:
+                out[w].discard(v)
+                idle.append(w) if not out[w] else heapq.heappush(heap, (-len(into.get(w, ())) * len(out[w]), w))
+
+    while out:
+        while idle:
+            v = idle.pop()
+            if v in out and (not out[v] or not into[v]):
+                remove(v)
+        if not out:
+            break
+        score, v = heapq.heappop(heap)
+        if v in out and -score == len(into[v]) * len(out[v]):
+            chosen.append(int(v))
+            remove(v)
+    return edges.sparkSession.createDataFrame([(v,) for v in sorted(chosen)], "node long")

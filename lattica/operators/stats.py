@@ -8,19 +8,26 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
+def corr(x: str | Column, y: str | Column) -> Column:
+    """Correlation of the pairs without nulls; null where one side is constant, at which the built-in aggregate raises."""
+    x, y = ((F.col(c) if isinstance(c, str) else c).cast("double") for c in (x, y))
+    both = x.isNotNull() & y.isNotNull()
+    return F.try_divide(F.covar_pop(x, y), F.stddev_pop(F.when(both, x)) * F.stddev_pop(F.when(both, y)))
+
+
 def pearson(df: DataFrame, by: list[str], x: str, y: str) -> DataFrame:
     """r, n and t of the test against 0."""
-    out = df.where(F.col(x).isNotNull() & F.col(y).isNotNull()).groupBy(*by).agg(F.count("*").alias("n"), F.corr(x, y).alias("r"))
-    return out.withColumn("t", F.col("r") * F.sqrt((F.col("n") - 2) / (1 - F.col("r") * F.col("r"))))
+    out = df.where(F.col(x).isNotNull() & F.col(y).isNotNull()).groupBy(*by).agg(F.count("*").alias("n"), corr(x, y).alias("r"))
+    return out.withColumn("t", F.col("r") * F.sqrt(F.try_divide(F.col("n") - 2, 1 - F.col("r") * F.col("r"))))
 
 
 def partial_correlation(df: DataFrame, by: list[str], x: str, y: str, z: str) -> DataFrame:
-    c = df.groupBy(*by).agg(F.corr(x, y).alias("xy"), F.corr(x, z).alias("xz"), F.corr(y, z).alias("yz"))
-    return c.select(*by, ((F.col("xy") - F.col("xz") * F.col("yz")) / F.sqrt((1 - F.col("xz") ** 2) * (1 - F.col("yz") ** 2))).alias("r"))
+    c = df.groupBy(*by).agg(corr(x, y).alias("xy"), corr(x, z).alias("xz"), corr(y, z).alias("yz"))
+    return c.select(*by, F.try_divide(F.col("xy") - F.col("xz") * F.col("yz"), F.sqrt((1 - F.col("xz") ** 2) * (1 - F.col("yz") ** 2))).alias("r"))
 
 
 def point_biserial(df: DataFrame, by: list[str], x: str, flag: Column) -> DataFrame:
-    return df.groupBy(*by).agg(F.corr(F.col(x), flag.cast("double")).alias("r"))
+    return df.groupBy(*by).agg(corr(F.col(x), flag.cast("double")).alias("r"))
 
 
 def average_ranks(df: DataFrame, by: list[str], x: str, name: str) -> DataFrame:
@@ -31,7 +38,7 @@ def average_ranks(df: DataFrame, by: list[str], x: str, name: str) -> DataFrame:
 
 def spearman(df: DataFrame, by: list[str], x: str, y: str) -> DataFrame:
     ranked = average_ranks(average_ranks(df.where(F.col(x).isNotNull() & F.col(y).isNotNull()), by, x, "_rx"), by, y, "_ry")
-    return ranked.groupBy(*by).agg(F.corr("_rx", "_ry").alias("rho"))
+    return ranked.groupBy(*by).agg(corr("_rx", "_ry").alias("rho"))
 
 
 def contingency(df: DataFrame, a: str, b: str) -> DataFrame:
@@ -77,7 +84,7 @@ def lagged(df: DataFrame, by: list[str], order: str, x: str, y: str, lags: list[
     """Cross-correlation of x(t) with y(t + k), a row a lag (k > 0: x leads); each needs 3 pairs. One sort for all lags."""
     w = Window.partitionBy(*by).orderBy(order)
     wide = df.select(*by, F.col(x).alias("_x"), *[F.lead(y, k).over(w).alias(f"_y{i}") if k >= 0 else F.lag(y, -k).over(w).alias(f"_y{i}") for i, k in enumerate(lags)])
-    parts = [F.struct(F.lit(k).alias("lag"), F.count(f"_y{i}").alias("pairs"), F.corr("_x", f"_y{i}").alias("r")) for i, k in enumerate(lags)]
+    parts = [F.struct(F.lit(k).alias("lag"), F.count(f"_y{i}").alias("pairs"), corr("_x", f"_y{i}").alias("r")) for i, k in enumerate(lags)]
     return wide.groupBy(*by).agg(F.array(*parts).alias("_p")).select(*by, F.inline("_p")).where("pairs >= 3")
 
 
@@ -139,7 +146,7 @@ def kendall(df: DataFrame, by: list[str], x: str, y: str, most: int = 20_000) ->
 def covariance_matrix(df: DataFrame, columns: list[str]) -> DataFrame:
     """(a, b, r) of every pair of columns in one pass."""
     pairs = [(a, b) for i, a in enumerate(columns) for b in columns[i + 1 :]]
-    parts = F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), F.corr(a, b).alias("r")) for a, b in pairs])
+    parts = F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), corr(a, b).alias("r")) for a, b in pairs])
     return df.agg(parts.alias("_p")).select(F.inline("_p"))
 
 
@@ -158,7 +165,7 @@ def partial_correlation_many(df: DataFrame, x: str, y: str, controls: list[str])
     """Partial correlation given several columns, from the precision matrix; the correlations are one aggregation."""
     names = [x, y, *controls]
     pairs = [(i, j) for i in range(len(names)) for j in range(i)]
-    got = df.dropna(subset=names).agg(*[F.corr(names[i], names[j]) for i, j in pairs]).first()
+    got = df.dropna(subset=names).agg(*[corr(names[i], names[j]) for i, j in pairs]).first()
     m = np.eye(len(names))
     for (i, j), r in zip(pairs, got):
         m[i, j] = m[j, i] = r
@@ -171,7 +178,7 @@ def cross_correlation(df: DataFrame, by: list[str], order: str, x: str, y: str,
     w = Window.partitionBy(*by).orderBy(order)
     cols = [F.struct(F.lit(k).alias("lag"), F.col(x).cast("double").alias("a"), F.lead(F.col(y).cast("double"), k).over(w).alias("b")) for k in range(-most, most + 1)]
     pairs = df.select(*by, *[c.alias(f"_{i}") for i, c in enumerate(cols)]).select(*by, F.explode(F.array(*[f"_{i}" for i in range(len(cols))])).alias("p"))
-    got = pairs.select(*by, "p.*").where("a is not null and b is not null").groupBy(*by, "lag").agg(F.count("*").alias("n"), F.corr("a", "b").alias("r"))
+    got = pairs.select(*by, "p.*").where("a is not null and b is not null").groupBy(*by, "lag").agg(F.count("*").alias("n"), corr("a", "b").alias("r"))
     return got.where("n >= 3")
 
 

@@ -6,7 +6,7 @@ from pathlib import Path
 import duckdb
 import pytest
 
-from lattica import more_queries  # noqa: F401
+from lattica import evidence_queries, more_queries  # noqa: F401
 from lattica.queries import QUERIES, SQL
 
 SF = "/root/testdata/sf0.001"
