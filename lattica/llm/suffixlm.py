@@ -41,6 +41,8 @@ STEPS = 128
 KAPPA = 2.0
 #: The context of a text's first word, and a factor for pairs' hashes.
 START, ODD = np.uint64(0x5851F42D4C957F2C), np.uint64(0x9E3779B97F4A7C15)
+#: Bytes of words that are spelled at once (one word at least): the arrays take about a hundred times as many.
+SPELL_BYTES = 1 << 18
 #: What precedes a word that is spelled by itself: bytes that no text's words hold, and a blank.
 PAD = b"\t" * (DEPTH - 1) + b" "
 MASKS = [np.int64((1 << (8 * n)) - 1) for n in range(DEPTH + 2)]
@@ -91,6 +93,11 @@ class SuffixTree:
 
     def spell(self, words: list[bytes]) -> np.ndarray:
         """log10 of the tree's probability of each word, spelled from a blank to the next; the end symbol is ``END``."""
+        part = np.cumsum([len(w) for w in words], dtype=np.int64) // SPELL_BYTES
+        cuts = [0, *(np.flatnonzero(np.diff(part)) + 1).tolist(), len(words)]
+        return np.concatenate([self._spell(words[a:b]) for a, b in zip(cuts, cuts[1:], strict=False)])
+
+    def _spell(self, words: list[bytes]) -> np.ndarray:
         if not words:
             return np.zeros(0)
         data = np.frombuffer(b"".join(PAD + (w if w == END else w + b" ") for w in words), np.uint8).astype(np.int64)
@@ -113,8 +120,13 @@ def gram_counts(docs: DataFrame, limit: int = 2_000_000) -> DataFrame:
         held_g, held_n, size = [], [], 0
 
         def merged():
-            g, inverse = np.unique(np.concatenate(held_g), return_inverse=True)
-            return g, np.bincount(inverse, np.concatenate(held_n)).astype(np.int64)
+            g, n = np.concatenate(held_g), np.concatenate(held_n)
+            held_g.clear()
+            held_n.clear()
+            order = np.argsort(g, kind="stable")  # sorted runs: they are merged
+            g, n = g[order], n[order]
+            first = np.flatnonzero(np.diff(g, prepend=~g[:1]))
+            return g[first], np.add.reduceat(n, first)
 
         for batch in batches:
             for at in range(0, batch.num_rows, 500):

@@ -3,6 +3,7 @@
 import math
 import random
 import time
+import tracemalloc
 import zlib
 from collections import Counter
 
@@ -158,3 +159,15 @@ def test_packed_keys():
     keys = np.unique(hashes([f"k{i}".encode() for i in range(1000)]))
     for part in (keys, keys[:1], keys[:0]):
         assert (suffixlm.unpack_sorted(suffixlm.pack_sorted(part), len(part)) == part).all()
+
+
+def test_spelling_takes_bounded_memory(spark):
+    tree = suffixlm.train(spark.createDataFrame([(1, "some words to spell")], "doc_id long, text string"))
+    words = [b"w%d" % i for i in range(400_000)]
+    some = tree.spell(words[:3000])
+    tracemalloc.start()
+    got = tree.spell(words)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert np.allclose(got[:3000], some) and got[123_456] == pytest.approx(tree.spell([words[123_456]])[0])
+    assert peak < 100e6
