@@ -1,15 +1,18 @@
 """LM scoring by a probabilistic suffix tree: word contexts with the counts of the whole corpus over a tree of bytes.
 
 A text is a sequence of words and an end. The longest suffix state predicts a word, smoothed towards the next shorter
-one: first the word before it, a state if the corpus has it, P(w | u) = (c(u, w) + b P(w)) / (c(u) + b) with
+one: first the word before it, if it is a state, P(w | u) = (c(u, w) + b P(w)) / (c(u) + b) with
 b = KAPPA + c(u), so that the root keeps at least half; then the root, P(w) = (c(w) + kinds S(w)) / (N + kinds), N words of
 that many kinds; then S, the word's spelling. These counts are a table as large as the corpus's words and word pairs. It
-is never collected: blocks of documents ask for their words and pairs. The spelling is predicted byte by byte from a
+is never collected: blocks of documents ask for their words and pairs. A word u is a state if it passes the divergence test
+that bytes pass: with A(u), the mean of ln(P(w | u) / P(w)) over the words w that follow u in the corpus, A(u) is at least
+the divergence asked for and c(u) A(u) at least ln(N). Where b / (c(u) + b) is r, (1 - r) A(u) is KL(P(. | u), P) +
+r KL(P, P(. | u)): never negative, and 0 only if u predicts what the root does. The blocks add up their parts of c(u) A(u)
+in a second exchange. The spelling is predicted byte by byte from a
 context of up to ``DEPTH`` bytes, from a blank to the next one, by a tree trained on whole texts (lower-cased, words joined
 by single spaces, closed by an end symbol). A context of bytes is a state if it makes up at least ``P_MIN`` of the corpus
 and a divergence test tells its next-symbol distribution from its suffix's, or if a longer state needs it as a suffix.
-That tree is the small, broadcast part of the model; the word states take no divergence test, which would need a further
-exchange of the whole table, but are smoothed by their counts.
+That tree is the small, broadcast part of the model.
 """
 
 from __future__ import annotations
@@ -39,6 +42,9 @@ END = b"\n"
 STEPS = 128
 #: The weight of the root's prediction beside a word context's counts is this and the counts' sum.
 KAPPA = 2.0
+#: Least divergence of a state from its suffix, in nats, and parts of a nat that words' gains are rounded to: sums of such
+#: do not depend on how the documents fall into blocks.
+DIVERGENCE, NAT = 0.005, 1024
 #: The context of a text's first word, and a factor for pairs' hashes.
 START, ODD = np.uint64(0x5851F42D4C957F2C), np.uint64(0x9E3779B97F4A7C15)
 #: Bytes of words that are spelled at once (one word at least): the arrays take about a hundred times as many.
@@ -148,7 +154,7 @@ def gram_counts(docs: DataFrame, limit: int = 2_000_000) -> DataFrame:
     return save(docs.select("text").mapInArrow(run, "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n")), "grams")
 
 
-def train(docs: DataFrame, divergence: float = 0.005) -> SuffixTree:
+def train(docs: DataFrame, divergence: float = DIVERGENCE) -> SuffixTree:
     """Counts all of ``docs`` and keeps the states. Without documents the tree is the uniform root."""
     counted = gram_counts(docs)
     total = counted.agg(F.sum("n")).first()[0] or 0
@@ -205,10 +211,12 @@ def grow(tables: list[tuple], root: np.ndarray, total: int, divergence: float) -
 
 
 BLOCK = T.StructType([
-    T.StructField("block", T.LongType()), T.StructField("doc_ids", T.ArrayType(T.LongType())), T.StructField("held_out", T.ArrayType(T.BooleanType())), T.StructField("n_train", T.LongType()), T.StructField("n_keys", T.LongType()),
+    T.StructField("block", T.LongType()), T.StructField("doc_ids", T.ArrayType(T.LongType())), T.StructField("held_out", T.ArrayType(T.BooleanType())), T.StructField("n_train", T.LongType()), T.StructField("n_keys", T.LongType()), T.StructField("n_words", T.LongType()),
     T.StructField("sizes", T.BinaryType()), T.StructField("words", T.BinaryType()), T.StructField("spelling", T.BinaryType()), T.StructField("ids", T.BinaryType()),
 ])
 ASKED = T.StructType([T.StructField(n, T.LongType()) for n in ("bucket", "block", "at")] + [T.StructField(n, T.BinaryType()) for n in ("keys", "train")])
+GAINED = T.StructType([*ASKED.fields[:4], T.StructField("gains", T.BinaryType()), T.StructField("counts", T.BinaryType())])
+PASSED = T.StructType([T.StructField("block", T.LongType()), T.StructField("at", T.LongType()), T.StructField("passed", T.BinaryType())])
 ANSWER = T.StructType([T.StructField("block", T.LongType()), T.StructField("at", T.LongType()), T.StructField("counts", T.BinaryType()), T.StructField("kinds", T.LongType())])
 RESULT = T.StructType([
     T.StructField("doc_id", T.LongType()), T.StructField("held_out", T.BooleanType()), T.StructField("n_tokens", T.LongType()), T.StructField("n_known", T.LongType()),
@@ -271,6 +279,18 @@ class Keys:
         out[self.start] += (~held).sum()
         return out.astype(np.int32)
 
+    def contexts(self, c: np.ndarray) -> np.ndarray:
+        """The places of words with a word after them that the corpus, with counts ``c``, has twice. One that it has once
+        gains at most ln((1 + 3 P) / (4 P)) with P >= 1 / (2 N + 1), which is under ln(N): it can't pass the test."""
+        return np.flatnonzero((np.bincount(self.before, minlength=len(self.keys)) > 0) & (c > 1))
+
+
+def dealt(keys: np.ndarray, buckets: int) -> list[tuple[int, int, int]]:
+    """(bucket, from, to) of the runs of ascending keys that belong to one bucket of the hash space."""
+    of = ((keys >> np.uint64(32)) * np.uint64(buckets)) >> np.uint64(32)
+    first = np.flatnonzero(np.diff(of, prepend=~of[:1]))
+    return list(zip(of[first].tolist(), first.tolist(), np.append(first[1:], len(keys)).tolist(), strict=True))
+
 
 def blocks(docs: DataFrame, tree: SuffixTree) -> DataFrame:
     """Rows of up to ``BLOCK_TOKENS`` tokens of whole documents: their ids and sizes, the distinct words (sorted hashes) with
@@ -283,7 +303,7 @@ def blocks(docs: DataFrame, tree: SuffixTree) -> DataFrame:
         words, first, ids = np.unique(hashes(flat) & ~np.uint64(1), return_index=True, return_inverse=True)
         spelling = shared.value.spell([flat[i] for i in first.tolist()])
         n = len(Keys(words, ids, sizes).keys)
-        return uuid.uuid4().int >> 65, doc_ids, held, int(sizes[~np.array(held, bool)].sum()), n, pack(sizes), pack_sorted(words), pack(np.rint(spelling * STEPS).clip(-32768, 0).astype(np.int16)), pack(ids.astype(np.int32))
+        return uuid.uuid4().int >> 65, doc_ids, held, int(sizes[~np.array(held, bool)].sum()), n, len(words), pack(sizes), pack_sorted(words), pack(np.rint(spelling * STEPS).clip(-32768, 0).astype(np.int16)), pack(ids.astype(np.int32))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids, held, texts, size = [], [], [], 0
@@ -314,8 +334,8 @@ def opened(batch: pa.RecordBatch) -> Iterator[tuple]:
 
 
 def corpus_counts(made: DataFrame) -> DataFrame:
-    """(block, at, counts, kinds): the corpus counts of each block's keys from place ``at`` on, and how many known words the
-    row is the first to name.
+    """(block, parts, kinds): the corpus counts of each block's keys, in the keys' order, and how many known words the block
+    is the first to name. Written once, dealt like the blocks.
 
     Requests go to buckets of the hash space, as many as keep a bucket near ``BUCKET_KEYS``, and back to their block, both
     as packed arrays. A key has one request a block, however often the block's documents use it.
@@ -327,10 +347,7 @@ def corpus_counts(made: DataFrame) -> DataFrame:
         for batch in batches:
             for row, held, sizes, _, _, own in opened(batch):
                 keys, train = own.keys, own.train(held, sizes)
-                of = ((keys >> np.uint64(32)) * np.uint64(buckets)) >> np.uint64(32)
-                first = np.flatnonzero(np.concatenate([[True], of[1:] != of[:-1]]))
-                ends = np.append(first[1:], len(keys))
-                rows = [(int(of[a]), row["block"], a, pack_sorted(keys[a:b]), pack(train[a:b])) for a, b in zip(first.tolist(), ends.tolist(), strict=True)]
+                rows = [(of, row["block"], a, pack_sorted(keys[a:b]), pack(train[a:b])) for of, a, b in dealt(keys, buckets)]
                 for at in range(0, len(rows), 200):
                     yield rows_of(ASKED, rows[at : at + 200])
 
@@ -361,12 +378,82 @@ def corpus_counts(made: DataFrame) -> DataFrame:
         yield from close()
 
     asked = made.mapInArrow(deal, ASKED)
-    return save(asked.repartition("bucket").sortWithinPartitions("bucket", "block").mapInArrow(answer, ANSWER), "answers")
+    answers = asked.repartition("bucket").sortWithinPartitions("bucket", "block").mapInArrow(answer, ANSWER)
+    return save_dealt(gathered(answers, "counts", F.sum("kinds").alias("kinds")), "answers", "block")
+
+
+def gathered(answers: DataFrame, column: str, *more) -> DataFrame:
+    """(block, parts) and ``more``: each block's ``column`` in the order of ``at``."""
+    made = answers.groupBy("block").agg(F.array_sort(F.collect_list(F.struct("at", column))).alias("parts"), *more)
+    return made.withColumn("parts", F.transform("parts", lambda x: x[column]))
+
+
+def word_logs(own: Keys, c: np.ndarray, spelled: np.ndarray, n: int, v: int) -> tuple[np.ndarray, np.ndarray]:
+    """By token: the root's probability of the word, and that of the word before it as a state."""
+    root = (c[own.word] + (v + 1.0) * spelled) / (n + v + 1.0)
+    back = KAPPA + c[own.before]
+    return root, (c[own.pair] + back * root) / (c[own.before] + back)
+
+
+def counted(parts: list[bytes] | None, kind) -> np.ndarray:
+    return np.concatenate([np.zeros(0, kind), *(unpack(x, kind) for x in parts or [])])
 
 
-def score_texts(docs: DataFrame, tree: SuffixTree) -> DataFrame:
+def word_states(made: DataFrame, answers: DataFrame, n: int, v: int, divergence: float) -> DataFrame:
+    """(block, passed): for each of the block's contexts, in the keys' order, whether the corpus's words after it pass the
+    divergence test. A block that has no context has no row.
+
+    A training token gains ln(P(w | u) / P(w)). Each block sends the sums of its tokens by context, packed, to the
+    context's bucket, which adds them up, and gets one flag a context back: one key a block, however often it is used.
+    """
+    buckets = math.ceil((made.agg(F.sum("n_words")).first()[0] or 0) / BUCKET_KEYS) or 1
+    least = math.log(max(n, 2))
+
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row, held, sizes, spelling, ids, own in opened(batch):
+                c = counted(row["parts"], np.int64)
+                root, after = word_logs(own, c.astype(float), 10.0 ** np.maximum(spelling, -300.0)[ids], n, v)
+                gain = np.where(np.repeat(~held, sizes), np.rint(NAT * np.log(after / root)), 0.0)
+                asked = own.contexts(c)
+                keys, gains, counts = own.keys[asked], np.bincount(own.before, gain, len(c))[asked].astype(np.int64), c[asked]
+                rows = [(of, row["block"], a, pack_sorted(keys[a:b]), pack(gains[a:b]), pack(counts[a:b])) for of, a, b in dealt(keys, buckets)]
+                for at in range(0, len(rows), 200):
+                    yield rows_of(GAINED, rows[at : at + 200])
+
+    def test(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bucket, held = None, []
+
+        def close() -> Iterator[pa.RecordBatch]:
+            if held:
+                _, inverse = np.unique(np.concatenate([x[2] for x in held]), return_inverse=True)
+                total = np.bincount(inverse, np.concatenate([x[3] for x in held]))[inverse] / NAT
+                passed = ((total >= least) & (total >= divergence * np.concatenate([x[4] for x in held]))).astype(np.uint8)
+                ends = np.cumsum([len(x[2]) for x in held])
+                for at in range(0, len(held), 200):
+                    part = zip(held[at : at + 200], ends[at : at + 200].tolist(), strict=True)
+                    yield rows_of(PASSED, [(x[0], x[1], pack(passed[e - len(x[2]) : e])) for x, e in part])
+                held.clear()
+
+        for batch in batches:
+            for of, block, at, keys, gains, counts in zip(*(batch.column(c).to_pylist() for c in GAINED.names), strict=True):
+                if of != bucket:
+                    yield from close()
+                    bucket = of
+                gains = unpack(gains, np.int64)
+                held.append((block, at, unpack_sorted(keys, len(gains)), gains, unpack(counts, np.int64)))
+        yield from close()
+
+    asked = made.join(answers, "block").mapInArrow(deal, GAINED)
+    passed = save(asked.repartition("bucket").sortWithinPartitions("bucket", "block").mapInArrow(test, PASSED), "states")
+    return gathered(passed, "passed").withColumnRenamed("parts", "passed")
+
+
+def score_texts(docs: DataFrame, tree: SuffixTree, divergence: float | None = None) -> DataFrame:
     """RESULT rows of every document of ``docs``, by the tree and by the corpus counts of the rows that are not held out.
 
+    Words are states if they pass the test with ``divergence``; without one every word of the corpus is a state.
+
     Neither the vocabulary nor its counts are broadcast or collected. Words are compared by 64-bit hashes. Null and empty
     texts are one end; a null id counts as the empty text for the fold; rows that repeat an id or a text each count and
     give a row; an empty table gives none; other columns are left out, whatever their names.
@@ -374,24 +461,28 @@ def score_texts(docs: DataFrame, tree: SuffixTree) -> DataFrame:
     made = blocks(docs, tree)
     answers = corpus_counts(made)
     n, v = made.agg(F.sum("n_train")).first()[0] or 0, answers.agg(F.sum("kinds")).first()[0] or 0
-    back = answers.groupBy("block").agg(F.array_sort(F.collect_list(F.struct("at", "counts"))).alias("parts")).select("block", F.transform("parts", lambda x: x["counts"]).alias("parts"))
     norm = n + 0.5 * (v + 1)
+    joined = made.join(answers, "block")
+    if divergence is not None:
+        joined = joined.join(word_states(made, answers, n, v, divergence), "block", "left")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row, held, sizes, spelling, ids, own in opened(batch):
-                c = np.concatenate([unpack(x, np.int64) for x in row["parts"]]).astype(float)
-                word, spelled = c[own.word], 10.0 ** np.maximum(spelling, -300.0)[ids]
-                root = (word + (v + 1.0) * spelled) / (n + v + 1.0)
-                back = KAPPA + c[own.before]
-                after = (c[own.pair] + back * root) / (c[own.before] + back)
+                c = counted(row["parts"], np.int64)
+                root, after = word_logs(own, c.astype(float), 10.0 ** np.maximum(spelling, -300.0)[ids], n, v)
+                if divergence is not None:
+                    states = np.zeros(len(c), bool)
+                    states[own.contexts(c)] = counted(row["passed"], np.uint8) > 0
+                    after = np.where(states[own.before], after, root)
+                word = c[own.word]
                 sums = [np.add.reduceat(x, own.first) for x in (word > 0, np.log10((word + 0.5) / norm), np.log10(after))]
                 columns = [pa.array(row["doc_ids"], pa.int64()), pa.array(held), pa.array(sizes), pa.array(sums[0].astype(np.int64)), pa.array(np.full(len(sizes), n, np.int64)), *map(pa.array, sums[1:])]
                 yield pa.RecordBatch.from_arrays(columns, names=RESULT.names)
 
-    return made.join(back, "block").mapInArrow(run, RESULT)
+    return joined.mapInArrow(run, RESULT)
 
 
 def contract(docs: DataFrame) -> DataFrame:
     """A row a document; the odd cases are those of :func:`score_texts`."""
-    return score_texts(docs, train(docs.where(fold(5) != 1)))
+    return score_texts(docs, train(docs.where(fold(5) != 1)), DIVERGENCE)

@@ -171,3 +171,41 @@ def test_spelling_takes_bounded_memory(spark):
     tracemalloc.stop()
     assert np.allclose(got[:3000], some) and got[123_456] == pytest.approx(tree.spell([words[123_456]])[0])
     assert peak < 100e6
+
+
+def test_word_states_pass_a_divergence_test(spark, monkeypatch):
+    monkeypatch.setattr(suffixlm, "BLOCK_TOKENS", 500)
+    rng = random.Random(3)
+    # "any", "odd", "x" and "y" are followed by what the root predicts anyway, "san" by one word only, "rare1" once
+    texts = [" ".join(["san francisco", *(rng.choice(["any", "odd", "x", "y"]) for _ in range(800)), f"rare{i}"]) for i in range(12)]
+    rows = [*enumerate([*texts, "", None, "san francisco any x", "unseen words"]), (None, "odd san francisco")]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    tree = suffixlm.train(df.where(suffixlm.fold(5) != 1))
+    tokens = {d: [*[w.encode() for w in brute.words10(t)], suffixlm.END] for d, t in rows}
+    one, two = Counter(), Counter()
+    for d, t in tokens.items():
+        if zlib.crc32(("" if d is None else str(d)).encode()) % 5 != 1:
+            one.update(t)
+            two.update(zip([None, *t], t))
+    ctx = Counter()
+    for (u, _), k in two.items():
+        ctx[u] += k
+    n, v = sum(one.values()), len(one)
+    spelled = {w: 10 ** tree.spell([w])[0] for t in tokens.values() for w in t}
+
+    def root(w):
+        return (one[w] + (v + 1) * spelled[w]) / (n + v + 1)
+
+    def after(u, w):
+        back = suffixlm.KAPPA + ctx[u]
+        return (two[u, w] + back * root(w)) / (ctx[u] + back)
+
+    gain = Counter()
+    for (u, w), k in two.items():
+        gain[u] += k * math.log(after(u, w) / root(w))
+    states = {u for u in ctx if gain[u] >= max(math.log(n), suffixlm.DIVERGENCE * ctx[u])}
+    assert {None, b"san"} <= states and not states & {b"any", b"odd", b"x", b"y", b"rare1"}
+    got = {r.doc_id: r.score for r in suffixlm.contract(df).collect()}
+    assert len(got) == len(rows)
+    for d, t in tokens.items():
+        assert got[d] == pytest.approx(sum(math.log10(after(u, w) if u in states else root(w)) for u, w in zip([None, *t], t)), abs=0.03)
