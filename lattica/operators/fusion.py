@@ -33,24 +33,26 @@ def single_lens(lists: DataFrame, slot, key: str, constant: int = 60) -> DataFra
     return lists.where(F.col("slot") == slot).select(key, (1 / (constant + F.col("rank"))).alias("score"), "rank")
 
 
-def pipeline(lists: DataFrame, stage1: list, key: str) -> DataFrame:
-    """Fusion of the other slots restricted to the candidates of the slots ``stage1``, by their original ranks; of all slots
-    where the others have none of the candidates. No candidates: empty."""
+def pipeline(lists: DataFrame, stage1: list, key: str, fall_back: bool = True) -> DataFrame:
+    """Fusion of the other slots restricted to the candidates of the slots ``stage1``, by their original ranks; with ``fall_back``
+    of all slots where the others have none of the candidates, without it empty there. No candidates: empty."""
     first = F.col("slot").isin(*stage1)
     candidates = lists.where(first).select(key).distinct()
     kept = restricted(lists, candidates, key)
     others = kept.where(~first)
+    if not fall_back:
+        return rrf(others, key)
     some = others.limit(1).agg((F.count("*") > 0).alias("_some"))
     chosen = kept.crossJoin(F.broadcast(some)).where(~F.col("_some") | ~first).drop("_some")  # one row
     return rrf(chosen, key)
 
 
-def fuse(lists: DataFrame, strategy: str, key: str, slot=None, profile: str | None = None, stage1: list | None = None) -> DataFrame:
+def fuse(lists: DataFrame, strategy: str, key: str, slot=None, profile: str | None = None, stage1: list | None = None, fall_back: bool = True) -> DataFrame:
     """Runs a planned strategy: ``single``, ``rrf``, ``weighted`` (by ``profile``) or ``pipeline``."""
     if strategy == "single":
         return single_lens(lists, slot, key)
     if strategy == "pipeline":
-        return pipeline(lists, stage1 or [], key)
+        return pipeline(lists, stage1 or [], key, fall_back)
     if strategy == "weighted":
         return rrf(lists, key, profile_weights(lists.sparkSession, profile))
     if strategy == "rrf":

@@ -289,3 +289,14 @@ def test_quantized_search_takes_all_queries_in_blocks(spark):
     want = {(q, int(k)) for q in range(0, 120, 10) for k in np.argsort(-(u @ u[q]))[:3]}
     assert {(r.qid, r.k) for r in got} == want
     assert pq.search(asked.limit(0), base, pq.encode(base), 3).count() == 0
+
+
+def test_pipeline_without_common_candidates(spark):
+    from lattica.operators import fusion
+
+    lists = spark.createDataFrame([(4, 1, 1), (4, 2, 2), (8, 3, 1)], "slot long, id long, rank int")
+    assert {r.id for r in fusion.pipeline(lists, [4], "id").collect()} == {1, 2}
+    assert fusion.fuse(lists, "pipeline", "id", stage1=[4], fall_back=False).isEmpty()
+    met = lists.unionByName(spark.createDataFrame([(8, 2, 2)], lists.schema))
+    for fall_back in (True, False):
+        assert [r.id for r in fusion.fuse(met, "pipeline", "id", stage1=[4], fall_back=fall_back).collect()] == [2]
