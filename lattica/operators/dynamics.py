@@ -1,5 +1,6 @@
-"""Directed and joint dependence of series: a group is one pandas group, its pairs are taken in blocks (time grows with the
-square of the group, memory with a block). Too few samples give null estimates."""
+"""Directed and joint dependence of series: a group is one pandas group. Neighbours are found without all pairs; the pairs of
+cross mapping are taken in blocks (time grows with the square of the library, memory with a block). Too few samples give null
+estimates."""
 
 from __future__ import annotations
 
@@ -13,6 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lattica.operators.estimators import blocks
+from lattica.operators.neighbours import count_within, kth_distance
 from lattica.operators.stats import corr
 
 #: The least samples of an estimate, and of a total correlation for each column.
@@ -26,40 +28,21 @@ def digamma(m: np.ndarray) -> np.ndarray:
     return harmonic[m - 1] - 0.5772156649015329
 
 
-def spread(a: np.ndarray, at: slice) -> np.ndarray:
-    """Largest-coordinate distances of a block of rows of ``a`` (rows, columns) to all rows."""
-    out = np.abs(a[at, None, 0] - a[None, :, 0])
-    for c in range(1, a.shape[1]):
-        np.maximum(out, np.abs(a[at, None, c] - a[None, :, c]), out=out)
-    return out
-
-
-def nearest(far: np.ndarray, at: slice, k: int) -> np.ndarray:
-    """The k-th smallest distance of each row of a block but its own."""
-    far[np.arange(len(far)), np.arange(far.shape[1])[at]] = np.inf
-    return np.partition(far, k - 1, axis=1)[:, k - 1]
-
-
 def information(x: np.ndarray, y: np.ndarray, k: int = 3) -> float:
     """Mutual information in bits of two sets of columns by k nearest neighbours; it may be slightly negative."""
     n = len(x)
-    nx, ny = np.empty(n, np.int64), np.empty(n, np.int64)
-    for at in blocks(n):
-        dx, dy = spread(x, at), spread(y, at)
-        e = nearest(np.maximum(dx, dy), at, k)
-        nx[at], ny[at] = (dx < e[:, None]).sum(1) - 1, (dy < e[:, None]).sum(1) - 1
+    e = kth_distance(np.hstack([x, y]), k)
+    nx, ny = count_within(x, e) - 1, count_within(y, e) - 1
     ends = digamma(np.array([k]))[0] + digamma(np.array([n]))[0]
     return float((ends - (digamma(np.maximum(nx, 0) + 1) + digamma(np.maximum(ny, 0) + 1)).mean()) / np.log(2))
 
 
 def entropy(a: np.ndarray, k: int = 3) -> float:
     """Differential entropy in bits by the distance to the k-th neighbour. More than k equal rows have none: that raises."""
-    n, logs = len(a), 0.0
-    for at in blocks(n):
-        e = nearest(spread(a, at), at, k)
-        if not (e > 0).all():
-            raise ValueError("more equal rows than neighbours")
-        logs += float(np.log(e).sum())
+    n, e = len(a), kth_distance(a, k)
+    if not (e > 0).all():
+        raise ValueError("more equal rows than neighbours")
+    logs = float(np.log(e).sum())
     return float((digamma(np.array([n]))[0] - digamma(np.array([k]))[0] + a.shape[1] * (np.log(2) + logs / n)) / np.log(2))
 
 

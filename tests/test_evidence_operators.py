@@ -186,3 +186,32 @@ def test_correlations_of_a_constant_are_null(spark):
     assert all(r.rho is None for r in stats.spearman(df, ["g"], "x", "y").collect())
     tied = stats.pearson(df.withColumn("y", F.col("x") * 2), ["g"], "x", "y").where("g = 'c'").first()
     assert tied.r == pytest.approx(1)
+
+
+def test_neighbours_equal_all_pairs():
+    from lattica.operators import neighbours
+
+    rng = np.random.default_rng(14)
+    for d, n in ((1, 300), (2, 700), (3, 500), (4, 200)):
+        a = rng.normal(size=(n, d))
+        a[:, -1] = rng.integers(0, 4, n)
+        a[: n // 4] = a[0]
+        far = neighbours.largest(a, a)
+        apart = far + np.diag(np.full(n, np.inf))
+        e = np.sort(apart, axis=1)[:, 2]
+        assert (neighbours.kth_distance(a, 3) == e).all()
+        assert (neighbours.count_within(a, e) == (far < e[:, None]).sum(1)).all()
+
+
+def test_information_without_pairs(spark, monkeypatch):
+    def no_pairs(*_):
+        raise AssertionError("all pairs were taken")
+
+    monkeypatch.setattr(dynamics, "blocks", no_pairs)
+    rng = np.random.default_rng(15)
+    x = rng.normal(size=(20_000, 1))
+    y = 0.8 * x + 0.6 * rng.normal(size=(20_000, 1))
+    want = -0.5 * math.log2(1 - 0.64)
+    assert dynamics.information(x, y) == pytest.approx(want, abs=0.03)
+    assert dynamics.information(x, np.hstack([y, rng.normal(size=(20_000, 1))])) == pytest.approx(want, abs=0.06)
+    assert dynamics.entropy(x) == pytest.approx(0.5 * math.log2(2 * math.pi * math.e), abs=0.03)
