@@ -300,3 +300,23 @@ def test_pipeline_without_common_candidates(spark):
     met = lists.unionByName(spark.createDataFrame([(8, 2, 2)], lists.schema))
     for fall_back in (True, False):
         assert [r.id for r in fusion.fuse(met, "pipeline", "id", stage1=[4], fall_back=fall_back).collect()] == [2]
+
+
+def no_pairs(*_):
+    raise AssertionError("all pairs were taken")
+
+
+def test_distance_correlation_without_pairs(monkeypatch):
+    import numpy as np
+
+    from lattica.operators import estimators
+
+    rng = np.random.default_rng(12)
+    cases = [(rng.normal(size=n), np.round(rng.normal(size=n), 1)) for n in (2, 3, 64, 301)]
+    cases += [(1e6 + v, np.round(v * v, 2)) for v in (rng.normal(size=200),)]
+    want = [estimators.centred_product(x, y, np.abs, np.abs) for x, y in cases]
+    monkeypatch.setattr(estimators, "blocks", no_pairs)
+    for (x, y), w in zip(cases, want):
+        assert estimators.distance_covariance(x - x.mean(), y - y.mean()) == pytest.approx(w, rel=1e-8, abs=1e-10)
+    assert estimators.distance_correlation(np.arange(50_000.0), np.arange(50_000.0) * 2) == pytest.approx(1)
+    assert estimators.distance_correlation(np.ones(9), np.arange(9.0)) == 0
