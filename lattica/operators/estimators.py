@@ -1,5 +1,6 @@
-"""Estimators without a closed form: one group is one pandas group, whose pairs are taken in blocks, so that a task holds the
-group's two columns and a block. Time grows with the square of the group."""
+"""Estimators of two columns: one group is one pandas group. None needs all pairs: distances are summed by sorting, kernels by
+their Fourier series, neighbours are found box by box. Only a kernel far narrower than its group's range takes all pairs, in
+blocks; a task then holds the group's two columns and a block, and time grows with the square of the group."""
 
 from __future__ import annotations
 
@@ -10,10 +11,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: The two-sample test refuses larger groups, a fixed value.
-MOST = 2048
-
-
+from lattica.operators.neighbours import count_within, kth_distance
 #: Cells of a block of pairwise values that a group's task holds at once.
 CELLS = 4_000_000
 
@@ -113,13 +111,42 @@ def bandwidth(x: np.ndarray) -> float:
     return (gap_at(x, (pairs + 1) // 2) ** 2 + gap_at(x, pairs // 2 + 1) ** 2) / 2
 
 
-def gaussian(x: np.ndarray) -> np.ndarray:
-    return np.exp(-((x[:, None] - x[None, :]) ** 2) / bandwidth(x))
+#: Frequencies of a kernel's series held at once.
+FREQUENCIES = 1000
+
+
+def frequencies(reach: float, width: float) -> tuple[np.ndarray, np.ndarray] | None:
+    """Frequencies and weights whose cosines sum to exp(-d * d / width) for distances up to ``reach``, to the last places of a
+    double: the period is so long that its repetition, and the last frequency so high that the rest, is below 1e-17. None if
+    there are more than 2 ** 22."""
+    period = reach + 6.4 * np.sqrt(width)
+    count = period / np.sqrt(width) * 6.4 / np.pi
+    if not count < 2**22:
+        return None
+    f = 2 * np.pi / period * np.arange(int(np.ceil(count)) + 1)
+    w = 2 * np.sqrt(np.pi * width) / period * np.exp(-f * f * width / 4)
+    w[0] /= 2
+    return f, w
+
+
+def waves(x: np.ndarray, f: np.ndarray, w: np.ndarray) -> np.ndarray:
+    """Weighted cosines and sines, whose products over columns are the kernel."""
+    t = x[:, None] * f[None, :]
+    return np.concatenate([np.cos(t), np.sin(t)], axis=1) * np.tile(np.sqrt(w), 2)
 
 
 def hsic(x: np.ndarray, y: np.ndarray) -> float:
-    mx, my = bandwidth(x), bandwidth(y)
-    return centred_product(x, y, lambda d: np.exp(-d * d / mx), lambda d: np.exp(-d * d / my))
+    """Mean product of two doubly centred Gaussian kernels."""
+    mx, my, n = bandwidth(x), bandwidth(y), len(x)
+    fx, fy = frequencies(x.max() - x.min(), mx), frequencies(y.max() - y.min(), my)
+    if fx is None or fy is None or max(len(fx[0]), len(fy[0])) > FREQUENCIES or len(fx[0]) * len(fy[0]) > 100 * n:
+        return centred_product(x, y, lambda d: np.exp(-d * d / mx), lambda d: np.exp(-d * d / my))
+    x, y = x - x.mean(), y - y.mean()
+    step = max(1, CELLS // (2 * FREQUENCIES))
+    slices = [slice(at, at + step) for at in range(0, n, step)]
+    mean_x, mean_y = (sum(waves(v[at], *f).sum(0) for at in slices) / n for v, f in ((x, fx), (y, fy)))
+    both = sum((waves(x[at], *fx) - mean_x).T @ (waves(y[at], *fy) - mean_y) for at in slices) / n
+    return float((both * both).sum())
 
 
 def ksg(x: np.ndarray, y: np.ndarray, k: int = 3) -> float:
@@ -127,13 +154,8 @@ def ksg(x: np.ndarray, y: np.ndarray, k: int = 3) -> float:
     n = len(x)
     if n <= k:
         return 0.0
-    nx, ny = np.empty(n, np.int64), np.empty(n, np.int64)
-    for at in blocks(n):
-        dx, dy = np.abs(x[at, None] - x[None, :]), np.abs(y[at, None] - y[None, :])
-        far = np.maximum(dx, dy)
-        far[np.arange(len(far)), np.arange(n)[at]] = np.inf
-        e = np.partition(far, k - 1, axis=1)[:, k - 1]
-        nx[at], ny[at] = (dx < e[:, None]).sum(1) - 1, (dy < e[:, None]).sum(1) - 1
+    e = kth_distance(np.column_stack([x, y]), k)
+    nx, ny = count_within(x[:, None], e) - 1, count_within(y[:, None], e) - 1
     harmonic = np.concatenate([[0.0], np.cumsum(1 / np.arange(1, n + 1))])
     psi = lambda m: harmonic[m - 1] - 0.5772156649015329
     value = psi(np.array(k)) + psi(np.array(n)) - (psi(np.maximum(nx, 0) + 1) + psi(np.maximum(ny, 0) + 1)).mean()
@@ -142,9 +164,20 @@ def ksg(x: np.ndarray, y: np.ndarray, k: int = 3) -> float:
 
 def mmd(x: np.ndarray, y: np.ndarray) -> float:
     """Squared maximum mean discrepancy of two samples under one Gaussian kernel."""
-    z = gaussian(np.concatenate([x, y]))
-    n = len(x)
-    return float(z[:n, :n].mean() + z[n:, n:].mean() - 2 * z[:n, n:].mean())
+    z = np.concatenate([x, y])
+    width = bandwidth(z)
+    found = frequencies(z.max() - z.min(), width)
+    if found is None or len(found[0]) > len(z):
+        mean = lambda a, b: sum(float(np.exp(-((a[at, None] - b[None, :]) ** 2) / width).sum()) for at in blocks(max(len(a), len(b)))) / (len(a) * len(b))
+        return mean(x, x) + mean(y, y) - 2 * mean(x, y)
+    x, y, total = x - z.mean(), y - z.mean(), 0.0
+    for a in range(0, len(found[0]), FREQUENCIES):
+        f, w = (v[a : a + FREQUENCIES] for v in found)
+        step = max(1, CELLS // (2 * len(f)))
+        gap = sum(waves(x[b : b + step], f, w).sum(0) for b in range(0, len(x), step)) / len(x)
+        gap = gap - sum(waves(y[b : b + step], f, w).sum(0) for b in range(0, len(y), step)) / len(y)
+        total += float((gap * gap).sum())
+    return total
 
 
 def periodogram_peak(t: np.ndarray, v: np.ndarray, grid: int = 500) -> float:
@@ -164,11 +197,9 @@ PAIRWISE: dict[str, Callable[[np.ndarray, np.ndarray], float]] = {"distance_corr
 
 
 def estimate(df: DataFrame, by: str, x: str, y: str, names: list[str]) -> DataFrame:
-    """(by, n, one column an estimator) of each group's finite pairs; ``mmd`` raises for a group over ``MOST`` rows."""
+    """(by, n, one column an estimator) of each group's finite pairs."""
 
     def run(part: pd.DataFrame) -> pd.DataFrame:
-        if "mmd" in names and len(part) > MOST:
-            raise ValueError(f"{len(part)} rows in a group; the two-sample test takes {MOST}")
         a = part[["x", "y"]].replace([np.inf, -np.inf], np.nan).dropna().sort_values(["x", "y"], kind="stable")
         u, v = a["x"].to_numpy(float), a["y"].to_numpy(float)
         return pd.DataFrame({"key": [part["key"].iloc[0]], "n": [len(u)]} | {m: [PAIRWISE[m](u, v) if len(u) > 1 else float("nan")] for m in names})

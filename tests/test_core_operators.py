@@ -320,3 +320,25 @@ def test_distance_correlation_without_pairs(monkeypatch):
         assert estimators.distance_covariance(x - x.mean(), y - y.mean()) == pytest.approx(w, rel=1e-8, abs=1e-10)
     assert estimators.distance_correlation(np.arange(50_000.0), np.arange(50_000.0) * 2) == pytest.approx(1)
     assert estimators.distance_correlation(np.ones(9), np.arange(9.0)) == 0
+
+
+def test_pairwise_estimators_of_large_groups(spark, monkeypatch):
+    import numpy as np
+
+    from lattica.operators import estimators
+
+    rng = np.random.default_rng(13)
+    x, y = rng.normal(size=400), rng.normal(size=400) * 3 + 1
+    z = np.concatenate([x, y])
+    k = np.exp(-((z[:, None] - z[None, :]) ** 2) / estimators.bandwidth(z))
+    gap = k[:400, :400].mean() + k[400:, 400:].mean() - 2 * k[:400, 400:].mean()
+    mx, my = estimators.bandwidth(x), estimators.bandwidth(y)
+    both = estimators.centred_product(x, y, lambda d: np.exp(-d * d / mx), lambda d: np.exp(-d * d / my))
+    far = np.append(x, 1e9)  # too many frequencies: pairs
+    assert estimators.frequencies(1e9, estimators.bandwidth(far)) is None
+    assert estimators.mmd(far, far[::-1].copy()) == pytest.approx(0, abs=1e-12)
+    monkeypatch.setattr(estimators, "blocks", no_pairs)
+    assert estimators.mmd(x, y) == pytest.approx(gap, rel=1e-9) and estimators.hsic(x, y) == pytest.approx(both, rel=1e-8)
+    df = spark.range(3000).select(F.lit("g").alias("k"), F.sin("id").alias("x"), (F.sin("id") + F.cos(F.col("id") * 3)).alias("y"))
+    row = estimators.estimate(df, "k", "x", "y", ["distance_correlation", "hsic", "ksg", "mmd"]).first()
+    assert row.n == 3000 and row.mmd > 0 and 0 < row.distance_correlation < 1 and row.hsic > 0 and row.ksg > 0
