@@ -4,10 +4,13 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 from lattica.functions.vector import doubles, norm
+from lattica.operators.best import Best, Vectors, dealt, offer
 from lattica.operators.graphs import cut
 
 #: Keywords of the intents, in the order in which they are tried.
@@ -83,23 +86,54 @@ def intent(text: Column) -> Column:
 
 
 def nearest(queries: DataFrame, base: DataFrame, key: str, vector: str, k: int, bound: int = 20_000) -> DataFrame:
-    """Exact top k by cosine of each query (qid, qvec): the query set is broadcast in as many blocks of ``bound`` as it has, each
-    against one scan of ``base``; each task keeps its best k a query before the shuffle, so rows shuffled are tasks * queries * k."""
+    """(qid, key, score, rank): exact top k by cosine, to nine decimals and then by the key, of each query (qid, qvec): the query
+    set is sent out in as many blocks of about ``bound`` as it has, each against one scan of ``base``. Every pair is scored, by
+    products of matrices; each task keeps its best k a query before the shuffle, so rows shuffled are tasks * queries * k.
+    Vectors without a score (none, or of another length) come last."""
     parts = max(1, -(-queries.count() // bound))
-    rows = base.select(key, doubles(F.col(vector)).alias("_v"), norm(F.col(vector)).alias("_n"))
-    asked = queries.select("qid", doubles(F.col("qvec")).alias("_q"), norm(F.col("qvec")).alias("_m"))
+    asked = queries.select("qid", whole(doubles(F.col("qvec"))).alias("_q"))
     out = None
     for i in range(parts):
         some = asked if parts == 1 else asked.where(F.pmod(F.xxhash64("qid"), F.lit(parts)) == i)
-        length = F.col("_n") * F.col("_m")
-        score = F.when(length == 0, 0.0).otherwise(F.aggregate(F.zip_with("_v", "_q", lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x) / length)
-        hit = rows.crossJoin(F.broadcast(some)).select("qid", key, score.alias("score"))
-        w = Window.partitionBy("qid").orderBy(F.desc("score"), key)
-        got = hit.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+        got = best_by_cosine(query_block(some), queries.schema["qid"].dataType.simpleString(), base, key, vector, k)
         out = got if out is None else out.unionByName(got)
     return out
 
 
+def whole(v: Column) -> Column:
+    """The vector, or null if an element is."""
+    return F.when(~F.exists(v, lambda x: x.isNull()), v)
+
+
+def query_block(asked: DataFrame) -> tuple[np.ndarray, Vectors]:
+    """The ids and vectors of (qid, vector) on the driver."""
+    rows = asked.collect()
+    return np.array([r[0] for r in rows], object), Vectors([r[1] for r in rows])
+
+
+def best_by_cosine(block: tuple[np.ndarray, Vectors], kind: str, base: DataFrame, key: str, vector: str, k: int, probe=None) -> DataFrame:
+    """(qid, key, score, rank) of a block of queries, whose ids are of type ``kind``. ``probe`` yields of a part's vectors
+    (places, query numbers): the rows that these queries alone are to meet."""
+    ids, asked = block
+
+    def run(parts):
+        best = Best(len(ids), k)
+        for part in parts:
+            keys, values = part[key].to_numpy(object), part[vector].to_numpy(object)
+            if probe is None:
+                offer(best, asked, keys, Vectors(values))
+            else:
+                for at, which in probe(values):
+                    offer(best, asked, keys[at], Vectors(values[at]), which)
+        got = best.settle()
+        yield pd.DataFrame({"qid": ids[got["q"].to_numpy()], key: got["key"].to_numpy(), "_r": got["rank"].to_numpy(), "score": got["score"].to_numpy()})
+
+    found = dealt(base.select(key, whole(F.col(vector)).alias(vector))).mapInPandas(run, f"qid {kind}, `{key}` {base.schema[key].dataType.simpleString()}, _r double, score double")
+    w = Window.partitionBy("qid").orderBy(F.desc("_r"), key)
+    found = found.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+    return found.select("qid", key, F.when(F.col("_r") > float("-inf"), F.col("score")).alias("score"), "rank")
+
+
 def recall_at_k(found: DataFrame, truth: DataFrame, key: str) -> DataFrame:
     """(qid, recall): share of the true neighbours found."""
     both = truth.select("qid", key).join(found.select("qid", key, F.lit(1).alias("hit")), ["qid", key], "left")

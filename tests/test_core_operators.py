@@ -342,3 +342,40 @@ def test_pairwise_estimators_of_large_groups(spark, monkeypatch):
     df = spark.range(3000).select(F.lit("g").alias("k"), F.sin("id").alias("x"), (F.sin("id") + F.cos(F.col("id") * 3)).alias("y"))
     row = estimators.estimate(df, "k", "x", "y", ["distance_correlation", "hsic", "ksg", "mmd"]).first()
     assert row.n == 3000 and row.mmd > 0 and 0 < row.distance_correlation < 1 and row.hsic > 0 and row.ksg > 0
+
+
+def test_nearest_in_blocks_of_a_task(spark, monkeypatch):
+    import numpy as np
+
+    from lattica.operators import best, search
+
+    rng = np.random.default_rng(17)
+    v = np.concatenate([rng.normal(size=(60, 5)), np.zeros((1, 5))])
+    v = np.concatenate([v, v[::-1], v])  # equal scores go by the key
+    monkeypatch.setattr(best, "CELLS", 40)
+    keys = np.array([f"k{i:03}" for i in range(len(v))], object)
+    values = [list(x) for x in v] + [None, [1.0, 2.0]]
+    keys = np.append(keys, ["a", "b"])
+    asked = best.Vectors([list(v[3]), list(v[60]), None, list(v[7] + v[9])])
+    got = best.Best(4, 9)
+    for part in np.array_split(np.arange(len(values)), 4):
+        best.offer(got, asked, keys[part], best.Vectors([values[i] for i in part]))
+    found = got.settle()
+    n = np.linalg.norm(v, axis=1)
+    for q, x in ((0, v[3]), (1, v[60]), (3, v[7] + v[9])):
+        length = n * np.linalg.norm(x)
+        score = np.where(length > 0, v @ x / np.where(length > 0, length, 1), 0)
+        want = sorted(range(len(v)), key=lambda i: (-round(score[i], 9), keys[i]))[:9]
+        assert list(found[found["q"] == q]["key"]) == [keys[i] for i in want]
+    assert list(found[found["q"] == 2]["key"]) == sorted(keys)[:9] and found[found["q"] == 2]["score"].isna().all()
+    near = best.Best(1, 200)
+    best.offer(near, best.Vectors([list(v[3])]), keys, best.Vectors(values))
+    assert list(near.settle()["key"])[-2:] == ["a", "b"] and len(near.kept) == len(values)
+
+    def no_pairs(*_):
+        raise AssertionError("pairs are joined")
+
+    monkeypatch.setattr(type(spark.range(1)), "crossJoin", no_pairs)
+    e = spark.range(50).select("id", F.array(F.sin("id"), F.cos("id")).alias("v"))
+    rows = search.nearest(e.select(F.col("id").alias("qid"), F.col("v").alias("qvec")), e, "id", "v", 2, bound=20).collect()
+    assert len(rows) == 100 and {r.qid for r in rows if r.rank == 1 and r.qid == r.id} == set(range(50))
