@@ -9,7 +9,9 @@ import shutil
 import tempfile
 import uuid
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -303,43 +305,73 @@ def eigenvector_centrality(edges: DataFrame, most: int = 100, tolerance: float |
     return v.select("node", (F.col("x") / norm).alias("centrality"))
 
 
-def feedback_vertices(edges: DataFrame, bound: int = 2_000_000) -> DataFrame:
+def feedback_vertices(edges: DataFrame) -> DataFrame:
     """(node): nodes whose removal leaves no cycle. Nodes without a way in or out go first; then the node of the largest in times
-    out degree (ties: the smallest) is chosen, until none is left. Meant for a selected subgraph: more than ``bound`` edges
-    raise, and the walk is the driver's."""
-    rows = edges.select(F.col("src").cast("long"), F.col("dst").cast("long")).dropna().distinct().limit(bound + 1).toPandas()
-    if len(rows) > bound:
-        raise ValueError(f"more than {bound} edges")
-    out: dict[int, set] = {}
-    into: dict[int, set] = {}
-    for a, b in rows.itertuples(index=False):
-        out.setdefault(a, set()).add(b)
-        into.setdefault(b, set()).add(a)
-        out.setdefault(b, set())
-        into.setdefault(a, set())
-    chosen, idle = [], [v for v in out if not out[v] or not into[v]]
-    heap = [(-len(into[v]) * len(out[v]), v) for v in out]
+    out degree (ties: the smallest) is chosen, until none is left. Each choice depends on all before it, so the walk is one
+    task's: it holds the distinct edges as two numbers each way and is linear in them but for a heap of the nodes."""
+    rows = edges.select(F.col("src").cast("long"), F.col("dst").cast("long")).dropna().distinct()
+
+    def walk(batches):
+        parts = [(b.column(0).to_numpy(zero_copy_only=False), b.column(1).to_numpy(zero_copy_only=False)) for b in batches]
+        yield pa.RecordBatch.from_arrays([pa.array(cycle_cuts(parts), pa.int64())], ["node"])
+
+    return rows.repartition(1).mapInArrow(walk, "node long")
+
+
+def cycle_cuts(parts: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
+    """The nodes that ``feedback_vertices`` chooses, of distinct edges in parts (sources, targets), which it empties."""
+    names, waiting, size = [np.zeros(0, np.int64)], [], 0
+    for part in parts:
+        waiting += part
+        size += 2 * len(part[0])
+        if size > 4_000_000:
+            names, waiting, size = [np.unique(np.concatenate(names + waiting))], [], 0
+    names = np.unique(np.concatenate(names + waiting))
+    n, codes = len(names), ([], [])
+    while parts:
+        part = parts.pop()
+        for kept, ends in zip(codes, part):
+            kept.append(np.searchsorted(names, ends).astype(np.int32))
+    if not n:
+        return names
+    src, dst = (np.concatenate(c) for c in codes)
+    del codes
+    ways = []
+    for a, b in ((src, dst), (dst, src)):
+        starts = np.concatenate([[0], np.cumsum(np.bincount(a, minlength=n))])
+        ways.append((b[np.argsort(a, kind="stable")], starts.tolist(), np.diff(starts)))
+    del src, dst
+    (to, to_at, out), (by, by_at, into) = ways
+    there, chosen = np.ones(n, bool), []
+    idle = np.flatnonzero((out == 0) | (into == 0)).tolist()
+    heap = (np.arange(n) - into * out * n).tolist()  # one number for the degree product and the node
     heapq.heapify(heap)
 
-    def remove(v) -> None:
-        for w in out.pop(v):
-            if w in into:
-                into[w].discard(v)
-                idle.append(w) if not into[w] else heapq.heappush(heap, (-len(into[w]) * len(out.get(w, ())), w))
-        for w in into.pop(v):
-            if w in out:
-                out[w].discard(v)
-                idle.append(w) if not out[w] else heapq.heappush(heap, (-len(into.get(w, ())) * len(out[w]), w))
-
-    while out:
+    def remove(v: int) -> None:
+        there[v] = False
+        for near, at, degree in ((to, to_at, into), (by, by_at, out)):
+            w = near[at[v] : at[v + 1]]
+            w = w[there[w]]
+            left = degree[w] - 1
+            degree[w] = left
+            if not left.all():
+                idle.extend(w[left == 0].tolist())
+
+    while True:
         while idle:
             v = idle.pop()
-            if v in out and (not out[v] or not into[v]):
+            if there[v]:
                 remove(v)
-        if not out:
-            break
-        score, v = heapq.heappop(heap)
-        if v in out and -score == len(into[v]) * len(out[v]):
-            chosen.append(int(v))
-            remove(v)
-    return edges.sparkSession.createDataFrame([(v,) for v in sorted(chosen)], "node long")
+        if not heap:
+            return names[np.array(chosen, np.int64)]
+        v = heap[0] % n
+        if not there[v]:
+            heapq.heappop(heap)
+            continue
+        now = v - int(into[v]) * int(out[v]) * n
+        if now != heap[0]:  # products only fall, so an entry that has fallen is put back
+            heapq.heapreplace(heap, now)
+            continue
+        heapq.heappop(heap)
+        chosen.append(v)
+        remove(v)

@@ -223,3 +223,28 @@ def test_total_correlation_of_equal_rows_is_null(spark):
     got = {r.key: r for r in dynamics.total_correlation(spark.createDataFrame(rows, "k string, a double, b double"), "k", ["a", "b"]).collect()}
     assert got["tied"].n == 300 and got["tied"].marginal is None and got["tied"].total is None and got["tied"].joint is not None
     assert got["free"].total > 0
+
+
+def test_feedback_of_more_edges(spark):
+    rng = np.random.default_rng(18)
+    pairs = {(int(a), int(b)) for a, b in rng.integers(0, 60, (300, 2))}
+
+    def slow(edges):
+        nodes, chosen = {v for e in edges for v in e}, []
+        while True:
+            edges = {(a, b) for a, b in edges if a in nodes and b in nodes}
+            outs, ins = ({v: sum(e[i] == v for e in edges) for v in nodes} for i in (0, 1))
+            idle = {v for v in nodes if not outs[v] or not ins[v]}
+            if idle:
+                nodes -= idle
+                continue
+            if not nodes:
+                return sorted(chosen)
+            chosen.append(min(nodes, key=lambda v: (-outs[v] * ins[v], v)))
+            nodes.discard(chosen[-1])
+
+    df = spark.createDataFrame([*pairs, (None, 3), (3, 4), (3, 4)], "src long, dst long")
+    assert sorted(r.node for r in graphs.feedback_vertices(df).collect()) == slow(pairs | {(3, 4)})
+    assert graphs.feedback_vertices(df.where("false")).isEmpty()
+    every = spark.range(1_450 * 1_450).selectExpr("id % 1450 as src", "id div 1450 as dst")  # more than 2,000,000 edges, loops too
+    assert sorted(r.node for r in graphs.feedback_vertices(every).collect()) == list(range(1_450))
