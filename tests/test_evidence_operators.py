@@ -248,3 +248,17 @@ def test_feedback_of_more_edges(spark):
     assert graphs.feedback_vertices(df.where("false")).isEmpty()
     every = spark.range(1_450 * 1_450).selectExpr("id % 1450 as src", "id div 1450 as dst")  # more than 2,000,000 edges, loops too
     assert sorted(r.node for r in graphs.feedback_vertices(every).collect()) == list(range(1_450))
+
+
+def test_best_partition_holds_no_square_of_the_clumps():
+    import tracemalloc
+
+    labels = np.random.default_rng(19).integers(0, 2, 3000)
+    tracemalloc.start()
+    got = dynamics.best_partition(labels, np.ones(3000, int), 2, 5)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 8 << 20 and (np.diff(got) >= 0).all() and got[-1] > 0
+    x = np.array([3.0, 1.0, 1.0, 2.0, 2.0, 5.0])
+    assert dynamics.middle_ranks(x).tolist() == [4.0, 0.5, 0.5, 2.5, 2.5, 5.0]
+    assert dynamics.clumps_of(np.array([0, 2, 3, 5]), np.array([0, 0, 0, 1, 0, 1]), 9).tolist() == [3, 2, 1]
