@@ -40,11 +40,20 @@ def wash_screen(fills: DataFrame, by: list[str], counterparty: str, size: str) -
     return got.withColumn("share", F.when(F.col("volume") > 0, F.coalesce("distinct_volume", F.lit(0.0)) / F.col("volume")).otherwise(0.0))
 
 
+#: Pairs that one task counts on average.
+PAIRS = 1_000_000
+
+
 def shared_entity_edges(df: DataFrame, item: str, entity: str) -> DataFrame:
-    """(a, b, shared): items a < b that share entities, counted. Items of one entity are joined on it; entities name few items."""
-    x = df.select(F.col(item).alias("a"), F.col(entity).alias("_e")).distinct()
-    y = df.select(F.col(item).alias("b"), F.col(entity).alias("_e")).distinct()
-    return x.join(y, "_e").where("a < b").groupBy("a", "b").agg(F.count("*").alias("shared"))
+    """(a, b, shared): items a < b that share entities, counted. Items of one entity are joined on it; entities name few items.
+    Join and count are dealt over as many tasks as the pairs need, so that a task's memory does not grow with the table."""
+    rows = df.select(F.col(item).alias("a"), F.col(entity).alias("_e")).dropna()
+    n = F.count("*")
+    pairs = rows.groupBy("_e").agg((n * (n - 1) / 2).alias("n")).agg(F.sum("n")).first()[0] or 0
+    parts = max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), int(-(-pairs // PAIRS)))
+    x = rows.repartition(parts, "_e").distinct()
+    both = x.join(x.withColumnRenamed("a", "b"), "_e").where("a < b").select("a", "b")
+    return both.repartition(parts, "a", "b").groupBy("a", "b").agg(F.count("*").alias("shared"))
 
 
 def knn_base_rate(neighbors: DataFrame, by: list[str], similarity: str, outcome: Column) -> DataFrame:

@@ -391,3 +391,19 @@ def test_inverted_file_equals_scan_when_all_cells_are_probed(spark):
     rows = lambda d: sorted((r.qid, r.id, r.rank) for r in d.collect())
     assert rows(found) == rows(truth) and len(rows(truth)) == 240
     assert "Join" not in found._jdf.queryExecution().toString()
+
+
+def test_shared_entities_are_dealt_by_their_pairs(spark, monkeypatch):
+    from lattica.operators import markets
+
+    monkeypatch.setattr(markets, "PAIRS", 100)
+    df = spark.range(400).select((F.col("id") % 80).alias("i"), F.when(F.col("id") < 390, F.expr("(id * 7 + id div 80) % 20")).alias("e"))
+    got = markets.shared_entity_edges(df, "i", "e")
+    rows = {(r.i, r.e) for r in df.distinct().collect() if r.e is not None}
+    want = {}
+    for i, e in rows:
+        for j, f in rows:
+            if e == f and i < j:
+                want[i, j] = want.get((i, j), 0) + 1
+    assert {(r.a, r.b): r.shared for r in got.collect()} == want
+    assert got.rdd.getNumPartitions() >= sum(want.values()) / 100 > 4
