@@ -407,3 +407,12 @@ def test_shared_entities_are_dealt_by_their_pairs(spark, monkeypatch):
                 want[i, j] = want.get((i, j), 0) + 1
     assert {(r.a, r.b): r.shared for r in got.collect()} == want
     assert got.rdd.getNumPartitions() >= sum(want.values()) / 100 > 4
+
+
+def test_quantized_search_breaks_equal_codes_by_key(spark):
+    from lattica.operators import ann
+
+    base = spark.range(40).select((39 - F.col("id")).alias("k"), F.array(F.lit(1.0), F.lit(2.0), F.lit(0.0), F.lit(1.0)).alias("v")).coalesce(1)
+    pq = ann.ProductQuantizer(base, "k", "v", parts=2, codes=4)
+    found = pq.search(spark.createDataFrame([(7, [1.0, 2.0, 0.0, 1.0])], "qid long, qvec array<double>"), base, pq.encode(base), 2, rescore=1)
+    assert sorted((r.qid, r.k, r["rank"]) for r in found.collect()) == [(7, 0, 1), (7, 1, 2)]
