@@ -1,5 +1,6 @@
 """Exact neighbour distances and counts within a distance in the largest-coordinate metric, without all pairs: memory is a few
-copies of the rows and a block, time grows little faster than the rows."""
+copies of the rows and a block. Each box is compared with the ends of all others, so time still has a small share that grows
+with the square of the boxes: 180,000 rows of three columns took 1.5 s, an estimate of 1,080,000 rows 62 s."""
 
 from __future__ import annotations
 
